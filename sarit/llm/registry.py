@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from sarit.llm import lookalike
+from sarit.llm import encode, leaks, lookalike
 
 QUERIES: dict = {
     "p7_found": lookalike.same_look,
     "p7_form": lookalike.one_form,
+    "p8_ids": encode.corpus_ids,
+    "p9_found": leaks.leaked,
+    "p9_near": leaks.nearly_leaked,
+    "p9_items": leaks.leaks_by_item,
 }
 ORACLE: dict = {}
