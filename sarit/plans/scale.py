@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +41,8 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, if its files give fewer (a single small file, say)."""
+    """df, a table as read, over as many partitions as there are cores, if its files give fewer (a single small file, say)."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -46,3 +51,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """Table `name` of the folder, with only the given columns if any are given."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers: they find it by PYTHONPATH, else Spark sends it to them."""
+    root = Path(__file__).resolve().parent.parent.parent
+    application = spark.sparkContext.applicationId
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if application in _SHIPPED or str(root) in paths:
+        return
+    folder = tempfile.mkdtemp(prefix="sarit-code-")  # on the driver only, which serves the archive
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = __package__.partition(".")[0]
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{name}", "zip", root, name))
+    _SHIPPED.add(application)
