@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sarit.llm import encode, leaks, lookalike
+from sarit.llm import encode, leaks, lookalike, repeated_lines
 
 QUERIES: dict = {
+    "p5_found": repeated_lines.found,
+    "p5_clusters": repeated_lines.clusters,
+    "p5_clean": repeated_lines.cleaned,
     "p7_found": lookalike.same_look,
     "p7_form": lookalike.one_form,
     "p8_ids": encode.corpus_ids,
@@ -12,4 +15,6 @@ QUERIES: dict = {
     "p9_near": leaks.nearly_leaked,
     "p9_items": leaks.leaks_by_item,
 }
-ORACLE: dict = {}
+ORACLE: dict = {
+    "p5_found": repeated_lines.FOUND_SQL,
+}
