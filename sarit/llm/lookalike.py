@@ -139,6 +139,22 @@ def skeletons(texts: list[str]) -> list[str]:
     return [t.strip("\n ") for t in text.split(MARK)]
 
 
+def plain_forms(texts: list[str]) -> list[str]:
+    """Each text decomposed, with one form of look-alike letters and widths and without invisible characters, but
+    with its own dandas and Devanagari letters, so that patterns (decomposed too) can be searched in it."""
+    if not texts:
+        return []
+    one, _, _ = _tables()
+    text = _decomposed(texts)
+    source = _codes(text)
+    codes = np.where((source >= 0x900) & (source < 0x980), source, one[source])
+    text = codes[codes != 0].tobytes().decode("utf-32-le")
+    for whole, parts in BUILT.items():
+        if parts in text:
+            text = text.replace(parts, whole)
+    return text.split(MARK)
+
+
 def word_texts(texts: list[str]) -> list[str]:
     """Each text as its words between single or several spaces: no case, punctuation, line breaks, invisible
     characters, one form of look-alikes."""

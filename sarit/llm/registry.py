@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sarit.llm import encode, leaks, lookalike, repeated_lines
+from sarit.llm import encode, leaks, lookalike, repeated_lines, residue
 
 QUERIES: dict = {
     "p5_found": repeated_lines.found,
@@ -14,6 +14,9 @@ QUERIES: dict = {
     "p9_found": leaks.leaked,
     "p9_near": leaks.nearly_leaked,
     "p9_items": leaks.leaks_by_item,
+    "p10_found": residue.found,
+    "p10_reasons": residue.reasons,
+    "p10_kept": residue.kept,
 }
 ORACLE: dict = {
     "p5_found": repeated_lines.FOUND_SQL,

@@ -86,9 +86,11 @@ def _buckets(lines: pa.Array, sites: list[str]) -> list[np.ndarray]:
 
 
 def keyed_lines(texts: list[str | None], sites: list[str | None], buckets: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of the lines that count: row, line number, 64-bit key of (site, normal line), bucket in each band."""
+    """Of the lines that count: row, line number, 64-bit key of (site, normal line), bucket in each band.
+
+    Without buckets, lines of a null site are among them, with a key of the line alone."""
     empty = np.zeros(0, np.int64)
-    rows = [i for i, (t, s) in enumerate(zip(texts, sites, strict=True)) if t is not None and s is not None]
+    rows = [i for i, (t, s) in enumerate(zip(texts, sites, strict=True)) if t is not None and (s is not None or not buckets)]
     if not rows:
         return empty, empty, empty, [empty] * BANDS
     split = pc.split_pattern(pa.array([texts[i] for i in rows], pa.string()), "\n")
@@ -100,9 +102,9 @@ def keyed_lines(texts: list[str | None], sites: list[str | None], buckets: bool
     lines, row, number = lines.filter(pa.array(counts)), row[counts], number[counts]
     if not len(row):
         return empty, empty, empty, [empty] * BANDS
-    seeds = {s: xxhash.xxh3_64_intdigest(s) for s in set(sites) if s is not None}
+    seeds = {s: 0 if s is None else xxhash.xxh3_64_intdigest(s) for s in set(sites)}
     of = [sites[i] for i in row.tolist()]
-    keys = np.array([xxhash.xxh3_64_intdigest(x, seeds[s]) for x, s in zip(lines.cast(pa.binary()).to_pylist(), of, strict=True)], np.uint64).view(np.int64)
+    keys = np.array([xxhash.xxh3_64_intdigest(x) ^ seeds[s] for x, s in zip(lines.cast(pa.binary()).to_pylist(), of, strict=True)], np.uint64).view(np.int64)
     return row, number, keys, _buckets(lines, of) if buckets else []
 
 
@@ -156,11 +158,14 @@ class Lines:
 
     def flagged(self) -> tuple[DataFrame, object]:
         """The documents with the column flags, numbers of recurrent lines (null where the second result serves), and
-        a broadcast of the sorted recurrent keys, None if they are too many for that."""
-        keys = [r.key for r in self.hot.select("key").limit(MOST_LINES + 1).collect()]
+        a broadcast of the sorted recurrent keys, None if they are too many for that. The keys tell recurrent lines in
+        documents of a null source too: those of any source."""
+        hot = self.hot.select("site", "key").limit(MOST_LINES + 1).collect()
         documents = self.documents.select("doc_id", "site", "text")
-        if len(keys) <= MOST_LINES:
-            shared = self.documents.sparkSession.sparkContext.broadcast(np.sort(np.array(keys, np.int64)))
+        if len(hot) <= MOST_LINES:
+            alone = {np.uint64(r.key & (1 << 64) - 1) ^ np.uint64(xxhash.xxh3_64_intdigest(r.site)) for r in hot}
+            keys = np.concatenate([np.array([r.key for r in hot], np.int64), np.array(list(alone), np.uint64).view(np.int64)])
+            shared = self.documents.sparkSession.sparkContext.broadcast(np.unique(keys))
             return documents.withColumn("flags", F.lit(None).cast("array<int>")), shared
         flags = self.places().groupBy("doc_id").agg(F.collect_set("line_no").alias("flags"))
         return documents.join(flags, "doc_id", "left"), None
