@@ -57,7 +57,7 @@ PLACEHOLDER = _compiled(
     )
 )
 SINGLE_BRACE = _compiled(r"(?<![\w${])\{[a-z]+(?:[_.][a-z]+)*\}(?!\})|(?<![\w%])%[sd](?!\w)")
-FAILED = _compiled(r"\bundefined\b|\bNaN\b|\bnull null\b|\(null\)|\[object [A-Z]\w+\]|#(?:REF!|N/A\b|VALUE!|NAME\?|DIV/0!)", 0)
+FAILED = _compiled(r"\bundefined\b|\bNaN\b|\bnull null\b|\(null\)|\bNone None\b|<nil>|\bnil nil\b|\bArray\b(?:\(\))?|\[object [A-Z]\w+\]|#(?:REF!|N/A\b|VALUE!|NAME\?|DIV/0!)", 0)
 # Words of sentences that speak of such things.
 SPEAKS = _compiled(
     r"लिखने|लिखा |लिखते|लेख्दा|लेखिन्छ|लेखेपछि|लिहिल्या|लिहिता|लिहिले|replac|\bsuch\b|templat|टेम्पलेट|टेम्प्लेट|placeholder|प्लेसहोल्डर|प्लेस होल्डर|जैसा|जैसे|जस्तो|जस्तै|उदाहरण|example|दिखता|देखिन्छ|दिसते|syntax|written as|means"
