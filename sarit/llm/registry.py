@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sarit.llm import encode, leaks, lookalike, repeated_lines, residue
+from sarit.llm import encode, leaks, lookalike, quality, repeated_lines, residue
 
 QUERIES: dict = {
+    "p1_found": quality.found,
+    "p1_statistics": quality.statistics,
+    "p1_quantiles": quality.quantiles,
     "p5_found": repeated_lines.found,
     "p5_clusters": repeated_lines.clusters,
     "p5_clean": repeated_lines.cleaned,
@@ -19,5 +22,8 @@ QUERIES: dict = {
     "p10_kept": residue.kept,
 }
 ORACLE: dict = {
+    "p1_found": quality.found,
+    "p1_statistics": quality.statistics,
+    "p1_quantiles": quality.quantiles,
     "p5_found": repeated_lines.FOUND_SQL,
 }

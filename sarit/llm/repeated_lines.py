@@ -139,9 +139,11 @@ def _recurrent(counts: DataFrame, totals: DataFrame) -> DataFrame:
 class Lines:
     """The lines of a table of documents, computed once, with the recurrent ones found in it."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, *more: str):
+        """more: columns of the documents that flagged() is to keep."""
+        self.more = more
         registry = table(spark, sf_dir, "registry", "site", "host")
-        self.documents = with_site(spread(table(spark, sf_dir, "documents", "doc_id", "source", "text")), registry)
+        self.documents = with_site(spread(table(spark, sf_dir, "documents", "doc_id", "source", "text", *more)), registry)
         self.totals = cut(with_site(table(spark, sf_dir, "documents", "source"), registry).where("site is not null").groupBy("site").agg(F.count("*").alias("documents")))
         self.table = cut(line_table(self.documents))
         some = self.table.select("site", F.explode(F.array_distinct(F.arrays_zip("keys", *(f"band{b}" for b in range(BANDS))))).alias("line")).select("site", "line.*")
@@ -161,7 +163,7 @@ class Lines:
         a broadcast of the sorted recurrent keys, None if they are too many for that. The keys tell recurrent lines in
         documents of a null source too: those of any source."""
         hot = self.hot.select("site", "key").limit(MOST_LINES + 1).collect()
-        documents = self.documents.select("doc_id", "site", "text")
+        documents = self.documents.select("doc_id", "site", "text", *self.more)
         if len(hot) <= MOST_LINES:
             alone = {np.uint64(r.key & (1 << 64) - 1) ^ np.uint64(xxhash.xxh3_64_intdigest(r.site)) for r in hot}
             keys = np.concatenate([np.array([r.key for r in hot], np.int64), np.array(list(alone), np.uint64).view(np.int64)])
