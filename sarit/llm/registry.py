@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sarit.llm import encode, leaks, lookalike, quality, repeated_lines, residue
+from sarit.llm import encode, language, leaks, lookalike, quality, repeated_lines, residue
 
 QUERIES: dict = {
     "p1_found": quality.found,
     "p1_statistics": quality.statistics,
     "p1_quantiles": quality.quantiles,
+    "p2_found": language.found,
+    "p2_documents": language.assigned,
+    "p2_passages": language.passages,
     "p5_found": repeated_lines.found,
     "p5_clusters": repeated_lines.clusters,
     "p5_clean": repeated_lines.cleaned,
