@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sarit.llm import encode, language, leaks, lookalike, quality, repeated_lines, residue
+from sarit.llm import budget, encode, language, leaks, lookalike, mixing, overlap, quality, repeated_lines, residue
 
 QUERIES: dict = {
     "p1_found": quality.found,
@@ -11,9 +11,15 @@ QUERIES: dict = {
     "p2_found": language.found,
     "p2_documents": language.assigned,
     "p2_passages": language.passages,
+    "p3_mix": mixing.mixed,
+    "p3_shares": mixing.reached,
+    "p4_tokens": budget.by_document,
+    "p4_budget": budget.by_slice,
     "p5_found": repeated_lines.found,
     "p5_clusters": repeated_lines.clusters,
     "p5_clean": repeated_lines.cleaned,
+    "p6_found": overlap.found,
+    "p6_report": overlap.report,
     "p7_found": lookalike.same_look,
     "p7_form": lookalike.one_form,
     "p8_ids": encode.corpus_ids,
