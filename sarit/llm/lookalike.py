@@ -108,6 +108,14 @@ def _tables() -> tuple[np.ndarray, dict[str, str], np.ndarray]:
     return one, several, word
 
 
+@cache
+def _plain_table() -> np.ndarray:
+    """The prototypes, Devanagari as it is."""
+    out = _tables()[0].copy()
+    out[0x900:0x980] = np.arange(0x900, 0x980)
+    return out
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -144,10 +152,8 @@ def plain_forms(texts: list[str]) -> list[str]:
     with its own dandas and Devanagari letters, so that patterns (decomposed too) can be searched in it."""
     if not texts:
         return []
-    one, _, _ = _tables()
     text = _decomposed(texts)
-    source = _codes(text)
-    codes = np.where((source >= 0x900) & (source < 0x980), source, one[source])
+    codes = _plain_table()[_codes(text)]
     text = codes[codes != 0].tobytes().decode("utf-32-le")
     for whole, parts in BUILT.items():
         if parts in text:

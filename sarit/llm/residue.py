@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +85,19 @@ ERROR = _compiled(
     )
 )
 FILLER = _compiled(r"(?:नमूना|नमुना|डमी) (?:पाठ|मजकूर|टेक्स्ट)[^।\n]{0,40}(?:बदल|फेर्नु|हटा)|(?:sample|dummy|placeholder|filler) text[^.\n]{0,40}(?:replace|change|here)|replace this text|your (?:text|content) (?:goes |will go )?here|(?:text|content) (?:goes|will go|comes) here|यहाँ (?:अपना|अपनी|आपका|आपकी|तपाईंको|तुमचा|तुमची|आपला) (?:पाठ|सामग्री|लेख|मजकूर)|(?:जगह|ठाउँमा|जागी)[^।\n]{0,30}(?:डालें|लिखें|भरें|राख्नुहोस्|लेख्नुहोस्|लिहा)")
+# Parts of which every text that the patterns match has at least one; looked for first, being faster.
+ERROR_STEMS = tuple(
+    unicodedata.normalize("NFD", x)
+    for x in (
+        "script", "cookie", "browser", "one moment", "human", "robot", "captcha", "denied", "permission", "authori", "forbidden", "gateway", "upstream", "unavailable",
+        "server", "fatal", "error", "not found", "not be found", "no longer", "removed", "deleted", "been moved", "not exist", "has changed", "connect", "database",
+        "went wrong", "retry", "try again", "expired", "too many", "traceback", "exception", "maintenance",
+        "स्क्रिप्ट", "कुकी", "ब्राउज", "ब्राउझर", "मनुष्य", "रोबोट", "त्रुट", "पृष्ठ", "पन्ना", "पेज", "अनुमति", "परवानगी", "डेटाबेस", "डाटाबेस", "सर्वर", "सर्भर", "सर्व्हर",
+        "हटा दिया", "हटाइ", "हटव", "काढून", "पता बदल", "देर बाद", "समयपछि", "वेळाने", "कुछ गड़बड़", "केही गडबड", "सत्र", "रखरखाव", "पुष्टि", "जाँच", "ठेगाना", "सापडले नाही", "उपलब्ध नाही",
+    )
+)
+FILLER_STEMS = tuple(unicodedata.normalize("NFD", x) for x in ("नमूना", "नमुना", "डमी", "text", "content", "यहाँ अप", "यहाँ आप", "यहाँ तप", "यहाँ तुम", "जगह", "ठाउँमा", "जागी"))
+FAILED_STEMS = ("undefined", "NaN", "null", "[object", "None", "nil", "Array", "#")
 PSEUDO_LATIN = re.compile(r"\b(?:lorem|ipsum|dolor)\b", re.I)
 _ENGLISH = frozenset("the of and to in a is was for that with on at by from it there had more than if then as were about will have are be or not this".split())
 _LATIN_WORD = re.compile(r"[A-Za-z]+")
@@ -114,26 +126,31 @@ def evidence(lines: list[str]) -> str | None:
                 after = re.split(r"[।॥?!]", line[match.end() :])[0]
                 if not SPEAKS.search(f"{before} {after}"):
                     return "placeholder"
-    body = lines[1:] if len(lines) > 1 and len(lines[0]) <= TITLE and not ERROR.search(lines[0]) and not FILLER.search(lines[0]) and not PSEUDO_LATIN.search(lines[0]) and not FAILED.search(lines[0]) else lines
+    low = whole.lower()
+    error = any(x in low for x in ERROR_STEMS) and ERROR.search(whole)
+    filler = any(x in low for x in FILLER_STEMS) and FILLER.search(whole)
+    latin = "lorem" in low or "ipsum" in low or "dolor" in low
+    failed = any(x in whole for x in FAILED_STEMS) and FAILED.search(whole)
+    first = lines[0]
+    head = len(lines) > 1 and len(first) <= TITLE and not ((error and ERROR.search(first)) or (filler and FILLER.search(first)) or (latin and PSEUDO_LATIN.search(first)) or (failed and FAILED.search(first)))
+    body = lines[1:] if head else lines
     size = sum(len(x) for x in body)
-    if FAILED.search(whole):
+    if failed:
         for line in body:
             if not CODE.search(line) and FAILED.search(line):
-                for piece in re.split(r"(?<=[।॥?!])\s*|(?<=\.)\s+", line):
+                for piece in sentences(line):
                     hits = len(FAILED.findall(piece))
                     if hits and not SPEAKS.search(piece) and (hits > 1 or len(piece) >= MAIN * size):
                         return "failed value"
-    if ERROR.search(whole):
-        hit = sum(len(s) for x in body for s in _notices(x) if ERROR.search(s))
-        if hit >= MAIN * size:
-            return "error"
-    if FILLER.search(whole) and sum(len(s) for x in body for s in sentences(x) if FILLER.search(s)) >= MAIN * size:
+    if error and sum(len(s) for x in body for s in _notices(x) if ERROR.search(s)) >= MAIN * size:
+        return "error"
+    if filler and sum(len(s) for x in body for s in sentences(x) if FILLER.search(s)) >= MAIN * size:
         return "filler"
-    said = Counter(x.strip() for line in body for x in sentences(line))
-    often, times = said.most_common(1)[0] if said else ("", 0)
+    often = next(iter(sentences(body[0])), "").strip()
+    times = whole.count(often) if often else 0
     if times >= 3 and often.count(" ") >= 2 and times * len(often) >= 0.8 * size:
         return "filler"  # one sentence again and again
-    if PSEUDO_LATIN.search(whole):
+    if latin:
         hit = 0
         for line in body:
             words = _LATIN_WORD.findall(line.lower())
@@ -153,7 +170,7 @@ def residuals(batch: pa.RecordBatch, shared: object) -> list[list[str] | None]:
     """The residual of each row of a chunk of Lines.flagged(), None for a null text."""
     texts = batch.column("text").to_pylist()
     flags = flagged_numbers(batch, shared)
-    kept = ["" if t is None else "\n".join(residual_lines(t, f)) for t, f in zip(texts, flags, strict=True)]
+    kept = ["" if t is None else "\n".join(residual_lines(t, f)) if f else t for t, f in zip(texts, flags, strict=True)]
     return [None if t is None else [x for x in p.split("\n") if x.strip()] for t, p in zip(texts, plain_forms(kept), strict=True)]
 
 
