@@ -50,6 +50,7 @@ _TERMINAL = re.compile(r"[।॥?!.…|][\"'”’)\]]*\s*$")
 _SPLIT = re.compile(r"(?<=[।॥?!…|])\s*|(?<=\.)\s+")
 _CODE = re.compile(r"[{}<>=;\\]|\w\(\w*\)|\w_\w|_\w|\w_")
 _BULLET = re.compile(r"^\s*(?:[-*•◦▪›→»>+–—]|\(?[\d०-९a-zA-Z]{1,3}[.)\]])\s*")
+_SEPARATORS = frozenset("/ · | - • > »".split())
 _STRIP = "\"'“”‘’()[]{}<>«»,;:.!?।॥|…-–—/*#"
 
 
@@ -75,77 +76,131 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-def _counts(text: str) -> np.ndarray:
-    return np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=8)
-
-
-def _common(word: str, common: frozenset[str]) -> bool:
-    return word in common or (len(word) >= 5 and word.endswith(ENDINGS))
-
-
-def running(piece: str, common: frozenset[str]) -> bool:
-    """Whether a piece of a line, without a bullet, reads as a sentence or a verse."""
-    words = piece.split()
-    n = len(words)
-    if n < 3:
-        return False
-    space, latin, letter, mark, digit, punctuation, foreign, other = _counts(piece).tolist()
-    visible = len(piece) - space
-    letters = latin + letter + mark
-    if letters < 0.6 * visible or foreign + other > 0.15 * visible or digit > 0.3 * visible:
-        return False
-    bare = [w.strip(_STRIP).lower() for w in words]
-    real = [w for w in bare if w]
-    if len(real) < 3 or sum(len(w) < 2 for w in real) > 0.34 * len(real):
-        return False
-    if letter >= 8 and mark < 0.2 * letter:
-        return False
-    if len(_CODE.findall(piece)) > 0.12 * n:
-        return False
-    if len(real) >= 12 and len(set(real)) < 0.4 * len(real):
-        return False
-    separators = sum(w[-1] in ",;،、" or w in ("/", "·", "|", "-", "•", ">", "»") for w in words)
-    if n >= 8 and separators > 0.34 * n:
-        return False
-    return sum(_common(w, common) for w in real) * 14 >= len(real)
-
-
-def measure(lines: list[str], common: frozenset[str]) -> list[float]:
-    """STATISTICS of a residual, in order."""
-    whole = "\n".join(lines)
-    words = whole.split()
-    bare = [b for w in words if (b := w.strip(_STRIP).lower())]
-    space, latin, letter, mark, digit, punctuation, foreign, other = _counts(whole).tolist()
-    visible = max(1, len(whole) - space)
-    body = lines[1:] if len(lines) > 1 and len(lines[0]) <= TITLE and not running(lines[0], common) else lines
-    inside = total = 0
-    for line in body:
-        text = _BULLET.sub("", line)
-        total += len(line.replace(" ", ""))
-        if len(text) != len(line) and len(text) < 60 and not _TERMINAL.search(text):
-            continue
-        if running(text, common):
-            if len(text) < 400:
-                inside += len(line.replace(" ", ""))
-                continue
-        pieces = [p for p in _SPLIT.split(text) if p]
-        if len(pieces) > 1:
-            inside += sum(len(p.replace(" ", "")) for p in pieces if running(p, common))
-        elif pieces and running(pieces[0], common):
-            inside += len(line.replace(" ", ""))
-    n = max(1, len(bare))
-    return [
-        float(len(words)),
-        sum(map(len, bare)) / n,
-        (punctuation + other) / visible,
-        digit / visible,
-        sum(bool(_TERMINAL.search(x)) for x in lines) / max(1, len(lines)),
-        sum(_common(w, common) for w in bare) / n,
-        len(set(bare)) / n,
-        sum(len(w) < 2 for w in bare) / n,
-        mark / max(1, letter + mark),
-        1 - inside / total if total - inside >= SHORT else 0.0,
-    ]
+class Words:
+    """Features of words, remembered between chunks (memory only): kinds of characters and whether a word is common."""
+
+    LENGTH, REAL, BARE, SINGLE, COMMON, SEPARATOR, CODE, LATIN, LETTER, MARK, DIGIT, PUNCTUATION, FOREIGN, OTHER = range(14)
+
+    def __init__(self, common: frozenset[str], most: int = 300_000):
+        self.common, self.most = common, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.bares: list[int] = []
+        self.matrix = np.zeros((0, 14), np.int32)
+
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of features and the number of the bare, lower-case word (0: none) of each word."""
+        if len(self.numbers) > self.most:
+            self.forget()
+        new = list({w for w in words if w not in self.numbers})
+        if new:
+            sizes = np.array([len(w) for w in new])
+            kinds = _kinds()[np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            starts = np.cumsum(sizes) - sizes
+            kind = np.stack([np.add.reduceat(kinds == k, starts, dtype=np.int32) for k in range(1, 8)], 1)
+            rows = []
+            for word in new:
+                bare = word.strip(_STRIP).lower()
+                n = len(bare)
+                self.numbers[word] = len(self.numbers)
+                self.bares.append(self.bare.setdefault(bare, len(self.bare) + 1) if bare else 0)
+                rows.append((len(word), n > 0, n, n == 1, n > 0 and (bare in self.common or n >= 5 and bare.endswith(ENDINGS)), word[-1] in ",;،、" or word in _SEPARATORS, len(_CODE.findall(word))))
+            self.matrix = np.concatenate([self.matrix, np.concatenate([np.array(rows, np.int32), kind], 1)])
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        return self.matrix[number], np.array(self.bares, np.int64)[number]
+
+
+def _distinct(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
+    """Number of distinct values over 0 in each group."""
+    real = value > 0
+    return np.bincount(np.unique(group[real] << np.int64(32) | value[real]) >> np.int64(32), minlength=groups)
+
+
+def running(sums: np.ndarray, n: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Whether pieces of lines, without bullets, read as sentences or verses, by the sums of their words' features."""
+    w = Words
+    length, real = sums[:, w.LENGTH], sums[:, w.REAL]
+    letters = sums[:, w.LATIN] + sums[:, w.LETTER] + sums[:, w.MARK]
+    out = (real >= 3) & (letters >= 0.6 * length) & (sums[:, w.FOREIGN] + sums[:, w.OTHER] <= 0.15 * length) & (sums[:, w.DIGIT] <= 0.3 * length)
+    out &= sums[:, w.SINGLE] <= 0.34 * real
+    out &= (sums[:, w.LETTER] < 8) | (sums[:, w.MARK] >= 0.2 * sums[:, w.LETTER])
+    out &= sums[:, w.CODE] <= 0.12 * n
+    out &= (real < 12) | (distinct >= 0.4 * real)
+    out &= (n < 8) | (sums[:, w.SEPARATOR] <= 0.34 * n)
+    return out & (sums[:, w.COMMON] * 14 >= real)
+
+
+def measure(residuals: list[list[str] | None], words: Words) -> list[np.ndarray | None]:
+    """STATISTICS of each residual, in order; None for none."""
+    flat: list[str] = []
+    piece_words: list[int] = []
+    piece_line: list[int] = []
+    line_doc: list[int] = []
+    listed: list[bool] = []
+    ends: list[bool] = []
+    short_first: list[bool] = []
+    for doc, lines in enumerate(residuals):
+        for i, line in enumerate(lines or ()):
+            text = _BULLET.sub("", line)
+            end = _TERMINAL.search(text) is not None
+            short_first.append(i == 0 and len(lines) > 1 and len(line) <= TITLE)
+            listed.append(len(text) != len(line) and len(text) < 60 and not end)
+            ends.append(end)
+            for piece in _SPLIT.split(text):
+                found = piece.split()
+                if found:
+                    flat += found
+                    piece_words.append(len(found))
+                    piece_line.append(len(line_doc))
+            line_doc.append(doc)
+    out: list[np.ndarray | None] = [None] * len(residuals)
+    if not flat:
+        return [np.zeros(len(STATISTICS)) if lines else None for lines in residuals]
+    features, bare = words.features(flat)
+    n = np.array(piece_words)
+    starts = np.cumsum(n) - n
+    sums = np.add.reduceat(features, starts, axis=0).astype(np.int64)
+    piece = np.repeat(np.arange(len(n)), n)
+    line_of, doc_of = np.array(piece_line), np.array(line_doc)
+    reads = running(sums, n, _distinct(piece, bare, len(n)))
+    docs, lines_n = len(residuals), len(line_doc)
+    reading_line = np.bincount(line_of, reads, minlength=lines_n) > 0
+    reads |= reading_line[line_of] & (n < 4)  # a few words between sentences
+    reads &= ~np.array(listed)[line_of]
+    title = np.array(short_first) & ~reading_line
+    size = np.where(title[line_of], 0, sums[:, Words.LENGTH])
+    at = doc_of[line_of]
+    total = np.bincount(at, size, minlength=docs)
+    outside = total - np.bincount(at, size * reads, minlength=docs)
+    whole = np.zeros((docs, sums.shape[1]))
+    np.add.at(whole, at, sums)
+    count = np.bincount(at, n, minlength=docs)
+    distinct = _distinct(at[piece], bare, docs)
+    terminal = np.bincount(doc_of, ends, minlength=docs) / np.maximum(1, np.bincount(doc_of, minlength=docs))
+    real, visible = np.maximum(1, whole[:, Words.REAL]), np.maximum(1, whole[:, Words.LENGTH])
+    values = np.stack(
+        [
+            count,
+            whole[:, Words.BARE] / real,
+            (whole[:, Words.PUNCTUATION] + whole[:, Words.OTHER]) / visible,
+            whole[:, Words.DIGIT] / visible,
+            terminal,
+            whole[:, Words.COMMON] / real,
+            distinct / real,
+            whole[:, Words.SINGLE] / real,
+            whole[:, Words.MARK] / np.maximum(1, whole[:, Words.LETTER] + whole[:, Words.MARK]),
+            np.where(outside >= SHORT, outside / np.maximum(1, total), 0.0),
+        ],
+        1,
+    )
+    for i, lines in enumerate(residuals):
+        if lines:
+            out[i] = values[i]
+    return out
 
 
 def common_words(spark: SparkSession, sf_dir: str) -> frozenset[str]:
@@ -162,11 +217,12 @@ def common_words(spark: SparkSession, sf_dir: str) -> frozenset[str]:
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, language, residue (whether problem 10 claims it), and STATISTICS of every document, null without a residual."""
     common = common_words(spark, sf_dir)
+    state: dict[str, Words] = {}  # of each Python worker
     flagged, shared = Lines(spark, sf_dir, "lang").flagged()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = residuals(batch, shared)
-        values = [measure(r, common) if r else None for r in rows]
+        values = measure(rows, state.setdefault("words", Words(common)))
         columns = [pa.array([None if v is None else v[i] for v in values], pa.float64()) for i in range(len(STATISTICS))]
         residue = pa.array([bool(r) and evidence(r) is not None for r in rows])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), residue, *columns], ["doc_id", "lang", "residue", *STATISTICS])
