@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # White space as Python's str.split() knows it, word characters as Python's \w, and control characters.
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -36,13 +38,10 @@ DEVANAGARI = ScriptProfile("devanagari", r"[ऀ-ॿ]", r"[।॥?!]", r"[A-Za-z]
 LATIN = ScriptProfile("latin", r"[A-Za-z]", r"[.?!]", "")
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode normal form C; null stays null."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    return pc.utf8_normalize(pa.Array.from_pandas(text, pa.string()), "NFC").to_pandas()
+@F.arrow_udf(StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    """Unicode normal form C; null stays null. (Arrow's own kernel composes characters that Unicode excludes.)"""
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
 def strip_controls(text: Column) -> Column:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def packed_perplexity(nats: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def _longest_common(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of white-space tokens; 0 where a side is null or empty."""
 

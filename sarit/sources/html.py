@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Elements without prose, elements of prose, roots in order of preference, least lengths.
 DROPPED = frozenset("script style nav header footer aside form button noscript iframe svg".split())
@@ -69,7 +70,7 @@ def blocks_of(html: str | None) -> list[str]:
     return [" ".join("".join(p).split()) for _, _, p in parser.done]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def blocks(html: pd.Series) -> pd.Series:
     return html.map(blocks_of)
 
