@@ -14,11 +14,12 @@ whole texts. The language of the sketches is the normal form of the label, "othe
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarit.llm.batches import map_text
@@ -143,9 +144,11 @@ def measure(residuals: list[list[str] | None], words: Words) -> list[np.ndarray
     listed: list[bool] = []
     ends: list[bool] = []
     short_first: list[bool] = []
+    bullets = np.zeros(len(residuals))
     for doc, lines in enumerate(residuals):
         for i, line in enumerate(lines or ()):
             text = _BULLET.sub("", line)
+            bullets[doc] += len(text) != len(line)
             end = _TERMINAL.search(text) is not None
             short_first.append(i == 0 and len(lines) > 1 and len(line) <= TITLE)
             listed.append(len(text) != len(line) and len(text) < 60 and not end)
@@ -181,12 +184,12 @@ def measure(residuals: list[list[str] | None], words: Words) -> list[np.ndarray
     count = np.bincount(at, n, minlength=docs)
     distinct = _distinct(at[piece], bare, docs)
     terminal = np.bincount(doc_of, ends, minlength=docs) / np.maximum(1, np.bincount(doc_of, minlength=docs))
-    real, visible = np.maximum(1, whole[:, Words.REAL]), np.maximum(1, whole[:, Words.LENGTH])
+    real, visible = np.maximum(1, whole[:, Words.REAL]), np.maximum(1, whole[:, Words.LENGTH] + bullets)
     values = np.stack(
         [
             count,
             whole[:, Words.BARE] / real,
-            (whole[:, Words.PUNCTUATION] + whole[:, Words.OTHER]) / visible,
+            (whole[:, Words.PUNCTUATION] + whole[:, Words.OTHER] + bullets) / visible,
             whole[:, Words.DIGIT] / visible,
             terminal,
             whole[:, Words.COMMON] / real,
@@ -232,9 +235,13 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sketched(statistics: DataFrame) -> DataFrame:
-    """language, and median and spread (the larger side of the middle half, scaled to a normal deviation) of each statistic."""
-    sketches = statistics.where("outside_share is not null").groupBy("language").agg(*(F.kll_sketch_agg_double(s, F.lit(K)).alias(s) for s in STATISTICS))
-    out = sketches.select("language", *(F.kll_sketch_get_quantile_double(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.0), F.lit(1.0))).alias(s) for s in STATISTICS))
+    """language, and median and spread (the larger side of the middle half, scaled to a normal deviation) of each
+    statistic; the row of the null language is of the whole corpus, from the merged sketches of the languages."""
+    sketches = cut(statistics.where("outside_share is not null").groupBy("language").agg(*(F.kll_sketch_agg_double(s, F.lit(K)).alias(s) for s in STATISTICS)))
+    whole = sketches.agg(*(F.kll_merge_agg_double(s, F.lit(K)).alias(s) for s in STATISTICS)).where(f"{STATISTICS[0]} is not null").withColumn("language", F.lit(None).cast("string"))
+    every = sketches.unionByName(whole)
+    parts = F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.0, 1.0)))
+    out = every.select("language", *(F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, parts)).alias(s) for s in STATISTICS)).where(f"{STATISTICS[0]} is not null")
     columns = []
     for s in STATISTICS:
         low, middle, high, least, most = (F.col(s)[i] for i in range(5))
@@ -244,27 +251,36 @@ def sketched(statistics: DataFrame) -> DataFrame:
 
 
 def scored(statistics: DataFrame) -> DataFrame:
-    """The statistics with a robust z-score of each, s_z. The sketches' table has a row for each language, five at most."""
-    joined = statistics.join(broadcast_if_small(sketched(statistics)), "language", "left")
-    return joined.select(*statistics.columns, *(((F.col(s) - F.col(f"{s}_median")) / F.col(f"{s}_spread")).alias(f"{s}_z") for s in STATISTICS))
+    """The statistics with robust z-scores: s_z within the language, s_zz within the whole corpus. The sketches' table
+    has a row for each language, six at most."""
+    table_ = cut(sketched(statistics))
+    of_all = table_.where("language is null").drop("language").select(*(F.col(f"{s}_{x}").alias(f"{s}_{x}_all") for s in STATISTICS for x in ("median", "spread")))
+    joined = statistics.join(broadcast_if_small(table_.where("language is not null")), "language", "left").join(F.broadcast(of_all), how="left")  # one row
+    z = [((F.col(s) - F.col(f"{s}_median")) / F.col(f"{s}_spread")).alias(f"{s}_z") for s in STATISTICS]
+    zz = [((F.col(s) - F.col(f"{s}_median_all")) / F.col(f"{s}_spread_all")).alias(f"{s}_zz") for s in STATISTICS]
+    return joined.select(*statistics.columns, *z, *zz)
+
+
+def in_tail(statistic: str) -> Column:
+    return F.greatest(F.abs(f"{statistic}_z"), F.abs(f"{statistic}_zz")) > TAIL
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_statistics: doc_id, language, STATISTICS, their z-scores, and tails: the statistics in whose tails it lies."""
     out = scored(cut(measured(spark, sf_dir)))
-    tails = F.array_compact(F.array(*(F.when(F.abs(f"{s}_z") > TAIL, F.lit(s)) for s in STATISTICS)))
+    tails = F.array_compact(F.array(*(F.when(in_tail(s), F.lit(s)) for s in STATISTICS)))
     return out.drop("residue").withColumn("tails", F.when(F.col("outside_share").isNotNull(), tails))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_found: doc_id."""
     out = scored(cut(measured(spark, sf_dir)))
-    tail = F.greatest(*(F.abs(f"{s}_z") for s in STATISTICS)) > TAIL
+    tail = reduce(or_, map(in_tail, STATISTICS))
     return out.where(tail & (F.col("outside_share") > OUTSIDE) & ~F.col("residue")).select("doc_id").distinct()
 
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p1_quantiles: language, statistic, median, spread by the sketches."""
+    """p1_quantiles: language (null: the whole corpus), statistic, median, spread by the sketches."""
     wide = sketched(cut(measured(spark, sf_dir)))
     pairs = F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(f"{s}_median").alias("median"), F.col(f"{s}_spread").alias("spread")) for s in STATISTICS))
     return wide.select("language", F.inline(pairs))
