@@ -32,8 +32,11 @@ def malformed_by_file(spark: SparkSession, paths: str | list[str], schema: str =
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """name, length, reason of the files of a folder itself: why one is skipped, null if it is read."""
-    files = spark.read.format("binaryFile").load(f"{folder}/*").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    """name, length, reason of the files of a folder itself: why one is skipped, null if it is read. The names come from
+    the file system, since Spark's file sources leave out empty files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    files = spark.createDataFrame([(x.getPath().getName(), x.getLen()) for x in found if x.isFile() and not x.getPath().getName().startswith((".", "_"))], "name string, length bigint")
     return files.withColumn("reason", F.when(~F.col("name").endswith(".jsonl"), "not_jsonl").when(F.lower("name").contains("wiki"), "wiki").when(F.col("length") == 0, "empty"))
 
 
