@@ -12,11 +12,17 @@ from pyspark.sql.types import StringType
 
 # White space as Python's str.split() knows it, word characters as Python's \w, and control characters.
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+VISIBLE = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 ZERO_WIDTH = r"[\x{200b}\x{200c}\x{200d}\x{feff}]"
 # Markup left by extraction, in this order of alternatives.
-MARKUP = r"<[^>]+>|&#[0-9]+;|&[a-zA-Z]+;|(?:https?://|www\.)[^\t-\r\x1c-\x20]+|[^\t-\r\x1c-\x20]+@[^\t-\r\x1c-\x20]+\.[^\t-\r\x1c-\x20]+"
+INK = r"[^\t-\r\x1c-\x20]"
+MARKUP = rf"<[^>]+>|&#[0-9]+;|&[a-zA-Z]+;|(?:https?://|www\.){INK}+|{INK}+@{INK}+\.{INK}+"
+# The same, with mail addresses looked for only where a run of characters, or what a match left of it, begins: they
+# match there if anywhere in it, and long runs cost no more than their length.
+MARKUP_FAST = rf"<[^>]+>|&#[0-9]+;|&[a-zA-Z]+;|(?:https?://|www\.){INK}+|(?:\G|(?<!{INK})){INK}+@{INK}+\.{INK}+"
 HANDLE = rf"(?<!{WORD})@{WORD}+"
 HASH_SIGN = rf"(?<!{WORD})#(?={WORD})"
 BINARY = ("JFIF", "Exif", "%PDF", "Photoshop")
@@ -44,6 +50,16 @@ def nfc(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
+def let(value: Column, expression) -> Column:
+    """expression(value) with the value computed once; lambdas else compute it for every element."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at the ends, as Python's strip()."""
+    return F.btrim(text, F.lit(WHITE_CHARACTERS))
+
+
 def strip_controls(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, " ")
 
@@ -54,12 +70,12 @@ def drop_zero_width(text: Column) -> Column:
 
 def strip_markup(text: Column, handles: bool = True) -> Column:
     """Tags, entities, addresses and handles as a blank each, in one pass."""
-    return F.regexp_replace(text, f"(?i){MARKUP}|{HANDLE}" if handles else f"(?i){MARKUP}", " ")
+    return F.regexp_replace(text, f"(?i){MARKUP_FAST}|{HANDLE}" if handles else f"(?i){MARKUP_FAST}", " ")
 
 
 def strip_markup_in_passes(text: Column) -> Column:
     """The same patterns one after the other, which differs where they overlap; only addresses in any case."""
-    for part in (r"<[^>]+>", r"&#[0-9]+;", r"&[a-zA-Z]+;", r"(?i)(?:https?://|www\.)[^\t-\r\x1c-\x20]+", r"[^\t-\r\x1c-\x20]+@[^\t-\r\x1c-\x20]+\.[^\t-\r\x1c-\x20]+", HANDLE):
+    for part in (r"<[^>]+>", r"&#[0-9]+;", r"&[a-zA-Z]+;", rf"(?i)(?:https?://|www\.){INK}+", rf"(?:\G|(?<!{INK})){INK}+@{INK}+\.{INK}+", HANDLE):
         text = F.regexp_replace(text, part, " ")
     return text
 
@@ -80,7 +96,7 @@ def repair_dandas(text: Column) -> Column:
 def collapse(text: Column) -> Column:
     """Runs of blanks and tabs as one blank, three line feeds or more as two, no white space at the ends."""
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
+    return strip(text)
 
 
 def normalized(text: Column, profile: ScriptProfile = DEVANAGARI) -> Column:
@@ -100,42 +116,39 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("bigint")
+    return F.regexp_count(text, F.lit(f"{VISIBLE}+")).cast("bigint")
 
 
 def n_naive_tokens(text: Column) -> Column:
     """Runs of word characters, and every other visible character."""
-    return F.size(F.regexp_extract_all(text, F.lit(f"({NAIVE_TOKEN})"), 1)).cast("bigint")
+    return F.regexp_count(text, F.lit(NAIVE_TOKEN)).cast("bigint")
 
 
 def n_pre_tokens(text: Column) -> Column:
     """The same with Devanagari's marks among the word characters, dandas not."""
-    return F.size(F.regexp_extract_all(text, F.lit(f"({PRE_TOKEN})"), 1)).cast("bigint")
+    return F.regexp_count(text, F.lit(PRE_TOKEN)).cast("bigint")
 
 
 def lines(text: Column) -> Column:
     """Lines that aren't blank, trimmed."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 
 def script_ratio(text: Column, profile: ScriptProfile = DEVANAGARI) -> Column:
     """Characters of the script among those that aren't white space, 0 without any."""
-    visible = F.length(F.regexp_replace(text, WHITE, ""))
-    others = F.length(F.regexp_replace(F.regexp_replace(text, WHITE, ""), profile.letters, ""))
-    return F.when(visible > 0, (visible - others) / visible).otherwise(0.0)
+    visible, own = F.regexp_count(text, F.lit(VISIBLE)), F.regexp_count(text, F.lit(profile.letters))
+    return let(F.struct(visible.alias("n"), own.alias("own")), lambda x: F.when(x["n"] > 0, x["own"] / x["n"]).otherwise(0.0))
 
 
 def terminal_share(text: Column, profile: ScriptProfile = DEVANAGARI) -> Column:
     """Lines that end in a terminal mark among all that aren't blank, 0 without any."""
-    every = lines(text)
-    return F.when(F.size(every) > 0, F.size(F.filter(every, lambda x: x.rlike(f"{profile.terminals}$"))) / F.size(every)).otherwise(0.0)
+    return let(lines(text), lambda x: F.when(F.size(x) > 0, F.size(F.filter(x, lambda y: F.right(y, F.lit(1)).rlike(profile.terminals))) / F.size(x)).otherwise(0.0))
 
 
 def repeated_line_share(text: Column) -> Column:
-    """Lines that occur more than once among all that aren't blank, 0 without any."""
-    every = lines(text)
-    once = F.filter(F.array_distinct(every), lambda x: F.size(F.filter(every, lambda y: y == x)) == 1)
-    return F.when(F.size(every) > 0, (F.size(every) - F.size(once)) / F.size(every)).otherwise(0.0)
+    """Lines that occur more than once among all that aren't blank, 0 without any. Equal lines are neighbours once sorted."""
+    again = lambda x: F.filter(x, lambda y, i: F.coalesce(y == F.get(x, i - 1), F.lit(False)) | F.coalesce(y == F.get(x, i + 1), F.lit(False)))
+    return let(F.sort_array(lines(text)), lambda x: F.when(F.size(x) > 0, F.size(again(x)) / F.size(x)).otherwise(0.0))
 
 
 def looks_binary(text: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sarit.functions import text as T
@@ -33,13 +33,14 @@ MANUAL = QualityParams(min_words=10, min_script=0.70, max_repeated=0.30)
 
 def quality_reason(text: Column, params: QualityParams = DOWNLOADED) -> Column:
     """The first bound that a text fails, null if none; the order is the precedence. A null text is too short."""
-    return (
-        F.when(T.looks_binary(text), "binary_payload")
-        .when(F.coalesce(T.n_words(text), F.lit(0)) < params.min_words, "too_short")
-        .when(T.n_words(text) > params.max_words, "too_long")
-        .when(T.script_ratio(text, params.profile) < params.min_script, "low_script_ratio")
-        .when(T.terminal_share(text, params.profile) < params.min_terminal, "low_terminal_punct")
-        .when(T.repeated_line_share(text) > params.max_repeated, "repetitive_lines")
+    size = lambda n: F.when(F.coalesce(n, F.lit(0)) < params.min_words, "too_short").when(n > params.max_words, "too_long")
+    return F.when(T.looks_binary(text), "binary_payload").otherwise(
+        F.coalesce(
+            T.let(T.n_words(text), size),
+            F.when(T.script_ratio(text, params.profile) < params.min_script, "low_script_ratio")
+            .when(T.terminal_share(text, params.profile) < params.min_terminal, "low_terminal_punct")
+            .when(T.repeated_line_share(text) > params.max_repeated, "repetitive_lines"),
+        )
     )
 
 
@@ -65,20 +66,20 @@ def strip_boilerplate(df: DataFrame, share: float = 0.02) -> DataFrame:
     documents as one array for each source, so texts are neither exploded nor shuffled."""
     lines = boilerplate(df, share).groupBy("source").agg(F.collect_set("line").alias("_drop"))
     kept = df.join(broadcast_if_small(lines), "source", "left")
-    keep = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), F.regexp_replace(x, rf"^{T.WHITE}+|{T.WHITE}+$", "")), F.lit(False)))
-    text = F.regexp_replace(F.regexp_replace(F.array_join(keep, "\n"), r"\n{3,}", "\n\n"), rf"^{T.WHITE}+|{T.WHITE}+$", "")
+    keep = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), T.strip(x)), F.lit(False)))
+    text = T.strip(F.regexp_replace(F.array_join(keep, "\n"), r"\n{3,}", "\n\n"))
     return kept.withColumn("text", text).where("text <> ''").drop("_drop")
 
 
 def first_of(df: DataFrame, key: Column, order: str = "pos") -> DataFrame:
     """The row of least `order` for each key; rows with a null key are all kept.
 
-    The least position is found by an aggregate, which combines on the map side, so a key with very many copies is
-    never sorted in one task."""
+    A rank of 1 is planned with a group limit before the shuffle, so every task sends one row of a key at most, however
+    many copies it has."""
     keyed = df.withColumn("_key", key)
-    first = keyed.where("_key is not null").groupBy("_key").agg(F.min(order).alias("_first"))
-    some = keyed.join(first, (keyed["_key"] == first["_key"]) & (keyed[order] == first["_first"]), "left_semi")
-    return some.unionByName(keyed.where("_key is null")).drop("_key")
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(order))
+    some = keyed.where("_key is not null").withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_key")
+    return some.unionByName(keyed.where("_key is null").drop("_key"))
 
 
 def exact_key(text: Column) -> Column:
@@ -88,7 +89,9 @@ def exact_key(text: Column) -> Column:
 
 def exact_dedup(df: DataFrame) -> DataFrame:
     """The first of documents with the same normal form, across sources. Null texts are left out."""
-    return first_of(df.where("text is not null"), exact_key(F.col("text")))
+    keyed = df.where("text is not null").withColumn("_text_key", exact_key(F.col("text")))
+    rank = F.row_number().over(Window.partitionBy("_text_key").orderBy("pos"))
+    return keyed.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_text_key")
 
 
 def id_dedup(df: DataFrame, *keys: str) -> DataFrame:

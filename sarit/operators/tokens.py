@@ -16,7 +16,7 @@ UNKNOWN, END = 1, 3
 
 def sentences(text: Column) -> Column:
     """The pieces of a text after each end mark and white space, trimmed, none empty."""
-    trimmed = F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_replace(s, rf"^{T.WHITE}+|{T.WHITE}+$", ""))
+    trimmed = F.transform(F.split(text, SENTENCE_END), T.strip)
     return F.filter(trimmed, lambda s: s != "")
 
 

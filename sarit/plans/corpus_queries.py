@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sarit.functions import text as T
 from sarit.operators import cleaning, frontier, near_dedup, ngram, sampling, statistics, tokens
-from sarit.plans.scale import cut, table
+from sarit.plans.scale import cut, spread, table
 from sarit.sources.documents import documents, fold_hosts
 from sarit.sources.jsonl import pulled
 
@@ -49,6 +49,10 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir)
 
@@ -69,12 +73,12 @@ def flagship(spark, d):
 
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def nfc_form(spark, d):
-    return table(spark, d, "documents", "doc_id", T.nfc("text").alias("text"))
+    return texts(spark, d).select("doc_id", T.nfc("text").alias("text"))
 
 
 def scalar(name: str, expression, sql: str) -> None:
     """A query of one text form of every document."""
-    query(f"SELECT doc_id, {sql} AS text FROM documents", name)(lambda spark, d: table(spark, d, "documents", "doc_id", expression(F.col("text")).alias("text")))
+    query(f"SELECT doc_id, {sql} AS text FROM documents", name)(lambda spark, d: texts(spark, d).select("doc_id", expression(F.col("text")).alias("text")))
 
 
 scalar("strip_controls", T.strip_controls, rf"regexp_replace(text, '{T.CONTROL}', ' ', 'g')")
@@ -89,19 +93,19 @@ scalar("norm_key", T.norm_key, KEY)
 @query()
 def normalize_text(spark, d):
     """The whole normal form and the texts that it leaves, which are those that aren't empty after it."""
-    return table(spark, d, "documents", "doc_id", T.normalized(F.col("text")).alias("text")).where("text <> ''")
+    return texts(spark, d).select("doc_id", T.normalized(F.col("text")).alias("text")).where("text <> ''")
 
 
 @query()
 def normalize_in_passes(spark, d):
     """Markup stripped in passes, the form of manual sources; hash signs dropped."""
-    return table(spark, d, "documents", "doc_id", T.drop_hash_signs(T.strip_markup_in_passes(F.col("text"))).alias("text"))
+    return texts(spark, d).select("doc_id", T.drop_hash_signs(T.strip_markup_in_passes(F.col("text"))).alias("text"))
 
 
 @query(rf"SELECT doc_id, {WORDS}::BIGINT AS words, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes, len(regexp_extract_all(text, '{T.NAIVE_TOKEN}'))::BIGINT AS naive_tokens, len(regexp_extract_all(text, '{T.PRE_TOKEN}'))::BIGINT AS pretokens FROM documents WHERE text IS NOT NULL")
 def text_counts(spark, d):
     text = F.col("text")
-    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", T.n_words(text).alias("words"), F.length(text).cast("bigint").alias("chars"), F.octet_length(text).cast("bigint").alias("bytes"), T.n_naive_tokens(text).alias("naive_tokens"), T.n_pre_tokens(text).alias("pretokens"))
+    return texts(spark, d).where("text is not null").select("doc_id", T.n_words(text).alias("words"), F.length(text).cast("bigint").alias("chars"), F.octet_length(text).cast("bigint").alias("bytes"), T.n_naive_tokens(text).alias("naive_tokens"), T.n_pre_tokens(text).alias("pretokens"))
 
 
 @query("SELECT doc_id, translate(doc_id::VARCHAR, '0123456789', '०१२३४५६७८९') AS rendered FROM documents")
@@ -120,7 +124,7 @@ def provenance(spark, d):
 @query(f"SELECT doc_id, round({RATIO}, 6) AS script_ratio, round({TERMINAL}, 6) AS terminal_share, round({REPEATED}, 6) AS repeated_share, {BINARY} AS looks_binary FROM documents WHERE text IS NOT NULL")
 def line_metrics(spark, d):
     text = F.col("text")
-    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.round(T.script_ratio(text), 6).alias("script_ratio"), F.round(T.terminal_share(text), 6).alias("terminal_share"), F.round(T.repeated_line_share(text), 6).alias("repeated_share"), T.looks_binary(text).alias("looks_binary"))
+    return texts(spark, d).where("text is not null").select("doc_id", F.round(T.script_ratio(text), 6).alias("script_ratio"), F.round(T.terminal_share(text), 6).alias("terminal_share"), F.round(T.repeated_line_share(text), 6).alias("repeated_share"), T.looks_binary(text).alias("looks_binary"))
 
 
 @query(f"WITH {DOCS} SELECT pos, {REASON} AS reason FROM d")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarit.functions.text import is_manual
-from sarit.plans.scale import broadcast_if_small, table
+from sarit.plans.scale import broadcast_if_small, spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """pos, text, source (unknown where null), manual, lang and the given other columns of the table documents."""
     names = ("doc_id", "text", "source", "manual", "source_type", "lang", *columns)
-    df = table(spark, sf_dir, "documents", *names)
+    df = spread(table(spark, sf_dir, "documents", *names))
     return df.select(F.col("doc_id").alias("pos"), "text", F.coalesce("source", F.lit("unknown")).alias("source"), is_manual(F.col("manual"), F.col("source_type")).alias("manual"), "lang", *columns)
 
 

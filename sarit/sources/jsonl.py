@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarit.functions.text import WHITE
+from sarit.functions.text import strip
 
 DOCUMENT = "doc_id string, text string, content string, lang string, source string, source_type string, manual boolean, url string, fetched_at string"
 MODES = {"skip": "DROPMALFORMED", "fail": "FAILFAST", "count": "PERMISSIVE"}
@@ -43,7 +43,7 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 def pulled(df: DataFrame, source: str, lang: str, most: int = 500_000) -> DataFrame:
     """text, source, manual, lang of a downloaded set: text or else content, trimmed, none empty, at most so many in order
     of pos. The cap is the feature: a pull is defined by its first documents."""
-    text = F.regexp_replace(F.coalesce(F.nullif("text", F.lit("")), F.nullif("content", F.lit(""))), rf"^{WHITE}+|{WHITE}+$", "")
+    text = strip(F.coalesce(F.nullif("text", F.lit("")), F.nullif("content", F.lit(""))))
     return df.withColumn("text", text).where("text <> ''").orderBy("pos").limit(most).select("pos", "text", F.lit(source).alias("source"), F.lit(False).alias("manual"), F.lit(lang).alias("lang"))
 
 
