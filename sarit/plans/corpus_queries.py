@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sarit.functions import text as T
 from sarit.operators import cleaning, frontier, near_dedup, ngram, sampling, statistics, tokens
 from sarit.plans.scale import cut, spread, table
-from sarit.sources.documents import documents, fold_hosts
+from sarit.sources.documents import documents, fold_hosts, not_empty
 from sarit.sources.jsonl import pulled
 
 QUERIES: dict = {}
@@ -93,7 +93,7 @@ scalar("norm_key", T.norm_key, KEY)
 @query()
 def normalize_text(spark, d):
     """The whole normal form and the texts that it leaves, which are those that aren't empty after it."""
-    return texts(spark, d).select("doc_id", T.normalized(F.col("text")).alias("text")).where("text <> ''")
+    return not_empty(texts(spark, d).withColumn("text", T.normalized(F.col("text"))))
 
 
 @query()
@@ -326,7 +326,7 @@ def pipeline_funnel(spark, d):
 def cleaning_funnel(spark, d):
     """The whole chain: normal form, language, quality, exact duplicates, perplexity, near duplicates, each stage cut."""
     df = docs(spark, d)
-    normal = cut(df.withColumn("text", T.normalized(F.col("text"))).where("text <> ''"))
+    normal = cut(not_empty(df.withColumn("text", T.normalized(F.col("text")))))
     named = cut(cleaning.language_filter(normal, table(spark, d, "common_words"), F.lower("lang")).drop("label", "prob"))
     good = cut(cleaning.with_reason(named).where("reason is null").drop("reason"))
     once = cut(cleaning.exact_dedup(good))

@@ -20,3 +20,10 @@ def fold_hosts(df: DataFrame, registry: DataFrame) -> DataFrame:
     """df with a host in source replaced by its site's name; the registry is broadcast if it is counted to be small."""
     hosts = registry.where("host is not null").groupBy(F.col("host").alias("_host")).agg(F.min("site").alias("_site"))
     return df.join(broadcast_if_small(hosts), F.col("source") == F.col("_host"), "left").withColumn("source", F.coalesce("_site", "source")).drop("_host", "_site")
+
+
+def not_empty(df: DataFrame) -> DataFrame:
+    """df without null and empty texts. A filter on a computed text would be pushed below the projection and compute it
+    twice; generating the rows computes it once."""
+    columns = df.columns
+    return df.select(*(c for c in columns if c != "text"), F.explode(F.filter(F.array("text"), lambda x: x != "")).alias("text")).select(*columns)
