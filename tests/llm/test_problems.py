@@ -304,6 +304,27 @@ def test_leaks_against_brute_force(spark, folder):
     assert {(r.doc_id, r.item_id) for r in leaks.nearly_leaked(spark, d).collect()} >= want
 
 
+def test_blocks_of_words_and_items(spark, edge, monkeypatch):
+    whole = rows(leaks.leaked(spark, edge))
+    passages = next(leaks._item_blocks(table(spark, edge, "eval_items", "item_id", "text")))
+    hashes, _ = leaks.word_hashes([f"{HI} {EN} {HI}"] * 3)
+    once = {(n, w, p) for n, ws, ps in leaks._candidates(hashes, passages) for w, p in zip(ws.tolist(), ps.tolist(), strict=True)}
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 7)
+    assert {(n, w, p) for n, ws, ps in leaks._candidates(hashes, passages) for w, p in zip(ws.tolist(), ps.tolist(), strict=True)} == once
+    monkeypatch.setattr(leaks, "WINDOWS", 1)
+    assert len(list(leaks._item_blocks(table(spark, edge, "eval_items", "item_id", "text")))) == 3
+    assert whole and rows(leaks.leaked(spark, edge)) == whole
+
+
+def test_blocks_of_segments(monkeypatch):
+    profiles = language.Profiles({"hi": [HI], "ne": [NE], "mr": [], "en": [EN]})
+    segments = [HI, NE, EN, "x", ""] * 20
+    whole = profiles.distances(segments)
+    monkeypatch.setattr(language, "BLOCK", 100)
+    parts = profiles.distances(segments)
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+
+
 def test_blocks_find_all_within_the_radius():
     random.seed(8)
     base = np.array([random.getrandbits(64) for _ in range(500)], np.uint64)
