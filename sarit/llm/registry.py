@@ -31,8 +31,6 @@ QUERIES: dict = {
     "p10_kept": residue.kept,
 }
 ORACLE: dict = {
-    "p1_found": quality.found,
-    "p1_statistics": quality.statistics,
-    "p1_quantiles": quality.quantiles,
     "p5_found": repeated_lines.FOUND_SQL,
+    "p5_clean": repeated_lines.CLEAN_SQL,
 }

@@ -203,13 +203,15 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p5_clean: doc_id, text without its repeated lines; null stays null, a text of repeated lines only is empty."""
+    """p5_clean: doc_id, text without its repeated lines; null stays null, a text of repeated lines only is empty, texts
+    of a null source stay as they are."""
     flagged, shared = Lines(spark, sf_dir).flagged()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         flags = flagged_numbers(batch, shared)
-        kept = [t if t is None or not f else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in f) for t, f in zip(texts, flags, strict=True)]
+        sites = batch.column("site").to_pylist()
+        kept = [t if t is None or s is None or not f else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in f) for t, s, f in zip(texts, sites, flags, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string())], ["doc_id", "text"])
 
     return map_text(flagged, run, "doc_id bigint, text string")
@@ -229,3 +231,9 @@ h AS (SELECT q.site, line FROM q JOIN n ON q.site = n.site GROUP BY q.site, line
       HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) * 50 > documents)
 SELECT doc_id, CAST(line_no AS INT) AS line_no FROM q JOIN h USING (site, line)
 """
+CLEAN_SQL = f"""
+WITH found AS ({FOUND_SQL}), o AS (SELECT doc_id, list(DISTINCT line_no) AS numbers FROM found GROUP BY doc_id)
+SELECT documents.doc_id, CASE WHEN numbers IS NULL THEN text ELSE
+  array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(numbers, i - 1)), chr(10)) END AS text
+FROM documents LEFT JOIN o ON documents.doc_id = o.doc_id
+"""

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sarit.llm.registry import QUERIES
+from sarit.llm.registry import ORACLE, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -32,3 +32,7 @@ def test_found_columns(spark, edge):
 def test_first_queries():
     """A method that stands beside a plain rule would be a pN_method before the others; none is needed."""
     assert not [n for n in QUERIES if n.endswith("_method")]
+
+
+def test_sql():
+    assert set(ORACLE) <= set(QUERIES) and all(isinstance(sql, str) for sql in ORACLE.values())
