@@ -4,7 +4,12 @@ Method: every item is cut into passages of twelve consecutive words (the whole i
 passage's size slide over each document; a window's SimHash is the sign of the summed word vectors. Fingerprints are
 split into BLOCKS blocks; two that differ in fewer bits than there are blocks agree in a whole block, so looking each
 block up finds every pair within the radius. Candidates are verified exactly: p9_found keeps those whose word
-sequences are the same, p9_near those whose weighted shingle similarity is at least 0.8.
+sequences are the same.
+
+p9_near has these and the edited copies: windows of the whole item's size (a shorter document whole) whose words,
+each weighing as often as it occurs, agree with the item's to SIMILAR or more. A window reaches that only with at
+least 2 SIMILAR / (1 + SIMILAR) of its words among the item's, which running sums tell of every window; those that
+have so many are verified, so nothing is lost to a radius.
 
 Words are compared without case, punctuation, spacing, line breaks, invisible and look-alike characters. Null, empty
 and wordless texts and items give nothing. An item or a document that occurs twice is reported once. The items go to
@@ -15,6 +20,7 @@ block is one pass over the documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,10 @@ BLOCKS = (22, 21, 21)
 WINDOWS = 200_000
 #: Words whose windows are looked up at once.
 BLOCK_WORDS = 1 << 17
-#: Words to a shingle, and the similarity that p9_near asks for.
-SHINGLE, SIMILAR = 5, 0.8
+#: The similarity of words that p9_near asks for.
+SIMILAR = 0.8
+#: Windows that are verified at once.
+VERIFIED = 4096
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,16 +116,78 @@ def _candidates(hashes: np.ndarray, passages: dict[int, Passages]) -> Iterator[t
             yield n, window + start, passage
 
 
-def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum of lesser over sum of greater weights of the shingles, of SHINGLE words or the whole if shorter; a shingle
-    weighs as often as it occurs."""
-    k = min(SHINGLE, len(a), len(b))
-    counts: dict[tuple, list[int]] = {}
-    for side, words in enumerate((a.tolist(), b.tolist())):
-        for i in range(len(words) - k + 1):
-            counts.setdefault(tuple(words[i : i + k]), [0, 0])[side] += 1
-    greater = sum(max(c) for c in counts.values())
-    return sum(min(c) for c in counts.values()) / greater if greater else 0.0
+def similarities(windows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of lesser over sum of greater weights of the words of each window (a row) and of an item; a word weighs as
+    often as it occurs. Words are places in the item's counts, the number of these for a word it doesn't have."""
+    rows, n = windows.shape
+    kinds = len(counts)
+    there = np.bincount((np.arange(rows)[:, None] * (kinds + 1) + windows).ravel(), minlength=rows * (kinds + 1)).reshape(rows, kinds + 1)
+    shared = np.minimum(there[:, :kinds], counts).sum(1)
+    return shared / (n + counts.sum() - shared)
+
+
+class Items:
+    """Whole items as distinct words and their counts."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]]):
+        self.items = [item for item, _ in rows]
+        self.sizes = [len(words) for _, words in rows]
+        self.kinds = [np.unique(words, return_counts=True) for _, words in rows]
+
+    def near(self, hashes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Row, item and best similarity of all texts with a window that is similar enough."""
+        known, ids = np.unique(hashes, return_inverse=True)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sums = np.zeros(len(hashes) + 1, np.int32)
+        for item, n, (words, counts) in zip(self.items, self.sizes, self.kinds, strict=True):
+            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            there = known[at] == words
+            if counts[there].sum() < SIMILAR * n:  # no window holds more of the item than all texts do
+                continue
+            places = np.full(len(known), len(words), np.int32)
+            places[at[there]] = np.flatnonzero(there)
+            np.cumsum((places < len(words))[ids], out=sums[1:])
+            best: dict[int, float] = {}
+            if len(hashes) >= n:
+                window = np.flatnonzero((sums[n:] - sums[:-n]) * (1 + SIMILAR) >= 2 * SIMILAR * n - 1e-9)
+                window = window[owner[window] == owner[window + n - 1]]
+                for i in range(0, len(window), VERIFIED):
+                    part = window[i : i + VERIFIED]
+                    found = similarities(places[ids[part[:, None] + np.arange(n)]], counts)
+                    for w in np.flatnonzero(found >= SIMILAR).tolist():
+                        row = int(owner[part[w]])
+                        best[row] = max(best.get(row, 0.0), float(found[w]))
+            short = (sizes < n) & (sizes >= SIMILAR * n) & ((sums[ends] - sums[starts]) * (1 + SIMILAR) >= SIMILAR * (n + sizes) - 1e-9)
+            for row in np.flatnonzero(short).tolist():
+                found = similarities(places[ids[starts[row] : ends[row]]][None], counts)[0]
+                if found >= SIMILAR:
+                    best[row] = float(found)
+            for row, similarity in best.items():
+                yield row, item, similarity
+
+
+def _rows(items: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Item and words of the items that have any."""
+    for item, text in items.where("text is not null and item_id is not null").distinct().toLocalIterator():
+        words, _ = word_hashes([text])
+        if len(words):
+            yield item, words
+
+
+def _whole_items(items: DataFrame) -> Iterator[Items]:
+    """The whole items for each pass, in blocks of about WINDOWS words."""
+    current: list[tuple[int, np.ndarray]] = []
+    held = 0
+    for item, words in _rows(items):
+        current.append((item, words))
+        held += len(words)
+        if held >= WINDOWS:
+            yield Items(current)
+            current, held = [], 0
+    if current:
+        yield Items(current)
 
 
 def _item_blocks(items: DataFrame) -> Iterator[dict[int, Passages]]:
@@ -128,11 +198,8 @@ def _item_blocks(items: DataFrame) -> Iterator[dict[int, Passages]]:
     def closed() -> dict[int, Passages]:
         return {n: Passages(n, np.stack([w for w, _ in rows]), np.array([i for _, i in rows])) for n, rows in current.items()}
 
-    for item, text in items.where("text is not null and item_id is not null").distinct().toLocalIterator():
-        words, _ = word_hashes([text])
+    for item, words in _rows(items):
         n = min(PASSAGE, len(words))
-        if not n:
-            continue
         for i in range(len(words) - n + 1):
             current.setdefault(n, []).append((words[i : i + n], item))
         held += len(words) - n + 1
@@ -144,22 +211,22 @@ def _item_blocks(items: DataFrame) -> Iterator[dict[int, Passages]]:
 
 
 def _search(documents: DataFrame, items: DataFrame, near: bool) -> DataFrame:
-    """doc_id, item_id, similarity of documents with a window like a passage."""
+    """doc_id, item_id, similarity of documents that hold a passage, if near also of those with a window like an item."""
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, similarity double"
     whole = spark.createDataFrame([], schema)
     source = spread(documents.where("text is not null"))
-    for passages in _item_blocks(items):
-        shared = spark.sparkContext.broadcast(passages)
+    for block in zip_longest(_item_blocks(items), _whole_items(items) if near else ()):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
-            passages = shared.value
+            passages, whole_items = shared.value
             hashes, sizes = word_hashes(batch.column("text").to_pylist())
             if not len(hashes):
                 return None
             owner = np.repeat(np.arange(len(sizes)), sizes)
             best: dict[tuple[int, int], float] = {}
-            for n, window, passage in _candidates(hashes, passages):
+            for n, window, passage in _candidates(hashes, passages) if passages else ():
                 known = passages[n]
                 inside = owner[window] == owner[window + n - 1]
                 window, passage = window[inside], passage[inside]
@@ -168,12 +235,8 @@ def _search(documents: DataFrame, items: DataFrame, near: bool) -> DataFrame:
                     same &= hashes[window + j] == known.words[passage, j]
                 for row, item in set(zip(owner[window[same]].tolist(), known.items[passage[same]].tolist(), strict=True)):
                     best[row, item] = 1.0
-                if near:
-                    for w, p in set(zip(window[~same].tolist(), passage[~same].tolist(), strict=True)):
-                        s = weighted_similarity(hashes[w : w + n], known.words[p])
-                        if s >= SIMILAR:
-                            pair = int(owner[w]), int(known.items[p])
-                            best[pair] = max(best.get(pair, 0.0), s)
+            for row, item, similarity in whole_items.near(hashes, sizes) if whole_items else ():
+                best[row, item] = max(best.get((row, item), 0.0), similarity)
             if not best:
                 return None
             return pa.RecordBatch.from_arrays(
@@ -195,7 +258,8 @@ def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearly_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p9_near: doc_id, item_id, similarity of windows within the radius whose shingles agree to 0.8 or more."""
+    """p9_near: doc_id, item_id, similarity: the documents of p9_found with 1, those with an edited copy of the
+    whole item with the similarity of the most similar window."""
     return _search(*_read(spark, sf_dir), near=True)
 
 

@@ -304,6 +304,42 @@ def test_leaks_against_brute_force(spark, folder):
     assert {(r.doc_id, r.item_id) for r in leaks.nearly_leaked(spark, d).collect()} >= want
 
 
+def test_edited_leaks_against_brute_force(spark, folder):
+    """All altered passages of which a window is similar enough are found, and nothing else."""
+    from collections import Counter
+
+    random.seed(9)
+    word = lambda: random.choice("अआइकखगतनपमरलस") + random.choice("ािीेो") + str(random.randint(0, 30))
+    items = [{"item_id": i, "text": " ".join(word() for _ in range(random.choice([4, 9, 12, 20, 39, 60]))), "lang": "hi", "split": "val"} for i in range(24)]
+    docs, edited = [], set()
+    for i in range(150):
+        item = items[i % len(items)]
+        copy = item["text"].split()
+        for _ in range(1 + i % 4):
+            at = random.randrange(len(copy))
+            copy[at : at + random.choice([0, 1, 1])] = random.choice([[word()], [word()], []])
+        alone = i % 5 == 0
+        docs.append(document(i, " ".join(copy if alone else [word() for _ in range(30)] + copy + [word() for _ in range(30)])))
+        if i % 4 == 0 and len(item["text"].split()) >= 20:
+            edited.add((i, item["item_id"]))
+    d = folder(documents=docs, eval_items=items)
+    want = dict.fromkeys(rows(leaks.leaked(spark, d)), 1.0)
+    exact = set(want)
+    for x in docs:
+        text = lookalike.word_texts([x["text"]])[0].split()
+        for item in items:
+            words = lookalike.word_texts([item["text"]])[0].split()
+            n = min(len(words), len(text))
+            for p in range(len(text) - n + 1):
+                a, b = Counter(text[p : p + n]), Counter(words)
+                similarity = (a & b).total() / (a | b).total()
+                if similarity >= leaks.SIMILAR:
+                    key = x["doc_id"], item["item_id"]
+                    want[key] = max(want.get(key, 0.0), similarity)
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.nearly_leaked(spark, d).collect()}
+    assert got == pytest.approx(want) and edited <= set(got) and len(set(got) - exact) > 10
+
+
 def test_blocks_of_words_and_items(spark, edge, monkeypatch):
     whole = rows(leaks.leaked(spark, edge))
     passages = next(leaks._item_blocks(table(spark, edge, "eval_items", "item_id", "text")))
