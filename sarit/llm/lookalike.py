@@ -224,13 +224,18 @@ def same_look(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and form: each document's skeleton, null for null; equal-looking texts have equal forms."""
+    """tbl, key, field and form: the skeleton of each documents.text, scored_examples.generated and scored_examples.gold,
+    null for null; equal-looking texts have equal forms."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         looks = skeletons([t or "" for t in texts])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else s for t, s in zip(texts, looks, strict=True)], pa.string())], ["doc_id", "form"])
-
-    return map_text(spread(table(spark, sf_dir, "documents", "doc_id", "text")), run, "doc_id bigint, form string")
+        form = pa.array([None if t is None else s for t, s in zip(texts, looks, strict=True)], pa.string())
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("tbl", "key", "field")), form], ["tbl", "key", "field", "form"])
 
+    def forms(name: str, key: str, *fields: str) -> DataFrame:
+        values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("value")
+        rows = spread(table(spark, sf_dir, name, key, *fields)).select(F.lit(name).alias("tbl"), F.col(key).alias("key"), values)
+        return map_text(rows.select("tbl", "key", "value.*"), run, "tbl string, key bigint, field string, form string")
 
+    return forms("documents", "doc_id", "text").unionByName(forms("scored_examples", "score_id", "generated", "gold"))

@@ -240,6 +240,15 @@ def test_look_pairs(spark, edge):
     assert {k for t, k, _ in got if t == "scored_examples"} == {4, 5}
 
 
+def test_forms_of_all_texts(spark, edge):
+    got = {(r.tbl, r.key, r.field): r.form for r in lookalike.one_form(spark, edge).collect()}
+    scored = table(spark, edge, "scored_examples").collect()
+    documents = table(spark, edge, "documents").collect()
+    want = {("scored_examples", r.score_id, f): r[f] for r in scored for f in ("generated", "gold")}
+    want |= {("documents", r.doc_id, "text"): r.text for r in documents}
+    assert got == {k: None if t is None else lookalike.skeletons([t])[0] for k, t in want.items()}
+
+
 # 8
 
 
