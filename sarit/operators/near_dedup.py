@@ -1,7 +1,9 @@
-"""Near duplicates by MinHash and banded LSH: the variant that marks collisions and the greedy one.
+"""Near duplicates by MinHash and banded LSH: classes of verified pairs, and a greedy choice among these.
 
-Signatures come from Arrow batches of texts (numpy), everything after from aggregates: no pair of documents is ever
-built, so a bucket with a third of all documents costs one row for each document in it.
+Signatures come from Arrow batches of texts (numpy). Texts with the same shingles are one from there on, so copies cost
+no pairs. The others are paired within their buckets and verified by the exact similarity of their shingles.
+
+duplicates(), near_dedup() and greedy() are the unverified variants, which mark collisions by aggregates alone.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +28,18 @@ FOLD = (0xCBF29CE484222325, 0x100000001B3)
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """threshold: wanted Jaccard similarity; max_shingles: an even selection of longer texts' shingles, 0 for all."""
+    """threshold: wanted Jaccard similarity; max_shingles: an even selection of longer texts' shingles, 0 for all;
+    bands: 0 for those whose S-curve turns at the threshold."""
 
     threshold: float = 0.85
     permutations: int = 64
     shingle: int = 5
     max_shingles: int = 2048
+    bands: int = 0
+
+
+#: 25 bands of 5 rows, in which all but 5 of 100,000 pairs of similarity 0.8 meet; all shingles of five words.
+VERIFIED = NearDupParams(threshold=0.8, permutations=125, max_shingles=0, bands=25)
 
 
 def geometry(permutations: int, threshold: float) -> tuple[int, int]:
@@ -43,7 +52,7 @@ class Signer:
 
     def __init__(self, params: NearDupParams):
         self.params = params
-        self.bands, self.rows = geometry(params.permutations, params.threshold)
+        self.bands, self.rows = (params.bands, params.permutations // params.bands) if params.bands else geometry(params.permutations, params.threshold)
         draw = np.random.default_rng(SEED)
         self.a = draw.integers(1, 2**63, size=params.permutations, dtype=np.uint64) | np.uint64(1)
         self.b = draw.integers(0, 2**63, size=params.permutations, dtype=np.uint64)
@@ -73,13 +82,33 @@ class Signer:
 
     def keys(self, text: str) -> np.ndarray:
         """The key of each band, the band's number folded in."""
-        rows = self.signature(text)[: self.bands * self.rows].reshape(self.bands, self.rows)
+        return self.folded(self.signature(text))
+
+    def folded(self, signature: np.ndarray) -> np.ndarray:
+        rows = signature[: self.bands * self.rows].reshape(self.bands, self.rows)
         key = np.full(self.bands, FOLD[0], np.uint64)
         for column in rows.T:
             key = (key ^ column) * np.uint64(FOLD[1])
         return (key ^ (np.arange(self.bands, dtype=np.uint64) << np.uint64(56))).view(np.int64)
 
 
+class WideSigner(Signer):
+    """With 64-bit hashes of words, so that equal shingles are equal words, and all shingles once."""
+
+    def shingles(self, text: str) -> np.ndarray:
+        tokens = text.lower().split()
+        if len(self.known) > 500_000:
+            self.known.clear()
+        hashes = np.array([self.known[t] if t in self.known else self.known.setdefault(t, xxhash.xxh3_64_intdigest(t)) for t in tokens], np.uint64)
+        size = min(self.params.shingle, len(hashes))
+        out = np.zeros(len(hashes) - size + 1 if size else 0, np.uint64)
+        for j in range(size):
+            x = hashes[j : j + len(out)] * MULTIPLIERS[j % len(MULTIPLIERS)]
+            x ^= x >> np.uint64(29)
+            out += x * MULTIPLIERS[(j + 3) % len(MULTIPLIERS)]
+        return np.unique(out ^ (out >> np.uint64(32)))
+
+
 def band_keys(df: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """pos, keys of the documents with a text; the text doesn't go on."""
 
@@ -114,7 +143,11 @@ def greedy(df: DataFrame, params: NearDupParams = NearDupParams(threshold=0.8, p
     Each round keeps the documents that are first among the undecided in all their bands, and drops those that share a
     band with them; a round is two aggregates. Rounds go on while documents are undecided; on a chain of collisions
     their number grows with its length."""
-    keys = cut(band_keys(df, params)).select("pos", F.explode(F.array_distinct("keys")).alias("key"))
+    return _greedy(cut(band_keys(df, params)).select("pos", F.explode(F.array_distinct("keys")).alias("key")))
+
+
+def _greedy(keys: DataFrame) -> DataFrame:
+    """The same of rows (pos, key)."""
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     open_ = cut(keys.join(shared, "key"))
     alone = keys.select("pos").distinct().join(open_.select("pos").distinct(), "pos", "left_anti").withColumn("kept", F.lit(True))
@@ -132,3 +165,86 @@ def greedy(df: DataFrame, params: NearDupParams = NearDupParams(threshold=0.8, p
     for part in decided[1:]:
         out = out.unionByName(part)
     return out
+
+def _signed(df: DataFrame, params: NearDupParams) -> DataFrame:
+    """pos, whole, keys of the documents with a text; whole is a hash of all shingles."""
+
+    def run(batches):
+        signer = WideSigner(params)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                whole = [xxhash.xxh3_128_digest(signer.shingles(t).tobytes()) for t in texts]
+                values = np.concatenate([signer.keys(t) for t in texts]) if texts else np.zeros(0, np.int64)
+                offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * signer.bands)
+                yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["pos", "whole", "keys"])
+
+    return df.where("text is not null").select("pos", "text").mapInArrow(run, "pos bigint, whole binary, keys array<bigint>")
+
+
+def _shingled(df: DataFrame, params: NearDupParams) -> DataFrame:
+    """pos, shingles."""
+
+    def run(batches):
+        signer = WideSigner(params)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                shingles = [signer.shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(shingles, pa.list_(pa.int64()))], ["pos", "shingles"])
+
+    return df.select("pos", "text").mapInArrow(run, "pos bigint, shingles array<bigint>")
+
+
+def verified_pairs(df: DataFrame, params: NearDupParams = VERIFIED) -> tuple[DataFrame, DataFrame]:
+    """pos, first of all documents with a text: the first with the same shingles; and low, high of the pairs of such
+    first ones that share a band and whose shingles agree to the threshold."""
+    signed = cut(_signed(df, params))
+    firsts = cut(signed.groupBy("whole").agg(F.min("pos").alias("first")))
+    same = cut(signed.select("pos", "whole").join(firsts, "whole").select("pos", "first"))
+    keys = signed.join(firsts.select(F.col("first").alias("pos")), "pos", "left_semi").select("pos", F.explode(F.array_distinct("keys")).alias("key"))
+    keys = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    met = cut(keys.select("key", F.col("pos").alias("low")).join(keys.select("key", F.col("pos").alias("high")), "key").where("low < high").select("low", "high").distinct())
+    involved = met.select(F.explode(F.array("low", "high")).alias("pos")).distinct()
+    shingled = cut(_shingled(df.where("text is not null").join(involved, "pos", "left_semi"), params))
+    both = met.join(shingled.select(F.col("pos").alias("low"), F.col("shingles").alias("a")), "low").join(shingled.select(F.col("pos").alias("high"), F.col("shingles").alias("b")), "high")
+    shared = F.size(F.array_intersect("a", "b"))
+    near = both.where(shared >= params.threshold * (F.size("a") + F.size("b") - shared) - 1e-9)
+    return same, cut(near.select("low", "high"))
+
+
+def classes(df: DataFrame, params: NearDupParams = VERIFIED) -> DataFrame:
+    """pos, class of all documents with a text: the least pos that verified pairs lead to.
+
+    A round takes the least class among the neighbours and then that class's own; rounds go on while any changes."""
+    same, pairs = verified_pairs(df, params)
+    edges = cut(pairs.select(F.col("low").alias("pos"), F.col("high").alias("other")).unionByName(pairs.select(F.col("high").alias("pos"), F.col("low").alias("other"))))
+    found = cut(edges.groupBy("pos").agg(F.least("pos", F.min("other")).alias("class")))
+    while True:
+        near = edges.join(found.select(F.col("pos").alias("other"), "class"), "other").groupBy("pos").agg(F.min("class").alias("near"))
+        one = found.join(near, "pos").select("pos", F.col("class").alias("before"), F.least("class", "near").alias("class"))
+        two = found.select(F.col("pos").alias("class"), F.col("class").alias("further"))
+        after = cut(one.join(two, "class").select("pos", "before", F.least("class", "further").alias("class")))
+        found = after.select("pos", "class")
+        if after.where("before <> class").isEmpty():
+            break
+    return same.join(found.withColumnRenamed("pos", "first"), "first", "left").select("pos", F.coalesce("class", "first").alias("class"))
+
+
+def class_duplicates(df: DataFrame, params: NearDupParams = VERIFIED) -> DataFrame:
+    """pos, canonical of the documents that aren't the first of their class: its id, which is its least pos."""
+    return classes(df, params).where("class < pos").select("pos", F.col("class").alias("canonical"))
+
+
+def first_of_classes(df: DataFrame, params: NearDupParams = VERIFIED) -> DataFrame:
+    """df with the first document of each class; null texts stay."""
+    return df.join(class_duplicates(df, params).select("pos"), "pos", "left_anti")
+
+
+def verified_greedy(df: DataFrame, params: NearDupParams = VERIFIED) -> DataFrame:
+    """pos, kept: a document is dropped only if it is near to a kept one of lower pos. What a copy is near to, the
+    first of the copies is near to as well, so copies are never kept."""
+    same, pairs = verified_pairs(df, params)
+    alone = same.where("pos = first").select("pos", F.lit(None).cast("struct<low:bigint,high:bigint>").alias("key"))
+    both = pairs.select(F.explode(F.array("low", "high")).alias("pos"), F.struct("low", "high").alias("key"))
+    copies = same.where("pos > first").select("pos", F.lit(False).alias("kept"))
+    return _greedy(cut(alone.unionByName(both))).unionByName(copies)

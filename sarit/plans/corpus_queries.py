@@ -196,19 +196,19 @@ def lid_dropped_top5(spark, d):
 
 @query()
 def near_dup_ids(spark, d):
-    """Every document that is near to an earlier one, with the first such."""
-    return near_dedup.duplicates(docs(spark, d))
+    """Every document of a class of near duplicates but its first, which is the class's id."""
+    return near_dedup.class_duplicates(docs(spark, d))
 
 
 @query()
 def near_dedup_keep(spark, d):
-    return near_dedup.near_dedup(docs(spark, d)).select("pos")
+    return near_dedup.first_of_classes(docs(spark, d)).select("pos")
 
 
 @query()
 def near_dedup_greedy(spark, d):
     """pos, kept of every document with a text: dropped only if near to a kept one."""
-    return near_dedup.greedy(docs(spark, d))
+    return near_dedup.verified_greedy(docs(spark, d))
 
 
 # The n-gram model
@@ -331,7 +331,7 @@ def cleaning_funnel(spark, d):
     good = cut(cleaning.with_reason(named).where("reason is null").drop("reason"))
     once = cut(cleaning.exact_dedup(good))
     fluent = cut(ngram.perplexity_filter(once).drop("perplexity"))
-    return statistics.funnel({"1 read": df, "2 normalized": normal, "3 language": named, "4 quality": good, "5 exact_dedup": once, "6 perplexity": fluent, "7 near_dedup": near_dedup.near_dedup(fluent)})
+    return statistics.funnel({"1 read": df, "2 normalized": normal, "3 language": named, "4 quality": good, "5 exact_dedup": once, "6 perplexity": fluent, "7 near_dedup": near_dedup.first_of_classes(fluent)})
 
 
 @query(f"WITH {DOCS} SELECT count(*) * 10 AS docs_estimated, coalesce(sum(length(text)), 0)::BIGINT * 10 AS chars_estimated, coalesce(sum({WORDS}), 0)::BIGINT * 10 AS words_estimated FROM d WHERE pos % 10 = 0")

@@ -90,6 +90,39 @@ def test_greedy_keeps_the_end_of_a_chain(spark, monkeypatch):
     assert {r.pos: r.kept for r in near_dedup.greedy(df).collect()} == {0: True, 1: False, 2: True, 3: True}
 
 
+def test_verified_near_duplicates_by_brute_force(spark):
+    """All pairs of similarity 0.8 and no others, long texts and words put in at their start among them."""
+    random.seed(5)
+    texts = [None, "", " ", "x y", "X  y"]
+    for i in range(25):
+        base = [f"w{i}_{random.randint(0, 900)}" for _ in range(3000 if i == 0 else random.randint(40, 120))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in random.sample(range(len(copy)), 1 if len(copy) < 80 else random.choice([1, 2, 3])):
+                copy[at] = "neu"
+            texts.append(" ".join(["first", *copy] if i == 0 else copy))
+            base = copy
+    sets = {}
+    for pos, text in enumerate(texts):
+        if text is not None:
+            words = text.lower().split()
+            k = min(5, len(words))
+            sets[pos] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
+    near = {(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)}
+    first = {p: p for p in sets}
+    for _ in texts:
+        for a, b in near:
+            first[a] = first[b] = min(first[a], first[b])
+    kept = {}
+    for p in sorted(sets):
+        kept[p] = not any(kept[a] for a, b in near if b == p)
+    df = docs(spark, texts)
+    assert {(r.pos, r.canonical) for r in near_dedup.class_duplicates(df).collect()} == {(p, c) for p, c in first.items() if c < p}
+    assert {r.pos: r.kept for r in near_dedup.verified_greedy(df).collect()} == kept
+    assert len(near) > 20
+
+
 def test_running_total(spark):
     df = spark.createDataFrame([(i * i * 37, i % 7) for i in range(500)], "pos bigint, n int").repartition(5)
     total = 0
