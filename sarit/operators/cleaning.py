@@ -99,20 +99,21 @@ def id_dedup(df: DataFrame, *keys: str) -> DataFrame:
     return first_of(df, F.coalesce(*(F.nullif(F.col(k).cast("string"), F.lit("")) for k in keys)))
 
 
-def language_scores(df: DataFrame, words: DataFrame, head: int = 1000) -> DataFrame:
+def language_scores(df: DataFrame, words: DataFrame, head: int | None = None) -> DataFrame:
     """pos, label, prob: the language with the largest share of a text's frequent words, and that share.
 
-    Of the first `head` characters, as the filter is defined; ties go to the lesser label, texts without a frequent
+    Of the whole text, or its first `head` characters; ties go to the lesser label, texts without a frequent
     word have none. The list of words (lang, word) is broadcast if counted to be small."""
-    tokens = df.select("pos", F.explode(T.words(F.lower(F.substring(F.regexp_replace("text", "\n", " "), 1, head)))).alias("word"))
+    text = F.regexp_replace("text", "\n", " ")
+    tokens = df.select("pos", F.explode(T.words(F.lower(text if head is None else F.substring(text, 1, head)))).alias("word"))
     hits = tokens.join(broadcast_if_small(words.select(F.col("lang").alias("label"), F.lower("word").alias("word")).distinct()), "word").groupBy("pos", "label").agg(F.count("*").alias("n"))
     best = hits.groupBy("pos").agg(F.max_by("label", F.struct("n", F.translate("label", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))).alias("label"), F.max("n").alias("n"), F.sum("n").alias("all"))
     return best.select("pos", "label", (F.col("n") / F.col("all")).alias("prob"))
 
 
-def language_filter(df: DataFrame, words: DataFrame, want: Column, least: float = 0.6) -> DataFrame:
+def language_filter(df: DataFrame, words: DataFrame, want: Column, least: float = 0.6, head: int | None = None) -> DataFrame:
     """df with label and prob, of the documents whose best language is the wanted one with at least this probability."""
-    return df.join(language_scores(df, words), "pos").where((F.col("label") == want) & (F.col("prob") >= least))
+    return df.join(language_scores(df, words, head), "pos").where((F.col("label") == want) & (F.col("prob") >= least))
 
 
 def top(df: DataFrame, column: str, n: int = 5) -> DataFrame:

@@ -170,6 +170,8 @@ def url_dedup(spark, d):
     return cleaning.id_dedup(documents(spark, d, "url"), "url").select("pos")
 
 
+#: Characters of a text that the SQL of the languages reads; the operators read all.
+LID_HEAD = 1000
 LID = f"""w AS (SELECT DISTINCT lang AS label, lower(word) AS word FROM common_words),
 t AS (SELECT pos, unnest(list_filter(regexp_split_to_array(lower(substr(replace(text, chr(10), ' '), 1, 1000)), '{W}+'), lambda w: w <> '')) AS word FROM d),
 h AS (SELECT pos, label, count(*) AS n FROM t JOIN w USING (word) GROUP BY pos, label),
@@ -179,18 +181,18 @@ s AS (SELECT pos, label, n / total AS prob FROM r WHERE rn = 1)"""
 
 @query(f"WITH {DOCS}, {LID} SELECT pos, label, round(prob, 6) AS prob FROM s")
 def lid_scores(spark, d):
-    return cleaning.language_scores(docs(spark, d), table(spark, d, "common_words")).select("pos", "label", F.round("prob", 6).alias("prob"))
+    return cleaning.language_scores(docs(spark, d), table(spark, d, "common_words"), LID_HEAD).select("pos", "label", F.round("prob", 6).alias("prob"))
 
 
 @query(f"WITH {DOCS}, {LID} SELECT d.pos, label FROM d JOIN s ON d.pos = s.pos WHERE label = lower(lang) AND prob >= 0.6")
 def lid_keep(spark, d):
-    return cleaning.language_filter(docs(spark, d), table(spark, d, "common_words"), F.lower("lang")).select("pos", "label")
+    return cleaning.language_filter(docs(spark, d), table(spark, d, "common_words"), F.lower("lang"), head=LID_HEAD).select("pos", "label")
 
 
 @query(f"WITH {DOCS}, {LID} SELECT label, count(*) AS n FROM d JOIN s ON d.pos = s.pos WHERE NOT coalesce(label = lower(lang) AND prob >= 0.6, false) GROUP BY label ORDER BY n DESC, label LIMIT 5")
 def lid_dropped_top5(spark, d):
     df = docs(spark, d)
-    scored = df.join(cleaning.language_scores(df, table(spark, d, "common_words")), "pos")
+    scored = df.join(cleaning.language_scores(df, table(spark, d, "common_words"), LID_HEAD), "pos")
     return cleaning.top(scored.where(~F.coalesce((F.col("label") == F.lower("lang")) & (F.col("prob") >= 0.6), F.lit(False))), "label")
 
 

@@ -45,6 +45,13 @@ def test_language_scores(spark):
     assert got == {0: ("hi", pytest.approx(2 / 3)), 1: ("en", 1.0), 4: ("en", 0.5)}
 
 
+def test_language_of_the_whole_text(spark):
+    words = spark.createDataFrame([("hi", "के"), ("en", "the")], "lang string, word string")
+    df = docs(spark, ["के " + "x" * 1000 + " the the the"])
+    assert [(r.label, r.prob) for r in cleaning.language_scores(df, words).collect()] == [("en", 0.75)]
+    assert cleaning.language_filter(df, words, F.lit("hi")).count() == 0
+
+
 def test_band_geometry():
     assert near_dedup.geometry(64, 0.85) == (6, 10)
 
