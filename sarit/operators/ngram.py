@@ -13,16 +13,16 @@ from sarit.plans.scale import broadcast_if_small, cut
 
 @dataclass(frozen=True)
 class PerplexityParams:
-    """max_docs and max_tokens bound the training text (in order of pos), max_words what is scored of a text, as the
-    filter is defined; least: counts of pairs up to this are pruned; backoff: factor of an unseen pair."""
+    """max_docs and max_tokens bound the training text (in order of pos), max_words what is scored of a text,
+    cutoff_sample the documents of the percentile; None, the default, is no bound. least: counts of pairs up to this are pruned; backoff: factor of an unseen pair."""
 
-    max_docs: int = 400_000
-    max_tokens: int = 20_000_000
-    max_words: int = 300
+    max_docs: int | None = None
+    max_tokens: int | None = None
+    max_words: int | None = None
     least: int = 1
     backoff: float = 0.4
     percentile: float = 0.95
-    cutoff_sample: int = 200_000
+    cutoff_sample: int | None = None
 
 
 def running_total(df: DataFrame, order: str, value: str, cells: int = 1024) -> DataFrame:
@@ -41,8 +41,11 @@ def running_total(df: DataFrame, order: str, value: str, cells: int = 1024) -> D
 def training_documents(df: DataFrame, params: PerplexityParams = PerplexityParams()) -> DataFrame:
     """pos, tokens of the documents that the model is trained on: the budget ends after the one that reaches it."""
     sized = df.where("text is not null").select("pos", T.words(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
-    ranked = running_total(sized.withColumn("one", F.lit(1)), "pos", "one").withColumnRenamed("before", "rank").where(F.col("rank") < params.max_docs)
-    return running_total(ranked, "pos", "n").where(F.col("before") < params.max_tokens).select("pos", "tokens")
+    if params.max_docs is not None:
+        sized = running_total(sized.withColumn("one", F.lit(1)), "pos", "one").where(F.col("before") < params.max_docs).drop("before", "one")
+    if params.max_tokens is not None:
+        sized = running_total(sized, "pos", "n").where(F.col("before") < params.max_tokens)
+    return sized.select("pos", "tokens")
 
 
 def unigrams(documents: DataFrame) -> DataFrame:
@@ -57,12 +60,13 @@ def bigrams(documents: DataFrame, least: int = 1) -> DataFrame:
 
 
 def perplexities(df: DataFrame, one: DataFrame, two: DataFrame, params: PerplexityParams = PerplexityParams()) -> DataFrame:
-    """pos, perplexity of the first max_words words: the pair's share of its first word, else the backoff of the add-one
+    """pos, perplexity of all words or the first max_words: the pair's share of its first word, else the backoff of the add-one
     unigram; infinite for a text without words, null texts have none.
 
     Words of scored texts are counted by (pos, first, second) before the joins, which then carry no text."""
     total = one.agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))  # one row
-    tokens = df.where("text is not null").select("pos", F.slice(T.words(F.col("text")), 1, params.max_words).alias("tokens"))
+    words = T.words(F.col("text"))
+    tokens = df.where("text is not null").select("pos", (words if params.max_words is None else F.slice(words, 1, params.max_words)).alias("tokens"))
     places = tokens.select("pos", F.posexplode("tokens").alias("i", "second"), "tokens").select("pos", "second", F.when(F.col("i") > 0, F.get("tokens", F.col("i") - 1)).alias("first"))
     places = places.groupBy("pos", "first", "second").agg(F.count("*").alias("times"))
     known = places.join(two.withColumnRenamed("n", "pair"), ["first", "second"], "left")
@@ -75,8 +79,10 @@ def perplexities(df: DataFrame, one: DataFrame, two: DataFrame, params: Perplexi
 
 
 def cutoff(scores: DataFrame, params: PerplexityParams = PerplexityParams()) -> DataFrame:
-    """One row: the percentile of the finite perplexities, exact up to cutoff_sample documents, else of an even sample."""
+    """One row: the percentile of the finite perplexities, of an even sample if there are more than cutoff_sample."""
     finite = scores.where(F.col("perplexity") < float("inf"))
+    if params.cutoff_sample is None:
+        return finite.agg(F.percentile("perplexity", F.lit(params.percentile)).alias("cutoff"))
     step = scores.agg(F.greatest(F.lit(1), F.floor(F.count("*") / params.cutoff_sample)).alias("step"))
     return finite.crossJoin(F.broadcast(step)).where(F.pmod("pos", "step") == 0).agg(F.percentile("perplexity", F.lit(params.percentile)).alias("cutoff"))
 

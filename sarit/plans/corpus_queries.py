@@ -229,6 +229,10 @@ s4 AS (SELECT pos, CASE WHEN bi.n IS NOT NULL THEN ln(bi.n / f.n) ELSE ln(0.4) +
 s AS (SELECT pos, exp(-sum(lp) / count(*)) AS perplexity FROM s4 GROUP BY pos)"""
 
 
+#: Words of a text that the SQL scores; the operators score all.
+SCORED = ngram.PerplexityParams(max_words=300)
+
+
 def model(spark, d):
     trained = cut(ngram.training_documents(docs(spark, d)))
     one = cut(ngram.unigrams(trained))
@@ -247,7 +251,7 @@ def ngram_bigrams(spark, d):
 
 def scores(spark, d):
     df, trained, one = model(spark, d)
-    return ngram.perplexities(df, one, ngram.bigrams(trained))
+    return ngram.perplexities(df, one, ngram.bigrams(trained), SCORED)
 
 
 @query(f"WITH {DOCS}, {SCORES} SELECT pos, round(perplexity, 4) AS perplexity FROM s UNION ALL SELECT pos, 'inf'::DOUBLE FROM s1 WHERE len(tokens) = 0")
@@ -262,7 +266,7 @@ def perplexity_cutoff(spark, d):
 
 @query(f"WITH {DOCS}, {SCORES}, c AS (SELECT quantile_cont(perplexity, 0.95) AS cutoff FROM s) SELECT pos FROM s, c WHERE perplexity <= cutoff * (1 + 1e-12)")
 def perplexity_keep(spark, d):
-    return ngram.perplexity_filter(docs(spark, d)).select("pos")
+    return ngram.perplexity_filter(docs(spark, d), params=SCORED).select("pos")
 
 
 @query(f"WITH {DOCS}, {SCORES} SELECT round(quantile_cont(perplexity, 0.05), 4) AS p5, round(quantile_cont(perplexity, 0.25), 4) AS p25, round(quantile_cont(perplexity, 0.5), 4) AS p50, round(quantile_cont(perplexity, 0.75), 4) AS p75, round(quantile_cont(perplexity, 0.95), 4) AS p95 FROM s")

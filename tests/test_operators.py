@@ -155,6 +155,17 @@ def test_perplexity_by_hand(spark):
     assert got[2] == math.inf and 3 not in got
 
 
+def test_perplexity_without_bounds(spark):
+    train = ngram.training_documents(docs(spark, ["a b"]))
+    texts = docs(spark, ["a b " * 150, "a b " * 150 + "z " * 300])
+    got = {r.pos: r.perplexity for r in ngram.perplexities(texts, ngram.unigrams(train), ngram.bigrams(train)).collect()}
+    assert got[1] > got[0]
+    scores = spark.createDataFrame([(i, float(i % 2)) for i in range(400_000)], "pos bigint, perplexity double")
+    assert ngram.cutoff(scores).first().cutoff == 1.0
+    params = ngram.PerplexityParams()
+    assert params.max_docs is None and params.max_tokens is None
+
+
 def test_perplexity_filter_without_a_model(spark):
     df = docs(spark, ["", " "])
     assert ngram.perplexity_filter(df).count() == 2
