@@ -48,6 +48,12 @@ def with_reason(df: DataFrame, params: QualityParams = DOWNLOADED) -> DataFrame:
     return df.withColumn("reason", quality_reason(F.col("text"), params))
 
 
+def with_reason_by_origin(df: DataFrame) -> DataFrame:
+    """with_reason() by the bounds of manual sources where the column manual says so, else of downloaded ones."""
+    text = F.col("text")
+    return df.withColumn("reason", F.when(F.col("manual"), quality_reason(text, MANUAL)).otherwise(quality_reason(text, DOWNLOADED)))
+
+
 def line_counts(df: DataFrame) -> DataFrame:
     """source, line, n: documents of the source in which the trimmed line stands; twice in one counts once."""
     return df.select("source", F.explode(F.array_distinct(T.lines(F.col("text")))).alias("line")).groupBy("source", "line").agg(F.count("*").alias("n"))
@@ -71,6 +77,12 @@ def strip_boilerplate(df: DataFrame, share: float = 0.02) -> DataFrame:
     return kept.withColumn("text", text).where("text <> ''").drop("_drop")
 
 
+def strip_manual_boilerplate(df: DataFrame) -> DataFrame:
+    """strip_boilerplate() of the manual documents; the stage is left out for downloaded ones."""
+    manual = F.coalesce("manual", F.lit(False))
+    return strip_boilerplate(df.where(manual)).unionByName(df.where(~manual))
+
+
 def first_of(df: DataFrame, key: Column, order: str = "pos") -> DataFrame:
     """The row of least `order` for each key; rows with a null key are all kept.
 

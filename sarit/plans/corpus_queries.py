@@ -330,14 +330,15 @@ def pipeline_funnel(spark, d):
 
 @query()
 def cleaning_funnel(spark, d):
-    """The whole chain: normal form, language, quality, exact duplicates, perplexity, near duplicates, each stage cut."""
+    """The whole chain: normal form, language, boilerplate of manual sources, quality by origin, exact duplicates, perplexity, near duplicates, each stage cut."""
     df = docs(spark, d)
     normal = cut(not_empty(df.withColumn("text", T.normalized(F.col("text")))))
     named = cut(cleaning.language_filter(normal, table(spark, d, "common_words"), F.lower("lang")).drop("label", "prob"))
-    good = cut(cleaning.with_reason(named).where("reason is null").drop("reason"))
+    plain = cut(cleaning.strip_manual_boilerplate(named))
+    good = cut(cleaning.with_reason_by_origin(plain).where("reason is null").drop("reason"))
     once = cut(cleaning.exact_dedup(good))
     fluent = cut(ngram.perplexity_filter(once).drop("perplexity"))
-    return statistics.funnel({"1 read": df, "2 normalized": normal, "3 language": named, "4 quality": good, "5 exact_dedup": once, "6 perplexity": fluent, "7 near_dedup": near_dedup.first_of_classes(fluent)})
+    return statistics.funnel({"1 read": df, "2 normalized": normal, "3 language": named, "4 boilerplate": plain, "5 quality": good, "6 exact_dedup": once, "7 perplexity": fluent, "8 near_dedup": near_dedup.first_of_classes(fluent)})
 
 
 @query(f"WITH {DOCS} SELECT count(*) * 10 AS docs_estimated, coalesce(sum(length(text)), 0)::BIGINT * 10 AS chars_estimated, coalesce(sum({WORDS}), 0)::BIGINT * 10 AS words_estimated FROM d WHERE pos % 10 = 0")

@@ -24,6 +24,15 @@ def test_quality_reasons_in_order(spark):
     assert got == ["binary_payload", "too_short", "too_short", "too_short", "too_long", "low_script_ratio", "repetitive_lines", None]
 
 
+def test_quality_and_boilerplate_by_origin(spark):
+    df = docs(spark, [HI], manual=True).unionByName(docs(spark, [HI]))
+    assert [r.reason for r in cleaning.with_reason_by_origin(df).orderBy(F.desc("manual")).collect()] == [None, "too_short"]
+    same = docs(spark, [f"notice\ntext {i}" for i in range(60)])
+    df = same.withColumn("manual", F.lit(True)).unionByName(same)
+    got = cleaning.strip_manual_boilerplate(df).collect()
+    assert {(r.manual, r.text) for r in got} == {(m, f"text {i}" if m else f"notice\ntext {i}") for i in range(60) for m in (True, False)}
+
+
 def test_first_of_copies_and_ids(spark):
     df = docs(spark, ["a  b", "a b", None, "c", "a b "])
     assert [r.pos for r in cleaning.exact_dedup(df).orderBy("pos").collect()] == [0, 3]
