@@ -196,21 +196,38 @@ def lid_dropped_top5(spark, d):
     return cleaning.top(scored.where(~F.coalesce((F.col("label") == F.lower("lang")) & (F.col("prob") >= 0.6), F.lit(False))), "label")
 
 
-@query()
+# Classes of texts whose runs of five words agree to 0.8: all pairs by their shared runs, then the least pos reachable.
+NEAR = f"""nw AS (SELECT pos, list_filter(regexp_split_to_array(lower(text), '{W}+'), lambda w: w <> '') AS w FROM d WHERE text IS NOT NULL),
+ns AS (SELECT pos, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM nw),
+nf AS (SELECT s, min(pos) AS first, len(s) AS n FROM ns GROUP BY s), nm AS (SELECT pos, first FROM ns JOIN nf USING (s)),
+nu AS (SELECT first AS pos, n, unnest(s) AS x FROM nf),
+np AS (SELECT a.pos AS low, b.pos AS high FROM nu a JOIN nu b ON a.x = b.x AND a.pos < b.pos GROUP BY a.pos, b.pos, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+ne AS (SELECT low, high FROM np UNION ALL SELECT high, low FROM np),
+nr AS (SELECT first AS pos, first AS class FROM nf UNION SELECT ne.high, nr.class FROM nr JOIN ne ON ne.low = nr.pos WHERE nr.class < ne.high),
+nc AS (SELECT pos, min(class) AS class FROM nr GROUP BY pos), near AS (SELECT nm.pos, nc.class FROM nm JOIN nc ON nm.first = nc.pos)"""
+
+
+@query(f"WITH RECURSIVE {DOCS}, {NEAR} SELECT pos, class AS canonical FROM near WHERE class < pos")
 def near_dup_ids(spark, d):
     """Every document of a class of near duplicates but its first, which is the class's id."""
     return near_dedup.class_duplicates(docs(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {DOCS}, {NEAR} SELECT pos FROM d WHERE pos NOT IN (SELECT pos FROM near WHERE class < pos)")
 def near_dedup_keep(spark, d):
     return near_dedup.first_of_classes(docs(spark, d)).select("pos")
 
 
+@query(f"WITH {DOCS}, {NEAR[: NEAR.index('ne AS')].rstrip().rstrip(',')}, m AS (SELECT nm.pos, coalesce(min(low), first) AS canonical FROM nm LEFT JOIN np ON np.high = nm.first GROUP BY nm.pos, first) SELECT pos, canonical FROM m WHERE canonical < pos")
+def near_dup_marked(spark, d):
+    """Every document near to one of lower pos, whether that stays or not, and the least such pos."""
+    return near_dedup.marked(docs(spark, d))
+
+
 @query()
 def near_dedup_greedy(spark, d):
     """pos, kept of every document with a text: dropped only if near to a kept one."""
-    return near_dedup.verified_greedy(docs(spark, d))
+    return near_dedup.greedy(docs(spark, d))
 
 
 # The n-gram model

@@ -2,7 +2,6 @@
 
 import math
 import random
-import zlib
 
 import numpy as np
 import pytest
@@ -62,48 +61,65 @@ def test_language_of_the_whole_text(spark):
 
 
 def test_band_geometry():
-    assert near_dedup.geometry(64, 0.85) == (6, 10)
-
-
-def test_signature_by_brute_force():
-    signer = near_dedup.Signer(near_dedup.NearDupParams(permutations=8))
-    text = "one two three four five six seven"
-    hashes = [zlib.crc32(w.encode()) for w in text.split()]
-    mask = (1 << 64) - 1
-    shingles = []
-    for i in range(3):
-        x = 0
-        for j in range(5):
-            x ^= hashes[i + j] * int(near_dedup.MULTIPLIERS[j]) & mask
-        shingles.append(x)
-    with np.errstate(over="ignore"):
-        got = signer.signature(text)
-    assert got.tolist() == [min((int(a) * s + int(b)) & mask for s in shingles) >> 32 for a, b in zip(signer.a, signer.b, strict=True)]
-    assert set(signer.signature("").tolist()) == {0xFFFFFFFF}
-
-
-def test_near_duplicates(spark):
-    random.seed(1)
-    base = [f"w{random.randint(0, 500)}" for _ in range(200)]
-    other = list(base)
-    other[100] = "x"
-    df = docs(spark, [" ".join(base), " ".join(other), " ".join(f"v{i}" for i in range(200)), " ".join(base), None, "", " "])
-    got = {r.pos: r.canonical for r in near_dedup.duplicates(df).collect()}
-    assert got == {1: 0, 3: 0, 6: 5}
-    assert sorted(r.pos for r in near_dedup.near_dedup(df).collect()) == [0, 2, 4, 5]
-
-
-def test_greedy_keeps_the_end_of_a_chain(spark, monkeypatch):
-    """A shares a band with B, B with C: marking drops B and C, the greedy variant only B."""
-    keys = {"A": [1, 2], "B": [2, 3], "C": [3, 4], "D": [9, 8]}
-
-    def fake(df, params=None):
-        return spark.createDataFrame([(i, keys[t]) for i, t in enumerate("ABCD")], "pos bigint, keys array<bigint>")
-
-    monkeypatch.setattr(near_dedup, "band_keys", fake)
-    df = docs(spark, list("ABCD"))
-    assert sorted(r.pos for r in near_dedup.duplicates(df).collect()) == [1, 2]
-    assert {r.pos: r.kept for r in near_dedup.greedy(df).collect()} == {0: True, 1: False, 2: True, 3: True}
+    for threshold in (0.5, 0.8, 0.9):
+        params = near_dedup.NearDupParams(threshold=threshold)
+        bands, rows = near_dedup.geometry(params)
+        assert bands * rows <= params.places and 1 - (1 - threshold**rows) ** bands >= params.recall
+    assert near_dedup.geometry(near_dedup.NearDupParams()) == (24, 5)
+
+
+def test_signatures_agree_as_often_as_texts_are_similar():
+    """Texts of few and of many shingles; places of the same text without words are all ones."""
+    random.seed(8)
+    signer = near_dedup.Signer(near_dedup.NearDupParams())
+    for n in (9, 60, 2000):
+        same = []
+        for _ in range(60):
+            base = [f"w{random.random()}" for _ in range(n)]
+            values, sizes = signer.shingles([" ".join(base), " ".join([*base, "x"])])
+            a, b = (set(v.tolist()) for v in np.split(values, np.cumsum(sizes)[:-1]))
+            one, two = signer.signatures(values, sizes)
+            same.append((one == two).mean() - len(a & b) / len(a | b))
+        assert abs(np.mean(same)) < 0.03
+    values, sizes = signer.shingles(["", "a b"])
+    empty, short = signer.signatures(values, sizes)
+    assert set(empty.tolist()) == {(1 << 64) - 1} and len(set(short.tolist())) == 1
+
+
+def test_shingles_by_brute_force():
+    from sarit.functions.hashing import shingles
+
+    texts = ["", "a b", "a b c d e f", "F a b c d e f a b c d e f", "a b"]
+    values, sizes = shingles(texts, 5)
+    parts = [set(v.tolist()) for v in np.split(values, np.cumsum(sizes)[:-1])]
+    words = [t.lower().split() for t in texts]
+    runs = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in words]
+    assert [len(p) for p in parts] == [len(r) for r in runs]
+    for i in range(len(texts)):
+        for k in range(len(texts)):
+            assert len(parts[i] & parts[k]) == len(runs[i] & runs[k])
+
+
+def test_greedy_keeps_the_end_of_a_chain(spark):
+    """A is near to B, B to C: B is dropped, C isn't; by tasks and by rounds alike."""
+    random.seed(4)
+    pairs = {(1, 2), (2, 3), (7, 9)} | {tuple(sorted(random.sample(range(20, 60), 2))) for _ in range(60)}
+    df = spark.createDataFrame(sorted(pairs), "low bigint, high bigint")
+    want = {}
+    for pos in sorted({p for x in pairs for p in x}):
+        want[pos] = not any(want[a] for a, b in pairs if b == pos)
+    assert (want[1], want[2], want[3]) == (True, False, True)
+    for most in (near_dedup.LINKS, 1, 0):
+        assert {r.pos: r.kept for r in near_dedup.chosen(df, most).collect()} == want
+
+
+def test_one_large_bucket(spark, monkeypatch):
+    """Many texts of one class and some that only share its bucket; salted."""
+    monkeypatch.setattr(near_dedup, "SALTED", 3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]] if i % 2 else [*base, f"y{i}"]) for i in range(40)]
+    df = docs(spark, texts)
+    assert {r["class"] for r in near_dedup.classes(df).collect()} == {0}
 
 
 def test_verified_near_duplicates_by_brute_force(spark):
@@ -135,7 +151,9 @@ def test_verified_near_duplicates_by_brute_force(spark):
         kept[p] = not any(kept[a] for a, b in near if b == p)
     df = docs(spark, texts)
     assert {(r.pos, r.canonical) for r in near_dedup.class_duplicates(df).collect()} == {(p, c) for p, c in first.items() if c < p}
-    assert {r.pos: r.kept for r in near_dedup.verified_greedy(df).collect()} == kept
+    assert {r.pos: r.kept for r in near_dedup.greedy(df).collect()} == kept
+    least = {p: min([a for a, b in near if b == p], default=p) for p in sets}
+    assert {(r.pos, r.canonical) for r in near_dedup.marked(df).collect()} == {(p, c) for p, c in least.items() if c < p}
     assert len(near) > 20
 
 
