@@ -16,9 +16,10 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts in order, and the number of words of each; a word is hashed once."""
-    words = [t.lower().split() for t in texts]
+def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, lower-cased if asked, and the number of words of each; a word is
+    hashed once."""
+    words = [(t.lower() if lower else t).split() for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     flat = pa.array([w for ws in words for w in ws], pa.large_string()).dictionary_encode()
     known = np.array([xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
@@ -43,3 +44,11 @@ def shingles(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     return value[new], np.bincount(row[new], minlength=len(sizes))
+
+
+def found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key among the known ones, which are sorted, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return place, known[place] == keys

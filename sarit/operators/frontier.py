@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Endings of paths that are no article.
@@ -68,21 +68,38 @@ def counts(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("crawl_state").agg(F.count("*").alias("n"))
 
 
-def discovered(strategies: DataFrame, cap: int, enough: int = 50) -> DataFrame:
-    """site, url, rank of what the strategies (site, strategy from 0, place, url) found: a further strategy counts only
-    while all before it found fewer than `enough` URLs, URLs once, in order, at most `cap` for each site.
-
-    cap is the feature; ranks are counted within a site's strategies."""
-    from pyspark.sql import Window
-
-    first = strategies.where("url is not null").groupBy("site", "url").agg(F.min(F.struct("strategy", "place")).alias("x")).select("site", "url", "x.*")
-    found = strategies.where("url is not null").groupBy("site", "strategy").agg(F.count_distinct("url").alias("n"))
-    most = F.coalesce(F.max("n").over(Window.partitionBy("site").orderBy("strategy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = found.withColumn("_before", most).where(F.col("_before") < enough).select("site", "strategy")
+# Most URLs of the second and the third strategy, and how many are enough.
+CAPS, ENOUGH = {1: 20_000, 2: 10_000}, 50
+#: The strategy of a wiki's own listing.
+WIKI = -1
+
+
+def discovered(strategies: DataFrame, cap: int, enough: int = ENOUGH, caps: dict[int, int] = CAPS) -> DataFrame:
+    """site, url, rank of what the strategies (site, strategy, place, url) found.
+
+    A wiki's own listing (strategy WIKI) is all that counts of a wiki that has one. Else strategies from 0 on follow each
+    other: a further one counts only while all URLs so far, each once, are fewer than `enough`. Of a strategy the first
+    caps[strategy] places count, of a site the first `cap` URLs in order. The caps are the feature; ranks are counted
+    within a site."""
+    rows = strategies.where("url is not null")
+    wikis = rows.where((F.col("strategy") == WIKI) & is_wiki(F.concat(F.lit("http://"), "site", F.lit("/")))).select("site").distinct()
+    rows = rows.join(wikis.withColumn("_wiki", F.lit(True)), "site", "left").where(F.when(F.col("_wiki"), F.col("strategy") == WIKI).otherwise(F.col("strategy") >= 0)).drop("_wiki")
+    limit = F.least(F.lit(cap), *(F.when(F.col("strategy") == k, n).otherwise(cap) for k, n in caps.items())) if caps else F.lit(cap)
+    listed = F.row_number().over(Window.partitionBy("site", "strategy").orderBy("place", "url"))
+    rows = rows.groupBy("site", "strategy", "url").agg(F.min("place").alias("place")).withColumn("_at", listed).where(F.col("_at") <= F.greatest(F.lit(0), limit))
+    first = rows.groupBy("site", "url").agg(F.min(F.struct("strategy", "place")).alias("x")).select("site", "url", "x.*")
+    sizes = first.groupBy("site", "strategy").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("site").orderBy("strategy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = sizes.withColumn("_before", before).where(F.col("_before") < enough).select("site", "strategy")
     rank = F.row_number().over(Window.partitionBy("site").orderBy("strategy", "place", "url"))
     return first.join(used, ["site", "strategy"]).withColumn("rank", rank).where(F.col("rank") <= cap).select("site", "url", "rank")
 
 
+def wiki_api(url: Column) -> Column:
+    """The address of a wiki's programming interface, null for other hosts."""
+    return F.when(is_wiki(url), F.concat(F.lit("https://"), host_of(url), F.lit("/w/api.php")))
+
+
 def sitemap_locations(xml: Column) -> Column:
     """The loc elements of a sitemap by local name, those of image and video namespaces left out."""
     return F.transform(F.filter(F.regexp_extract_all(xml, F.lit(r"<((?:(?!image:|video:)[A-Za-z0-9_]+:)?loc)\b[^>]*>\s*(?:<!\[CDATA\[)?\s*([^<\]]*?)\s*(?:\]\]>)?\s*</\1>"), F.lit(2)), lambda x: x != ""), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+
+from sarit.functions import text as T
 
 
 def packed_perplexity(nats: DataFrame) -> DataFrame:
@@ -58,48 +61,78 @@ def top_ngrams(df: DataFrame, items: str, n: int, k: int) -> DataFrame:
 
 
 def longest_run(df: DataFrame, key: str, items: str) -> DataFrame:
-    """key, run: the longest run of one item, 0 for an empty array: gaps and islands within each row."""
-    places = df.select(key, F.posexplode(items).alias("i", "x"))
-    island = F.col("i") - F.row_number().over(Window.partitionBy(key, "x").orderBy("i"))
-    runs = places.withColumn("island", island).groupBy(key, "x", "island").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("run"))
-    return df.select(key).join(runs, key, "left").select(key, F.coalesce("run", F.lit(0)).alias("run"))
-
-
-def clipped(df: DataFrame, hypothesis: Column, reference: Column, orders: int) -> DataFrame:
-    """order, matches (clipped by pair), hypothesis and reference n-grams over a corpus of pairs (id, hypothesis, reference)."""
-    out = None
-    for n in range(1, orders + 1):
-        left = df.select("id", F.explode(ngrams(hypothesis, n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("h"))
-        right = df.select("id", F.explode(ngrams(reference, n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("r"))
-        both = left.join(right, ["id", "g"], "full").agg(F.coalesce(F.sum(F.least("h", "r")), F.lit(0)).alias("matches"), F.coalesce(F.sum("h"), F.lit(0)).alias("hyp"), F.coalesce(F.sum("r"), F.lit(0)).alias("ref"))
-        # least of a null and a number is the number: only pairs on both sides match
-        both = left.join(right, ["id", "g"]).agg(F.coalesce(F.sum(F.least("h", "r")), F.lit(0)).alias("matches")).crossJoin(both.select("hyp", "ref"))
-        row = both.select(F.lit(n).alias("order"), "matches", "hyp", "ref")
-        out = row if out is None else out.unionAll(row)
-    return out
-
-
-def bleu(df: DataFrame, hypothesis: Column, reference: Column) -> DataFrame:
-    """One row: corpus BLEU-4 in percent with brevity penalty; without a match of some order the precision of that order
-    is half of one in the next power of two (exponential smoothing)."""
-    orders = clipped(df, hypothesis, reference, 4)
-    zero = F.sum(F.when(F.col("matches") == 0, 1).otherwise(0)).over(Window.orderBy("order"))  # four rows
-    share = F.when(F.col("hyp") == 0, None).when(F.col("matches") == 0, 1 / (F.pow(F.lit(2.0), "zeros") * F.col("hyp"))).otherwise(F.col("matches") / F.col("hyp"))
-    known = orders.withColumn("zeros", zero).withColumn("p", share)
-    mean = known.agg(F.exp(F.sum(F.log("p")) / 4).alias("mean"), F.count("p").alias("orders"), F.max("hyp").alias("h"), F.max("ref").alias("r"), F.sum("matches").alias("any"))
-    penalty = F.when(F.col("h") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("h")))
-    return mean.select(F.round(F.when((F.col("orders") == 4) & (F.col("any") > 0), 100 * F.col("mean") * penalty).otherwise(0.0), 6).alias("bleu"))
-
-
-def chrf(df: DataFrame, characters: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
-    """One row: corpus chrF++ in percent: F-beta averaged over character and word n-gram orders that occur."""
-    letters = lambda c: F.split(F.regexp_replace(c, r"\s+", ""), "")
-    tokens = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    own = lambda c: F.filter(letters(c), lambda x: x != "")
-    orders = clipped(df, own(F.col("hypothesis")), own(F.col("reference")), characters).unionAll(clipped(df, tokens(F.col("hypothesis")), tokens(F.col("reference")), words))
-    p, r = (F.when(F.col(c) > 0, F.col("matches") / F.col(c)).otherwise(0.0) for c in ("hyp", "ref"))
-    score = F.when(p + r > 0, (1 + beta**2) * p * r / (beta**2 * p + r)).otherwise(0.0)
-    return orders.where("hyp > 0 and ref > 0").agg(F.coalesce(F.round(100 * F.avg(score), 6), F.lit(0.0)).alias("chrf"))
+    """key, run: the longest run of one item, 0 for an empty array."""
+    return df.select(key, run_length(F.col(items)).cast("bigint").alias("run"))
+
+
+def intl_tokens(text: Column) -> Column:
+    """Tokens of a text as the published BLEU tool's international tokenization has them: punctuation apart from what is
+    no number, symbols apart from everything."""
+    for pattern, to in ((r"(\P{N})(\p{P})", "$1 $2 "), (r"(\p{P})(\P{N})", " $1 $2"), (r"(\p{S})", " $1 ")):
+        text = F.regexp_replace(text, pattern, to)
+    return T.words(text)
+
+
+def characters(text: Column) -> Column:
+    """A text's characters, white space left out."""
+    return F.filter(F.split(F.regexp_replace(text, T.WHITE, ""), ""), lambda x: x != "")
+
+
+def chrf_words(text: Column) -> Column:
+    """Words with one ASCII punctuation mark at the end, else at the beginning, as a token of its own."""
+    mark = r"[!-/:-@\[-`{-~]"
+    apart = F.transform(T.words(text), lambda w: F.when(F.length(w) == 1, F.array(w)).when(F.right(w, F.lit(1)).rlike(mark), F.array(F.substring(w, F.lit(1), F.length(w) - 1), F.right(w, F.lit(1)))).when(F.left(w, F.lit(1)).rlike(mark), F.array(F.left(w, F.lit(1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(F.array(w)))
+    return F.flatten(apart)
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("kind", IntegerType())] + [StructField(c, LongType()) for c in ("hyp", "ref", "matches", "answered")])))
+def _shared(kinds: pa.Array, orders: pa.Array, hypotheses: pa.Array, references: pa.Array) -> pa.Array:
+    """For each order up to the given one: n-grams of the hypothesis, of the reference, of both (clipped), and again of the
+    hypothesis, 0 if the reference has none."""
+    rows = []
+    for kind, most, hypothesis, reference in zip(kinds.to_pylist(), orders.to_pylist(), hypotheses.to_pylist(), references.to_pylist(), strict=True):
+        row = []
+        for n in range(1, most + 1):
+            h, r = (Counter(zip(*(items[k:] for k in range(n)), strict=False)) for items in (hypothesis or [], reference or []))
+            row.append({"kind": kind + n, "hyp": h.total(), "ref": r.total(), "matches": (h & r).total(), "answered": h.total() if r else 0})
+        rows.append(row)
+    return pa.array(rows, pa.list_(pa.struct([("kind", pa.int32()), ("hyp", pa.int64()), ("ref", pa.int64()), ("matches", pa.int64()), ("answered", pa.int64())])))
+
+
+def clipped(df: DataFrame, hypothesis: Column, reference: Column, orders: int, *by: str, kind: int = 0) -> DataFrame:
+    """by, kind (plus the order), matches, hyp, ref, answered: n-grams added up over the pairs of each group. A pair is counted in
+    its row, so what is shuffled are sums."""
+    found = F.explode(_shared(F.lit(kind), F.lit(orders), hypothesis, reference)).alias("x")
+    return df.select(*by, found).select(*by, "x.*").groupBy(*by, "kind").agg(*(F.sum(c).alias(c) for c in ("matches", "hyp", "ref", "answered")))
+
+
+def bleu(df: DataFrame, hypothesis: Column, reference: Column, *by: str) -> DataFrame:
+    """by, bleu: corpus BLEU-4 in percent of token arrays with brevity penalty; without a match of some order the
+    precision of that order is half of one in the next power of two (exponential smoothing), without n-grams of some
+    order the score is 0."""
+    orders = clipped(df, hypothesis, reference, 4, *by)
+    at = lambda c, n: F.max(F.when(F.col("kind") == n, F.col(c)))
+    wide = orders.groupBy(*by).agg(*(at(c, n).alias(f"{c}{n}") for c in ("matches", "hyp", "ref") for n in range(1, 5)))
+    logs, zeros = F.lit(0.0), F.lit(0)
+    for n in range(1, 5):
+        none = F.col(f"matches{n}") == 0
+        zeros = zeros + none.cast("int")
+        logs = logs + F.log(F.when(none, 1 / F.pow(F.lit(2.0), zeros)).otherwise(F.col(f"matches{n}")) / F.col(f"hyp{n}"))
+    any_ = F.col("matches1") + F.col("matches2") + F.col("matches3") + F.col("matches4")
+    penalty = F.when(F.col("hyp1") >= F.col("ref1"), 1.0).otherwise(F.exp(1 - F.col("ref1") / F.col("hyp1")))
+    return wide.select(*by, F.round(F.when((F.col("hyp4") > 0) & (any_ > 0), 100 * F.exp(logs / 4) * penalty).otherwise(0.0), 6).alias("bleu"))
+
+
+def chrf(df: DataFrame, *by: str, most: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
+    """by, chrf: corpus chrF++ in percent: precision and recall are averaged over the character and word orders that both
+    sides have, F-beta is taken of the averages. A pair without n-grams in the reference counts none of its own."""
+    h, r = F.col("hypothesis"), F.col("reference")
+    parts = [clipped(df, characters(h), characters(r), most, *by), clipped(df, chrf_words(h), chrf_words(r), words, *by, kind=100)]
+    orders = parts[0].unionByName(parts[1]).where("answered > 0 and ref > 0")
+    means = orders.groupBy(*by).agg(F.avg(F.col("matches") / F.col("answered")).alias("p"), F.avg(F.col("matches") / F.col("ref")).alias("r"))
+    score = F.when(F.col("p") + F.col("r") > 0, (1 + beta**2) * F.col("p") * F.col("r") / (beta**2 * F.col("p") + F.col("r"))).otherwise(0.0)
+    out = means.select(*by, F.round(100 * score, 6).alias("chrf"))
+    return df.select(*by).distinct().join(out, list(by), "left").fillna(0.0, ["chrf"]) if by else df.agg(F.count("*").alias("_n")).join(out, how="left").select(F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
 
 
 def _longest_common(a: list[str], b: list[str]) -> int:
@@ -114,23 +147,43 @@ def _longest_common(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf(DoubleType())
-def rouge_l(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
-    """F1 of the longest common subsequence of white-space tokens; 0 where a side is null or empty."""
-
-    def one(h: str | None, r: str | None) -> float:
+@F.arrow_udf(StructType([StructField(c, DoubleType()) for c in ("p", "r", "f")]))
+def rouge_l(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
+    """Precision, recall and F1 of the longest common subsequence of white-space tokens; 0 where a side is null or empty."""
+    rows = []
+    for h, r in zip(hypothesis.to_pylist(), reference.to_pylist(), strict=True):
         a, b = (h or "").split(), (r or "").split()
         n = _longest_common(a, b) if a and b else 0
-        return 2 * n / (len(a) + len(b)) if n else 0.0
+        rows.append((n / len(a), n / len(b), 2 * n / (len(a) + len(b))) if n else (0.0, 0.0, 0.0))
+    return pa.StructArray.from_arrays([pa.array([x[i] for x in rows], pa.float64()) for i in range(3)], ["p", "r", "f"])
+
+
+def generation_summary(df: DataFrame, setting: str) -> DataFrame:
+    """For each setting of (setting, hypothesis, reference): n, bleu, chrf, mean ROUGE-L, distinct-1 and -2, repetition of
+    4-grams, the longest run of one word, mean words. Words stand for ids; n-grams don't reach over a text's end."""
+    rows = df.withColumn("_words", F.coalesce(T.words(F.col("hypothesis")), F.array().cast("array<string>")))
+    plain = rows.groupBy(setting).agg(F.count("*").alias("n"), F.round(F.avg(rouge_l("hypothesis", "reference")["f"]), 6).alias("rouge_l"), F.round(F.avg(F.size("_words")), 6).alias("words"), F.max(run_length(F.col("_words"))).alias("max_run"))
+    out = plain.join(bleu(df, intl_tokens(F.col("hypothesis")), intl_tokens(F.col("reference")), setting), setting).join(chrf(df, setting), setting)
+    for n, name in ((1, "distinct_1"), (2, "distinct_2"), (4, "distinct_4")):
+        grams = rows.select(setting, F.explode(ngrams(F.col("_words"), n)).alias("g")).groupBy(setting, "g").agg(F.count("*").alias("k"))
+        out = out.join(grams.groupBy(setting).agg((F.count("*") / F.sum("k")).alias(name)), setting, "left")
+    return out.select(setting, "n", "bleu", "chrf", "rouge_l", F.round(F.coalesce("distinct_1", F.lit(0.0)), 6).alias("distinct_1"), F.round(F.coalesce("distinct_2", F.lit(0.0)), 6).alias("distinct_2"), F.round(F.coalesce(1 - F.col("distinct_4"), F.lit(0.0)), 6).alias("repetition_4"), "max_run", "words")
+
+
+def run_length(items: Column) -> Column:
+    """The longest run of one item in an array, 0 for an empty one."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(state: Column, x: Column) -> Column:
+        run = F.when(state["last"] == x, state["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
 
-    return pd.Series([one(h, r) for h, r in zip(hypothesis, reference, strict=True)])
+    return F.aggregate(items.cast("array<string>"), start, step, lambda s: s["most"])
 
 
 def answer_form(text: Column) -> Column:
     """Answers are compared in NFC with single blanks."""
-    from sarit.functions.text import nfc, norm_key
-
-    return norm_key(nfc(text))
+    return T.norm_key(T.nfc(text))
 
 
 def answer_scores(df: DataFrame) -> DataFrame:
@@ -139,12 +192,14 @@ def answer_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("is_exact", F.coalesce((gold == said) & (gold != ""), F.lit(False))).withColumn("is_prefix", F.coalesce(F.startswith(said, gold) & (gold != ""), F.lit(False)))
 
 
-def ranked(df: DataFrame) -> DataFrame:
+def ranked(df: DataFrame, n_tokens: str | None = None) -> DataFrame:
     """df (candidates, logprobs) with best and best_normalized: the candidate of greatest total, and of greatest total a
-    character; the first of equals. Null where scores or candidates are missing or of unlike number."""
+    token (n_tokens: a column of the candidates' numbers of tokens; without one, a character); the first of equals. Null
+    where scores or candidates are missing or of unlike number."""
     ok = F.size("candidates") == F.size("logprobs")
     pick = lambda score: F.get("candidates", F.array_position(score, F.array_max(score)).cast("int") - 1)
-    each = F.transform("logprobs", lambda s, i: s / F.greatest(F.length(F.get("candidates", i)), F.lit(1)))
+    size = (lambda i: F.get(n_tokens, i)) if n_tokens else (lambda i: F.length(F.get("candidates", i)))
+    each = F.transform("logprobs", lambda s, i: s / F.greatest(size(i), F.lit(1)))
     return df.withColumn("best", F.when(ok, pick(F.col("logprobs")))).withColumn("best_normalized", F.when(ok, pick(each)))
 
 
@@ -186,9 +241,14 @@ def attention_heads(cells: DataFrame) -> DataFrame:
     return one.groupBy("layer", "head").agg(*(F.round(F.avg(c), 6).alias(c) for c in names))
 
 
-def head_class(sink: float = 0.5, local: float = 0.5, content: float = 0.5) -> Column:
-    """sink before local before content before mixed."""
-    return F.when(F.col("sink_rate") >= sink, "sink").when(F.col("previous_token_rate") >= local, "local").when(F.col("normalized_entropy") < content, "content").otherwise("mixed")
+# Limits of the classes of heads.
+SINK, NEAR, PREVIOUS, SPREAD = 0.3, 0.15, 0.3, 0.4
+
+
+def head_class() -> Column:
+    """sink before local/positional before content-based before mixed."""
+    local = (F.col("normalized_distance") < NEAR) & (F.col("previous_token_rate") > PREVIOUS)
+    return F.when(F.col("sink_rate") > SINK, "sink").when(local, "local/positional").when(F.col("normalized_entropy") > SPREAD, "content-based").otherwise("mixed")
 
 
 def layer_means(heads: DataFrame, *columns: str) -> DataFrame:
@@ -225,9 +285,27 @@ def learning_rates(spark: SparkSession, steps: int, warmup: int, peak: float, le
     return spark.range(steps).select(F.col("id").alias("step"), F.round(rate, 9).alias("lr"))
 
 
-def parameters(spark: SparkSession, configs: list[tuple[str, int, int, int, int]]) -> DataFrame:
-    """name and parameter counts of decoder configurations (name, vocabulary, width, layers, context) with tied embeddings,
-    four width by width matrices and a feed-forward of four widths in each layer."""
-    rows = spark.createDataFrame(configs, "name string, vocab bigint, width bigint, layers bigint, context bigint")
-    block = 12 * F.col("width") * F.col("width") + 13 * F.col("width")
-    return rows.select("name", ((F.col("vocab") + F.col("context")) * F.col("width")).alias("embedding"), (block * F.col("layers")).alias("blocks"), ((F.col("vocab") + F.col("context")) * F.col("width") + block * F.col("layers") + 2 * F.col("width")).alias("total"))
+def parameters(spark: SparkSession, configs: list[tuple]) -> DataFrame:
+    """name and parameter counts of decoder configurations (name, vocabulary, width, feed-forward width, layers, context,
+    whether attention has biases, whether positions are learned, whether the output shares the embedding)."""
+    rows = spark.createDataFrame(configs, "name string, vocab bigint, width bigint, inner bigint, layers bigint, context bigint, bias boolean, learned boolean, tied boolean")
+    d, table = F.col("width"), F.col("vocab") * F.col("width")
+    attention = 4 * d * d + F.when(F.col("bias"), 4 * d).otherwise(0)
+    block = attention + 2 * d * F.col("inner") + F.col("inner") + d + 4 * d
+    positions = F.when(F.col("learned"), F.col("context") * d).otherwise(0)
+    head = F.when(F.col("tied"), 0).otherwise(table)
+    out = rows.select("name", table.alias("embedding"), positions.alias("positions"), (block * F.col("layers")).alias("blocks"), (2 * d).alias("norm"), head.alias("head"))
+    return out.withColumn("total", F.col("embedding") + F.col("positions") + F.col("blocks") + F.col("norm") + F.col("head"))
+
+
+def throughput(steps: DataFrame, tokens: int, planned: int, warmup: int = 5) -> DataFrame:
+    """One row of (step, seconds, loss): steps timed, those after the warm-up ones in order of step; seconds a step, tokens
+    a second, mean loss, projected hours of the planned steps."""
+    timed = steps.crossJoin(F.broadcast(steps.agg(F.min("step").alias("_first")))).where(F.col("step") >= F.col("_first") + warmup)  # one row
+    out = timed.agg(F.count("*").alias("steps_timed"), F.avg("seconds").alias("each"), F.avg("loss").alias("loss"))
+    return out.select("steps_timed", F.round("each", 6).alias("seconds_per_step"), F.round(tokens / F.col("each"), 4).alias("tokens_per_second"), F.round("loss", 6).alias("mean_loss"), F.round(F.col("each") * planned / 3600, 6).alias("projected_hours"))
+
+
+def short_sequences(df: DataFrame, ids: str, n: int, longest: int = 64) -> DataFrame:
+    """The first n rows in order of pos whose ids are at most `longest`: the limit is the feature."""
+    return df.where(F.size(ids) <= longest).orderBy("pos").limit(n)

@@ -1,20 +1,30 @@
-"""An n-gram language model in tables, and the perplexity filter on it."""
+"""An n-gram language model by hashed counts, and the perplexity filter on it."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sarit.functions import text as T
-from sarit.plans.scale import broadcast_if_small, cut
+from sarit.functions.hashing import found, stirred, word_hashes
+from sarit.operators.quantiles import quantiles
+from sarit.plans.arrow import map_text, ragged
+from sarit.plans.scale import cut
+
+#: Most entries of a model that go to every executor, of 16 bytes each.
+MOST_ENTRIES = 2_000_000
 
 
 @dataclass(frozen=True)
 class PerplexityParams:
     """max_docs and max_tokens bound the training text (in order of pos), max_words what is scored of a text,
-    cutoff_sample the documents of the percentile; None, the default, is no bound. least: counts of pairs up to this are pruned; backoff: factor of an unseen pair."""
+    cutoff_sample the documents of the percentile; None, the default, is no bound. least: counts of pairs up to this are
+    pruned; backoff: factor of an unseen pair; max_perplexity: an absolute cutoff in place of the percentile."""
 
     max_docs: int | None = None
     max_tokens: int | None = None
@@ -23,6 +33,11 @@ class PerplexityParams:
     backoff: float = 0.4
     percentile: float = 0.95
     cutoff_sample: int | None = None
+    max_perplexity: float | None = None
+
+
+# The bounds of the published pipeline, a preset that no query uses.
+BOUNDED = PerplexityParams(max_docs=400_000, max_tokens=20_000_000, max_words=300, cutoff_sample=200_000)
 
 
 def running_total(df: DataFrame, order: str, value: str, cells: int = 1024) -> DataFrame:
@@ -39,61 +54,181 @@ def running_total(df: DataFrame, order: str, value: str, cells: int = 1024) -> D
 
 
 def training_documents(df: DataFrame, params: PerplexityParams = PerplexityParams()) -> DataFrame:
-    """pos, tokens of the documents that the model is trained on: the budget ends after the one that reaches it."""
-    sized = df.where("text is not null").select("pos", T.words(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
+    """pos, text of the documents that the model is trained on: the budget ends after the one that reaches it."""
+    texts = df.where("text is not null").select("pos", "text")
+    if params.max_docs is None and params.max_tokens is None:
+        return texts
+    sized = texts.select("pos", T.n_words(F.col("text")).alias("n"), F.lit(1).alias("one"))
     if params.max_docs is not None:
-        sized = running_total(sized.withColumn("one", F.lit(1)), "pos", "one").where(F.col("before") < params.max_docs).drop("before", "one")
+        sized = running_total(sized, "pos", "one").where(F.col("before") < params.max_docs).drop("before")
     if params.max_tokens is not None:
         sized = running_total(sized, "pos", "n").where(F.col("before") < params.max_tokens)
-    return sized.select("pos", "tokens")
+    return texts.join(cut(sized.select("pos")), "pos", "left_semi")
+
+
+def ngrams(documents: DataFrame, order: int, least: int = 0) -> DataFrame:
+    """words, n of runs of `order` neighbouring words of documents (text), those of more than `least`."""
+    tokens = documents.where("text is not null").select(T.words(F.col("text")).alias("tokens")).where(F.size("tokens") >= order)
+    runs = F.transform(F.sequence(F.lit(0), F.size("tokens") - order), lambda i: F.array(*(F.get("tokens", i + k) for k in range(order))))
+    return tokens.select(F.explode(runs).alias("words")).groupBy("words").agg(F.count("*").alias("n")).where(F.col("n") > least)
 
 
 def unigrams(documents: DataFrame) -> DataFrame:
     """word, n."""
-    return documents.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return documents.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def bigrams(documents: DataFrame, least: int = 1) -> DataFrame:
     """first, second, n of neighbouring words, without rare ones."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct(F.get("tokens", i - 1).alias("first"), F.get("tokens", i).alias("second")))
-    return documents.where(F.size("tokens") > 1).select(F.explode(pairs).alias("pair")).select("pair.*").groupBy("first", "second").agg(F.count("*").alias("n")).where(F.col("n") > least)
-
-
-def perplexities(df: DataFrame, one: DataFrame, two: DataFrame, params: PerplexityParams = PerplexityParams()) -> DataFrame:
-    """pos, perplexity of all words or the first max_words: the pair's share of its first word, else the backoff of the add-one
-    unigram; infinite for a text without words, null texts have none.
-
-    Words of scored texts are counted by (pos, first, second) before the joins, which then carry no text."""
-    total = one.agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))  # one row
-    words = T.words(F.col("text"))
-    tokens = df.where("text is not null").select("pos", (words if params.max_words is None else F.slice(words, 1, params.max_words)).alias("tokens"))
-    places = tokens.select("pos", F.posexplode("tokens").alias("i", "second"), "tokens").select("pos", "second", F.when(F.col("i") > 0, F.get("tokens", F.col("i") - 1)).alias("first"))
-    places = places.groupBy("pos", "first", "second").agg(F.count("*").alias("times"))
-    known = places.join(two.withColumnRenamed("n", "pair"), ["first", "second"], "left")
-    known = known.join(one.select(F.col("word").alias("second"), F.col("n").alias("n_second")), "second", "left").join(one.select(F.col("word").alias("first"), F.col("n").alias("n_first")), "first", "left").crossJoin(F.broadcast(total))
-    single = F.log((F.coalesce("n_second", F.lit(0)) + 1) / (F.col("all") + F.col("kinds")))
-    chance = F.when(F.col("pair").isNotNull(), F.log(F.col("pair") / F.col("n_first"))).otherwise(F.log(F.lit(params.backoff)) + single)
-    scored = known.groupBy("pos").agg(F.exp(-F.sum(chance * F.col("times")) / F.sum("times")).alias("perplexity"))
-    empty = tokens.where(F.size("tokens") == 0).select("pos", F.lit(float("inf")).alias("perplexity"))
-    return scored.unionByName(empty)
-
-
-def cutoff(scores: DataFrame, params: PerplexityParams = PerplexityParams()) -> DataFrame:
-    """One row: the percentile of the finite perplexities, of an even sample if there are more than cutoff_sample."""
-    finite = scores.where(F.col("perplexity") < float("inf"))
-    if params.cutoff_sample is None:
-        return finite.agg(F.percentile("perplexity", F.lit(params.percentile)).alias("cutoff"))
-    step = scores.agg(F.greatest(F.lit(1), F.floor(F.count("*") / params.cutoff_sample)).alias("step"))
-    return finite.crossJoin(F.broadcast(step)).where(F.pmod("pos", "step") == 0).agg(F.percentile("perplexity", F.lit(params.percentile)).alias("cutoff"))
+    return ngrams(documents, 2, least).select(F.col("words")[0].alias("first"), F.col("words")[1].alias("second"), "n")
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return stirred(stirred(first) + second)
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """order, key, context, n: a chunk's distinct words and pairs; the context of a pair is its first word."""
+    hashes, sizes = word_hashes(batch.column("text").to_pylist(), lower=False)
+    one, n_one = np.unique(hashes, return_counts=True)
+    inside = np.ones(max(len(hashes) - 1, 0), bool)
+    ends = np.cumsum(sizes)[:-1]
+    inside[ends[(ends > 0) & (ends < len(hashes))] - 1] = False
+    pairs = _pair(hashes[:-1], hashes[1:])[inside]
+    two, at, n_two = np.unique(pairs, return_index=True, return_counts=True)
+    context = hashes[:-1][inside][at]
+    columns = [np.repeat(np.array([1, 2], np.int32), (len(one), len(two))), np.concatenate([one, two]).view(np.int64), np.concatenate([one, context]).view(np.int64), np.concatenate([n_one, n_two])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["order", "key", "context", "n"])
+
+
+class Model:
+    """Counts of words and log chances of pairs, by 64-bit keys. The entries of highest count, at most `most` of them, go
+    to the executors as sorted arrays; what is beyond, rare by then, stays a table and is joined."""
+
+    def __init__(self, documents: DataFrame, params: PerplexityParams = PerplexityParams(), most: int = MOST_ENTRIES):
+        self.params = params
+        counts = map_text(documents.where("text is not null").select("text"), _counted, "order int, key bigint, context bigint, n bigint")
+        counts = cut(counts.groupBy("order", "key").agg(F.first("context").alias("context"), F.sum("n").alias("n")).where((F.col("order") == 1) | (F.col("n") > params.least)))
+        words = counts.where("order = 1").select("key", "n")
+        self.total, self.kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        chance = F.log(F.col("n") / F.col("of"))
+        pairs = counts.where("order = 2").join(words.select(F.col("key").alias("context"), F.col("n").alias("of")), "context").select("order", "key", "n", chance.alias("chance"))
+        self.entries = cut(words.select(F.lit(1).alias("order"), "key", "n", F.lit(None).cast("double").alias("chance")).unionByName(pairs))
+        bits = {r.bits: r.n for r in self.entries.groupBy(F.floor(F.log2("n")).alias("bits")).agg(F.count("*").alias("n")).collect()}  # at most 64 rows
+        self.least, held = 0, 0
+        for b in sorted(bits, reverse=True):
+            held += bits[b]
+            if held > most:
+                self.least = 1 << (b + 1)
+                break
+        hot = self.entries.where(F.col("n") >= self.least).toArrow()  # at most `most` rows
+        self.complete = self.least == 0
+        order, key = np.asarray(hot.column("order")), np.asarray(hot.column("key")).view(np.uint64)
+        parts = []
+        for which, value in ((1, np.asarray(hot.column("n")).astype(np.float64)), (2, np.asarray(hot.column("chance")).astype(np.float64))):
+            mine = np.flatnonzero(order == which)
+            mine = mine[np.argsort(key[mine])]
+            parts += [key[mine], value[mine]]
+        self.shared = documents.sparkSession.sparkContext.broadcast(parts)
+
+    def _places(self):
+        """A function of texts: log chances of all places (nan where the tables beyond have to tell), the words' numbers
+        of occurrences (nan likewise), hashes, pair keys and sizes."""
+        shared, total, complete, backoff, longest = self.shared, self.total + self.kinds, self.complete, math.log(self.params.backoff), self.params.max_words
+
+        def places(texts: list[str]):
+            words, n_words, pairs, chances = shared.value
+            hashes, sizes = word_hashes(texts, lower=False)
+            if longest is not None:
+                row = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                hashes, sizes = hashes[row < longest], np.minimum(sizes, longest)
+            before = np.concatenate([np.zeros(min(len(hashes), 1), np.uint64), hashes[:-1]])
+            start = (np.cumsum(sizes) - sizes)[sizes > 0]
+            keys = _pair(before, hashes)
+            at, there = found(words, hashes)
+            seen = np.where(there, n_words[at] if len(words) else 0.0, 0.0 if complete else np.nan)
+            out = backoff + np.log((seen + 1) / total)
+            at, paired = found(pairs, keys)
+            paired[start] = False
+            first = np.zeros(len(hashes), bool)
+            first[start] = True
+            if not complete:
+                out[~paired & ~first] = np.nan
+            out[paired] = chances[at[paired]] if len(pairs) else 0.0
+            return out, seen, first, hashes, keys, sizes
+
+        return places
+
+    def column(self, text: Column) -> Column:
+        """The perplexity of a text as a column; of a complete model only."""
+        places = self._places()
+
+        @F.arrow_udf("double")
+        def perplexity(texts: pa.Array) -> pa.Array:
+            out = []
+            for start in range(0, len(texts), 512):
+                part = texts.slice(start, 512)
+                value, _, _, _, _, sizes = places(part.fill_null("").to_pylist())
+                row = np.repeat(np.arange(len(part)), sizes)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.where(sizes > 0, np.exp(-np.bincount(row, value, minlength=len(part)) / np.maximum(sizes, 1)), np.inf)
+                out.append(pa.array(score, mask=np.asarray(part.is_null())))
+            return pa.concat_arrays(out) if out else pa.array([], pa.float64())
+
+        return perplexity.asNondeterministic()(text)  # else a filter on it computes it twice
+
+    def scores(self, df: DataFrame) -> DataFrame:
+        """pos, perplexity of all texts of df; infinite for a text without words, null texts have none."""
+        texts = df.where("text is not null").select("pos", "text")
+        if self.complete:
+            return texts.select("pos", self.column(F.col("text")).alias("perplexity"))
+        places = self._places()
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            value, seen, first, hashes, keys, sizes = places(batch.column("text").to_pylist())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            open_ = np.isnan(value)
+            known = np.bincount(row[~open_], value[~open_], minlength=len(sizes))
+            rest = np.flatnonzero(open_)
+            lists = [ragged(x, np.bincount(row[rest], minlength=len(sizes)), kind) for x, kind in ((np.where(first[rest], np.uint64(0), keys[rest]).view(np.int64), pa.int64()), (hashes[rest].view(np.int64), pa.int64()), (seen[rest], pa.float64()))]
+            return pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(known), pa.array(sizes), *lists], ["pos", "known", "n", "pair", "word", "seen"])
+
+        scored = cut(map_text(texts, run, "pos bigint, known double, n bigint, pair array<bigint>, word array<bigint>, seen array<double>"))
+        rest = scored.select("pos", F.explode(F.arrays_zip("pair", "word", "seen")).alias("x")).select("pos", "x.*").groupBy("pos", "pair", "word", "seen").agg(F.count("*").alias("times"))
+        beyond = self.entries.where(F.col("n") < self.least)
+        rest = rest.join(beyond.where("order = 2").select(F.col("key").alias("pair"), "chance"), "pair", "left").join(beyond.where("order = 1").select(F.col("key").alias("word"), F.col("n").cast("double").alias("rare")), "word", "left")
+        seen = F.when(F.isnan("seen"), F.coalesce("rare", F.lit(0.0))).otherwise(F.col("seen"))
+        value = F.coalesce("chance", math.log(self.params.backoff) + F.log((seen + 1) / (self.total + self.kinds)))
+        sums = rest.groupBy("pos").agg(F.sum(value * F.col("times")).alias("more"))
+        whole = scored.select("pos", "known", "n").join(sums, "pos", "left")
+        return whole.select("pos", F.when(F.col("n") == 0, float("inf")).otherwise(F.exp(-(F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("n"))).alias("perplexity"))
+
+
+def cutoff(scores: DataFrame, params: PerplexityParams = PerplexityParams()) -> float | None:
+    """The absolute limit if there is one, else the percentile of the finite perplexities, of every so many-th in order
+    of pos if there are more than cutoff_sample; None without any."""
+    if params.max_perplexity is not None:
+        return params.max_perplexity
+    if params.cutoff_sample is not None:
+        step = max(1, scores.count() // params.cutoff_sample)
+        if step > 1:
+            scores = running_total(scores.withColumn("one", F.lit(1)), "pos", "one").where(F.col("before") % step == 0)
+    return quantiles(scores, "perplexity", [params.percentile])[0]
 
 
 def perplexity_filter(df: DataFrame, reference: DataFrame | None = None, params: PerplexityParams = PerplexityParams()) -> DataFrame:
     """df with perplexity, up to the cutoff. The model is of the reference, df itself if there is none or it has no
-    words; a model without words lets all pass, with a null perplexity."""
-    trained = cut(training_documents(reference if reference is not None else df, params))
-    one = cut(unigrams(trained))
-    if one.isEmpty():
+    words; a model without words lets all pass, with a null perplexity. Texts are neither shuffled nor joined unless the
+    model is too large for the executors."""
+    model = Model(training_documents(df if reference is None else reference, params), params)
+    if reference is not None and not model.total:
+        model = Model(training_documents(df, params), params)
+    if not model.total:
         return df.withColumn("perplexity", F.lit(None).cast("double"))
-    scores = cut(perplexities(df, broadcast_if_small(one), broadcast_if_small(cut(bigrams(trained, params.least))), params))
-    kept = scores.crossJoin(F.broadcast(cutoff(scores, params))).where("perplexity <= cutoff").select("pos", "perplexity")
-    return df.join(kept, "pos")
+    scores = cut(model.scores(df))
+    limit = cutoff(scores, params)
+    if limit is None:
+        return df.withColumn("perplexity", F.lit(None).cast("double")).limit(0)
+    if model.complete:
+        return df.where("text is not null").withColumn("perplexity", model.column(F.col("text"))).where(F.col("perplexity") <= limit * (1 + 1e-12))
+    return df.join(scores.where(F.col("perplexity") <= limit * (1 + 1e-12)), "pos")

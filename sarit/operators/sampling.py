@@ -54,6 +54,26 @@ def corpus_plan(df: DataFrame, manual_share: float = 0.22) -> DataFrame:
     return out.withColumn("keep", F.round(keep, 6)).withColumn("expected_words", F.round(F.col("manual_words") + F.col("downloaded_words") * keep).cast("bigint"))
 
 
+# Characters of a token, where its number in a word has to be estimated.
+CHARS_PER_TOKEN = 3.4
+
+
+def corpus_plan_by_tokens(df: DataFrame, target: int, train: float = 0.8, upsample: float = 1.0, fertility: float | None = None) -> DataFrame:
+    """One row: the share of downloaded documents to keep so that the train split has about `target` tokens, all manual ones
+    being kept; words, tokens and manual share that this gives. Without a fertility it is estimated from the characters of
+    a word."""
+    words, chars = T.n_words(F.col("text")), F.length("text").cast("bigint")
+    total = lambda c, which: F.coalesce(F.sum(F.when(which, c)), F.lit(0))
+    manual = F.col("manual")
+    out = df.agg(total(words, manual).alias("manual_words"), total(words, ~manual).alias("downloaded_words"), F.coalesce(F.sum(chars), F.lit(0)).alias("_chars"))
+    known = F.lit(fertility) if fertility else F.col("_chars") / F.greatest(F.col("manual_words") + F.col("downloaded_words"), F.lit(1)) / CHARS_PER_TOKEN
+    out = out.withColumn("fertility", known).withColumn("_manual", F.col("manual_words") * upsample)
+    needed = F.greatest(F.lit(0.0), F.lit(float(target)) / (F.col("fertility") * train) - F.col("_manual"))
+    out = out.withColumn("keep", F.when(F.col("downloaded_words") > 0, F.least(F.lit(1.0), needed / F.col("downloaded_words"))).otherwise(0.0))
+    out = out.withColumn("_corpus", F.col("_manual") + F.col("downloaded_words") * F.col("keep"))
+    return out.select("manual_words", "downloaded_words", F.round("fertility", 4).alias("fertility"), F.round("keep", 6).alias("keep"), F.floor("_corpus").alias("corpus_words"), F.floor(F.col("_corpus") * train * F.col("fertility")).alias("train_tokens"), F.round(F.when(F.col("_corpus") > 0, F.col("_manual") / F.col("_corpus")).otherwise(0.0), 4).alias("manual_share"))
+
+
 def eval_subset(df: DataFrame, n: int = 2000, least_words: int = 128, seed: int = 1337) -> DataFrame:
     """n documents of at least so many words: those of the least hash, a uniform sample; ties by pos."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("text")))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sarit.functions import text as T
+from sarit.functions.hashing import found, word_hashes
 from sarit.operators.ngram import running_total
+from sarit.plans.arrow import map_text, ragged
+from sarit.plans.scale import cut
 
 # What ends a sentence, and the largest piece in bytes.
 SENTENCE_END = r"(?<=[।॥?!])[\t-\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
 MAX_BYTES = 4192
 UNKNOWN, END = 1, 3
+#: Most words of a vocabulary that go to every executor, by 12 bytes each.
+MOST_WORDS = 2_000_000
 
 
 def sentences(text: Column) -> Column:
@@ -67,15 +74,57 @@ def vocabulary(df: DataFrame, reserved: int = 4) -> DataFrame:
     return out.select("word", "n", (F.col("start") + F.col("offset") + F.col("rank") - 1 + reserved).cast("int").alias("token"))
 
 
-def encode_words(df: DataFrame, vocab: DataFrame, end: int | None = END) -> DataFrame:
-    """pos, ids: the words' ids in order, with the end mark; words that the vocabulary lacks are unknown."""
-    places = df.select("pos", F.posexplode_outer(T.words(F.col("text"))).alias("i", "word")).join(vocab.select("word", "token"), "word", "left")
-    of = F.struct("i", F.coalesce("token", F.lit(UNKNOWN)).alias("token"))
-    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), of))), lambda s: s["token"])
-    out = places.groupBy("pos").agg(ids.alias("ids"))
+def encode_words(df: DataFrame, vocab: DataFrame, end: int | None = END, most: int = MOST_WORDS) -> DataFrame:
+    """pos, ids: the words' ids in order, with the end mark; words that the vocabulary lacks are unknown.
+
+    Words are looked up by 64-bit hash where the text is: the `most` words of least id, which are the most frequent, go to
+    the executors. Of a larger vocabulary the rest, rare by then, is joined by hash, and only ids are moved."""
+    rows = vocab.select("word", "token")
+    head = first_tokens(rows, most).toArrow()  # at most `most` rows
+    hashes, _ = word_hashes(head.column("word").to_pylist(), lower=False)
+    order = np.argsort(hashes)
+    complete = rows.limit(most + 1).count() <= most
+    shared = df.sparkSession.sparkContext.broadcast((hashes[order], np.asarray(head.column("token")).astype(np.int32)[order]))
+    unknown = UNKNOWN if complete else -1
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, token = shared.value
+        words, sizes = word_hashes(batch.column("text").fill_null("").to_pylist(), lower=False)
+        at, there = found(known, words)
+        ids = np.where(there, token[at] if len(token) else unknown, unknown).astype(np.int32)
+        columns = [batch.column("pos"), ragged(ids, sizes, pa.int32())]
+        if complete:
+            return pa.RecordBatch.from_arrays(columns, ["pos", "ids"])
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        open_ = np.flatnonzero(~there)
+        place = open_ - (np.cumsum(sizes) - sizes)[row[open_]]
+        n = np.bincount(row[open_], minlength=len(sizes))
+        return pa.RecordBatch.from_arrays([*columns, ragged(place, n, pa.int64()), ragged(words[open_].view(np.int64), n, pa.int64())], ["pos", "ids", "places", "words"])
+
+    texts = df.select("pos", "text")
+    if complete:
+        out = map_text(texts, run, "pos bigint, ids array<int>")
+    else:
+        coded = cut(map_text(texts, run, "pos bigint, ids array<int>, places array<bigint>, words array<bigint>"))
+        rest = map_text(rows.where(F.col("token") >= F.lit(int(np.asarray(head.column("token")).max()) + 1)), _hashed, "word bigint, token int", column="word")
+        later = coded.select("pos", F.explode(F.arrays_zip("places", "words")).alias("x")).select("pos", F.col("x.places").alias("place"), F.col("x.words").alias("word")).join(rest, "word")
+        later = later.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("int"), "token"))).alias("later"))
+        ids = F.transform("ids", lambda x, i: F.when(x >= 0, x).otherwise(F.coalesce(F.element_at("later", i), F.lit(UNKNOWN))))
+        out = coded.select("pos", "ids").join(later, "pos", "left").select("pos", ids.alias("ids"))
     return out.select("pos", F.array_append("ids", F.lit(end)).alias("ids") if end is not None else "ids")
 
 
+def first_tokens(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the `most` least ids; ids are dense but for the reserved ones, so a filter tells them."""
+    low = rows.agg(F.min("token")).first()[0]
+    return rows.where(F.col("token") < (0 if low is None else low) + most)
+
+
+def _hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    hashes, _ = word_hashes(batch.column("word").to_pylist(), lower=False)
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("token").cast(pa.int32())], ["word", "token"])
+
+
 def token_frequency(tokens: DataFrame, size: DataFrame) -> DataFrame:
     """token, n for every id of the vocabulary's range (column token of `size`), 0 for ids that don't occur."""
     counts = tokens.select(F.explode("ids").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -89,21 +138,35 @@ def frequency_summary(frequency: DataFrame, top: int = 1000) -> DataFrame:
     return out.select("tokens", "used", "unused", "once", F.round(F.col("covered") / F.col("tokens"), 6).alias("top_share"))
 
 
-def sweep(tokens: DataFrame, vocab: str, n_chars: str, n_words: str) -> DataFrame:
-    """For each vocabulary: tokens, tokens a word (fertility), share of unknown tokens, characters a token."""
-    size = F.size("ids")
-    unknown = F.size(F.filter("ids", lambda x: x == UNKNOWN))
-    out = tokens.groupBy(vocab).agg(F.sum(size).alias("tokens"), F.sum(n_words).alias("words"), F.sum(n_chars).alias("chars"), F.sum(unknown).alias("unknown"))
-    return out.select(vocab, "tokens", F.round(F.col("tokens") / F.col("words"), 6).alias("fertility"), F.round(F.col("unknown") / F.col("tokens"), 6).alias("unknown_share"), F.round(F.col("chars") / F.col("tokens"), 6).alias("chars_per_token"))
+def top_tokens(frequency: DataFrame, pieces: DataFrame, n: int = 20) -> DataFrame:
+    """token, piece, n of the most frequent tokens, ties by id; the limit is the feature."""
+    best = frequency.where("n > 0").orderBy(F.desc("n"), "token").limit(n)
+    return pieces.join(F.broadcast(best), "token").select("token", "piece", "n")  # n rows
+
+
+def piece_counts(pieces: DataFrame, by: str, least: int) -> DataFrame:
+    """by, tokens, unknown (tokens of pieces rarer than `least`) and vocab_size of counted pieces (by, piece, n)."""
+    return pieces.groupBy(by).agg(F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("n") < least, F.col("n"))), F.lit(0)).alias("unknown"), F.count_if(F.col("n") >= least).alias("vocab_size"))
+
+
+def sweep(counts: DataFrame, *vocab: str) -> DataFrame:
+    """For each vocabulary of (tokens, words, chars, unknown): tokens, tokens a word (fertility), share of unknown tokens,
+    characters a token."""
+    return counts.select(*vocab, "tokens", F.round(F.col("tokens") / F.col("words"), 6).alias("fertility"), F.round(F.col("unknown") / F.col("tokens"), 6).alias("unknown_share"), F.round(F.col("chars") / F.col("tokens"), 6).alias("chars_per_token"))
+
+
+def chopped(words: Column, longest: Column) -> Column:
+    """The pieces of at most `longest` characters that words are cut into, from their beginnings on."""
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / longest)), lambda i: F.substring(w, (i * longest + 1).cast("int"), longest.cast("int")))))
 
 
 def vocabulary_choice(sizes: DataFrame, least: int = 16_000, tolerance: float = 0.05) -> DataFrame:
-    """The smallest size of at least `least` whose fertility is within the tolerance of the best of these; without such
-    sizes the best of all. sizes: vocab_size, fertility; a row for each trained vocabulary."""
-    known = sizes.withColumn("big", F.col("vocab_size") >= least)
-    best = known.agg(F.min(F.when(F.col("big"), F.col("fertility"))).alias("best_big"), F.min("fertility").alias("best"), F.min_by("vocab_size", F.struct("fertility", "vocab_size")).alias("fallback"))
-    chosen = known.crossJoin(F.broadcast(best)).groupBy("fallback").agg(F.min(F.when(F.col("big") & (F.col("fertility") <= F.col("best_big") * (1 + tolerance)), F.col("vocab_size"))).alias("size"))
-    return chosen.select(F.coalesce("size", "fallback").alias("vocab_size"))
+    """The smallest size of at least `least` whose fertility is within the tolerance of the best of all sizes; without one
+    the smallest of at least `least`, without such the smallest. sizes: vocab_size, fertility, a row for each vocabulary."""
+    known = sizes.crossJoin(F.broadcast(sizes.agg(F.min("fertility").alias("_best"))))  # one row
+    big = F.col("vocab_size") >= least
+    smallest = lambda which: F.min(F.when(which, F.col("vocab_size")))
+    return known.agg(F.coalesce(smallest(big & (F.col("fertility") <= F.col("_best") * (1 + tolerance))), smallest(big), F.min("vocab_size")).alias("vocab_size"))
 
 
 def token_shares(tokens: DataFrame, gate: float = 0.20) -> DataFrame:
@@ -114,22 +177,29 @@ def token_shares(tokens: DataFrame, gate: float = 0.20) -> DataFrame:
     return out.select("split", "tokens", "manual_tokens", F.round(F.col("unknown") / F.col("tokens"), 6).alias("unknown_share"), share.alias("manual_share"), (share >= gate).alias("reached"))
 
 
-def digit_audit(df: DataFrame) -> DataFrame:
-    """One row: ASCII and Devanagari digits, and the script that most digits are in."""
-    ascii_, own = (F.coalesce(F.sum(F.length(F.regexp_replace("text", f"[^{c}]", "")).cast("bigint")), F.lit(0)) for c in ("0-9", "०-९"))
-    return df.agg(ascii_.alias("ascii_digits"), own.alias("devanagari_digits")).withColumn("script", F.when(F.col("devanagari_digits") > F.col("ascii_digits"), "devanagari").otherwise("ascii"))
+def digit_audit(frequency: DataFrame, pieces: DataFrame) -> DataFrame:
+    """One row: ASCII and Devanagari digits of a token stream, from the pieces' (token, piece) digits times how often each
+    token occurs (token, n), and the script that most digits are in."""
+    weighted = frequency.join(pieces.where(F.col("piece").rlike("[0-9०-९]")), "token")
+    ascii_, own = (F.coalesce(F.sum(F.length(F.regexp_replace("piece", f"[^{c}]", "")).cast("bigint") * F.col("n")), F.lit(0)) for c in ("0-9", "०-९"))
+    return weighted.agg(ascii_.alias("ascii_digits"), own.alias("devanagari_digits")).withColumn("script", F.when(F.col("devanagari_digits") > F.col("ascii_digits"), "devanagari").otherwise("ascii"))
 
 
 def windows(tokens: DataFrame, size: int) -> DataFrame:
-    """window, x, y of the whole token stream in order of pos: x of `size` tokens, y one further, the rest dropped."""
-    sized = running_total(tokens.withColumn("_n", F.size("ids")), "pos", "_n")
-    total = sized.agg(F.sum("_n").alias("_all"))  # one row
-    places = sized.select(F.col("before"), F.posexplode("ids").alias("i", "token")).select((F.col("before") + F.col("i")).alias("at"), "token")
-    last = F.floor((F.col("_all") - 1) / size)
-    # the first token of a window is also the last target of the one before it
-    both = places.select("at", "token", F.explode(F.when((F.col("at") % size == 0) & (F.col("at") > 0), F.array(F.floor(F.col("at") / size), F.floor(F.col("at") / size) - 1)).otherwise(F.array(F.floor(F.col("at") / size)))).alias("window"))
-    grouped = both.crossJoin(F.broadcast(total)).where(F.col("window") < last).groupBy("window").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda s: s["token"]).alias("ids"))
-    return grouped.select("window", F.slice("ids", 1, size).alias("x"), F.slice("ids", 2, size).alias("y"))
+    """window, x, y of the whole token stream in order of pos: x of `size` tokens, y one further, the rest dropped.
+
+    A row is cut into the pieces that lie in each window (and in the one token after it), and only pieces are moved."""
+    sized = running_total(tokens.withColumn("_n", F.size("ids").cast("bigint")), "pos", "_n").where("_n > 0")
+    total = tokens.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("_all"))  # one row
+    end = F.col("before") + F.col("_n")
+    first = F.greatest(F.lit(0), F.floor((F.col("before") - 1) / size))  # its token after the end may be the row's first
+    pieces = sized.select("before", "_n", "ids", F.explode(F.sequence(first, F.floor((end - 1) / size))).alias("window"))
+    start = F.greatest("before", F.col("window") * size)
+    stop = F.least(end, (F.col("window") + 1) * size + 1)
+    piece = F.slice("ids", (start - F.col("before") + 1).cast("int"), (stop - start).cast("int"))
+    pieces = pieces.crossJoin(F.broadcast(total)).where((stop > start) & (F.col("window") < F.floor((F.col("_all") - 1) / size))).select("window", F.struct(start.alias("at"), piece.alias("ids")).alias("piece"))
+    whole = pieces.groupBy("window").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])).alias("ids"))
+    return whole.select("window", F.slice("ids", 1, size).alias("x"), F.slice("ids", 2, size).alias("y"))
 
 
 def epoch_order(items: DataFrame, key: str, seed: int, epoch: int) -> Column:

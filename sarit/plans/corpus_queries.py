@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarit.functions import text as T
-from sarit.operators import cleaning, frontier, near_dedup, ngram, sampling, statistics, tokens
-from sarit.plans.scale import cut, spread, table
+from sarit.operators import cleaning, frontier, lid, near_dedup, ngram, sampling, statistics
+from sarit.operators.quantiles import quantiles
+from sarit.plans.scale import checkpoint_dir, cut, spread, table
+from sarit.sources import html, jsonl
 from sarit.sources.documents import documents, fold_hosts, not_empty
 from sarit.sources.jsonl import pulled
 
@@ -31,7 +35,8 @@ RATIO = f"CASE WHEN {VISIBLE} > 0 THEN ({VISIBLE} - length(regexp_replace(regexp
 TERMINAL = f"CASE WHEN len({LINES}) > 0 THEN len(list_filter({LINES}, lambda x: regexp_matches(x, '[।॥?!]$'))) / len({LINES}) ELSE 0.0 END"
 REPEATED = f"CASE WHEN len({LINES}) > 0 THEN (len({LINES}) - len(list_filter(list_distinct({LINES}), lambda x: len(list_filter({LINES}, lambda y: y = x)) = 1))) / len({LINES}) ELSE 0.0 END"
 BINARY = "(contains(text, 'JFIF') OR contains(text, 'Exif') OR contains(text, '%PDF') OR contains(text, 'Photoshop'))"
-REASON = f"CASE WHEN {BINARY} THEN 'binary_payload' WHEN coalesce({WORDS}, 0) < 30 THEN 'too_short' WHEN {WORDS} > 100000 THEN 'too_long' WHEN {RATIO} < 0.75 THEN 'low_script_ratio' WHEN {TERMINAL} < 0.0 THEN 'low_terminal_punct' WHEN {REPEATED} > 0.25 THEN 'repetitive_lines' END"
+# By the bounds of manual and of downloaded sources.
+REASON = f"CASE WHEN {BINARY} THEN 'binary_payload' WHEN coalesce({WORDS}, 0) < CASE WHEN manual THEN 10 ELSE 30 END THEN 'too_short' WHEN {WORDS} > 100000 THEN 'too_long' WHEN {RATIO} < CASE WHEN manual THEN 0.70 ELSE 0.75 END THEN 'low_script_ratio' WHEN {TERMINAL} < 0.0 THEN 'low_terminal_punct' WHEN {REPEATED} > CASE WHEN manual THEN 0.30 ELSE 0.25 END THEN 'repetitive_lines' END"
 SUMS = f"count(*) AS docs, coalesce(sum(length(text)), 0)::BIGINT AS chars, coalesce(sum({WORDS}), 0)::BIGINT AS words"
 HASH = "(concat('0x', substr(md5(concat('{}:1337:', text)), 1, 15))::BIGINT / pow(2, 60))"
 
@@ -64,8 +69,8 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FOLDED}, q AS (SELECT * FROM f WHERE text IS NOT NULL AND {REASON} IS NULL), e AS (SELECT *, row_number() OVER (PARTITION BY md5({KEY}) ORDER BY pos) AS rn FROM q) SELECT source, {SUMS} FROM e WHERE rn = 1 GROUP BY source")
 def flagship(spark, d):
     """Documents, characters and words by source after quality filter and exact dedup."""
-    good = cleaning.with_reason(folded(spark, d).where("text is not null")).where("reason is null").drop("reason")
-    return statistics.by_source(cleaning.exact_dedup(good))
+    good = cleaning.with_reason_by_origin(folded(spark, d).where("text is not null")).where("reason is null")
+    return statistics.by_source_once(good)
 
 
 # Text forms
@@ -129,12 +134,12 @@ def line_metrics(spark, d):
 
 @query(f"WITH {DOCS} SELECT pos, {REASON} AS reason FROM d")
 def quality_reasons(spark, d):
-    return cleaning.with_reason(docs(spark, d)).select("pos", "reason")
+    return cleaning.with_reason_by_origin(docs(spark, d)).select("pos", "reason")
 
 
 @query(f"WITH {DOCS} SELECT {REASON} AS reason, count(*) AS n FROM d GROUP BY 1")
 def quality_histogram(spark, d):
-    return cleaning.with_reason(docs(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
+    return cleaning.with_reason_by_origin(docs(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 REPEATS = f"l AS (SELECT DISTINCT pos, source, unnest({LINES}) AS line FROM d), c AS (SELECT source, line, count(*) AS n FROM l GROUP BY ALL), s AS (SELECT source, count(*) AS docs FROM d GROUP BY source)"
@@ -170,10 +175,8 @@ def url_dedup(spark, d):
     return cleaning.id_dedup(documents(spark, d, "url"), "url").select("pos")
 
 
-#: Characters of a text that the SQL of the languages reads; the operators read all.
-LID_HEAD = 1000
 LID = f"""w AS (SELECT DISTINCT lang AS label, lower(word) AS word FROM common_words),
-t AS (SELECT pos, unnest(list_filter(regexp_split_to_array(lower(substr(replace(text, chr(10), ' '), 1, 1000)), '{W}+'), lambda w: w <> '')) AS word FROM d),
+t AS (SELECT pos, unnest(list_filter(regexp_split_to_array(lower(text), '{W}+'), lambda w: w <> '')) AS word FROM d),
 h AS (SELECT pos, label, count(*) AS n FROM t JOIN w USING (word) GROUP BY pos, label),
 r AS (SELECT pos, label, n, sum(n) OVER (PARTITION BY pos) AS total, row_number() OVER (PARTITION BY pos ORDER BY n DESC, label) AS rn FROM h),
 s AS (SELECT pos, label, n / total AS prob FROM r WHERE rn = 1)"""
@@ -181,21 +184,45 @@ s AS (SELECT pos, label, n / total AS prob FROM r WHERE rn = 1)"""
 
 @query(f"WITH {DOCS}, {LID} SELECT pos, label, round(prob, 6) AS prob FROM s")
 def lid_scores(spark, d):
-    return cleaning.language_scores(docs(spark, d), table(spark, d, "common_words"), LID_HEAD).select("pos", "label", F.round("prob", 6).alias("prob"))
+    return cleaning.language_scores(docs(spark, d), table(spark, d, "common_words")).select("pos", "label", F.round("prob", 6).alias("prob"))
 
 
 @query(f"WITH {DOCS}, {LID} SELECT d.pos, label FROM d JOIN s ON d.pos = s.pos WHERE label = lower(lang) AND prob >= 0.6")
 def lid_keep(spark, d):
-    return cleaning.language_filter(docs(spark, d), table(spark, d, "common_words"), F.lower("lang"), head=LID_HEAD).select("pos", "label")
+    return cleaning.language_filter(docs(spark, d), table(spark, d, "common_words"), F.lower("lang")).select("pos", "label")
 
 
 @query(f"WITH {DOCS}, {LID} SELECT label, count(*) AS n FROM d JOIN s ON d.pos = s.pos WHERE NOT coalesce(label = lower(lang) AND prob >= 0.6, false) GROUP BY label ORDER BY n DESC, label LIMIT 5")
 def lid_dropped_top5(spark, d):
-    df = docs(spark, d)
-    scored = df.join(cleaning.language_scores(df, table(spark, d, "common_words"), LID_HEAD), "pos")
+    scored = cleaning.with_language(docs(spark, d), table(spark, d, "common_words")).where("label is not null")
     return cleaning.top(scored.where(~F.coalesce((F.col("label") == F.lower("lang")) & (F.col("prob") >= 0.6), F.lit(False))), "label")
 
 
+PADDED = f"concat(' ', trim(regexp_replace(lower(text), '{W}+', ' ', 'g')), ' ')"
+GRAMS3 = "unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))"
+LID_MODEL = f"""la AS (SELECT lower(trim(lang)) AS label, {PADDED} AS t FROM lang_samples WHERE text IS NOT NULL AND trim(lang) <> ''),
+lb AS (SELECT label, {GRAMS3} AS g FROM la), lc AS (SELECT label, g, count(*) AS n FROM lb GROUP BY ALL),
+lk AS (SELECT count(DISTINCT g) AS kinds FROM lc), lt AS (SELECT label, sum(n) + kinds AS total FROM lc, lk GROUP BY label, kinds),
+da AS (SELECT pos, {PADDED} AS t FROM d WHERE text IS NOT NULL), db AS (SELECT pos, {GRAMS3} AS g FROM da WHERE trim(t) <> ''),
+dc AS (SELECT pos, g, count(*) AS n FROM db GROUP BY ALL),
+ds AS (SELECT pos, lt.label, sum(dc.n * ln((coalesce(lc.n, 0) + 1) / total)) AS lp FROM dc CROSS JOIN lt LEFT JOIN lc ON lc.label = lt.label AND lc.g = dc.g GROUP BY pos, lt.label),
+dm AS (SELECT pos, max(lp) AS best FROM ds GROUP BY pos),
+lid AS (SELECT ds.pos, min(label) FILTER (lp = best) AS label, 1 / sum(exp(lp - best)) AS prob FROM ds JOIN dm ON ds.pos = dm.pos GROUP BY ds.pos)"""
+
+
+@query(f"WITH {DOCS}, {LID_MODEL} SELECT pos, label, round(prob, 6) AS prob FROM lid")
+def lid_model_scores(spark, d):
+    """The likeliest language by the character model fitted on the trusted samples."""
+    model = lid.Model(table(spark, d, "lang_samples", "sample_id", "lang", "text"))
+    return lid.with_language(docs(spark, d), model).where("label is not null").select("pos", "label", F.round("prob", 6).alias("prob"))
+
+
+@query(f"WITH {DOCS}, {LID_MODEL} SELECT d.pos, label FROM d JOIN lid ON d.pos = lid.pos WHERE label = lower(trim(lang)) AND prob >= 0.6")
+def lid_model_keep(spark, d):
+    model = lid.Model(table(spark, d, "lang_samples", "sample_id", "lang", "text"))
+    return lid.keep(docs(spark, d), model, F.lower(F.trim("lang"))).select("pos", "label")
+
+
 # Classes of texts whose runs of five words agree to 0.8: all pairs by their shared runs, then the least pos reachable.
 NEAR = f"""nw AS (SELECT pos, list_filter(regexp_split_to_array(lower(text), '{W}+'), lambda w: w <> '') AS w FROM d WHERE text IS NOT NULL),
 ns AS (SELECT pos, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM nw),
@@ -238,7 +265,7 @@ u AS (SELECT unnest(tokens) AS word FROM tr), uni AS (SELECT word, count(*) AS n
 p AS (SELECT unnest(list_zip(tokens[:-2], tokens[2:])) AS x FROM tr WHERE len(tokens) > 1),
 bi AS (SELECT x[1] AS a, x[2] AS b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) > 1),
 tot AS (SELECT sum(n) AS total, count(*) AS kinds FROM uni)"""
-SCORES = f"""{MODEL}, s1 AS (SELECT pos, tokens[1:300] AS tokens FROM tr),
+SCORES = f"""{MODEL}, s1 AS (SELECT pos, tokens FROM tr),
 s2 AS (SELECT pos, unnest(tokens) AS word, unnest(range(1, len(tokens) + 1)) AS i, tokens FROM s1),
 s3 AS (SELECT pos, word, CASE WHEN i > 1 THEN tokens[i - 1] END AS before FROM s2),
 s4 AS (SELECT pos, CASE WHEN bi.n IS NOT NULL THEN ln(bi.n / f.n) ELSE ln(0.4) + ln((coalesce(g.n, 0) + 1) / (total + kinds)) END AS lp
@@ -246,29 +273,25 @@ s4 AS (SELECT pos, CASE WHEN bi.n IS NOT NULL THEN ln(bi.n / f.n) ELSE ln(0.4) +
 s AS (SELECT pos, exp(-sum(lp) / count(*)) AS perplexity FROM s4 GROUP BY pos)"""
 
 
-#: Words of a text that the SQL scores; the operators score all.
-SCORED = ngram.PerplexityParams(max_words=300)
-
-
-def model(spark, d):
-    trained = cut(ngram.training_documents(docs(spark, d)))
-    one = cut(ngram.unigrams(trained))
-    return docs(spark, d), trained, one
-
-
 @query(f"WITH {DOCS}, {MODEL} SELECT word, n FROM uni")
 def ngram_unigrams(spark, d):
-    return ngram.unigrams(ngram.training_documents(docs(spark, d)))
+    return ngram.unigrams(docs(spark, d))
 
 
 @query(f"WITH {DOCS}, {MODEL} SELECT a AS first, b AS second, n FROM bi")
 def ngram_bigrams(spark, d):
-    return ngram.bigrams(ngram.training_documents(docs(spark, d)))
+    return ngram.bigrams(docs(spark, d))
 
 
-def scores(spark, d):
-    df, trained, one = model(spark, d)
-    return ngram.perplexities(df, one, ngram.bigrams(trained), SCORED)
+@query(f"WITH {DOCS}, tr AS (SELECT {TOKENS} AS t FROM d WHERE text IS NOT NULL), g AS (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' '))) AS words FROM tr WHERE len(t) >= 3) SELECT words, count(*) AS n FROM g GROUP BY words HAVING count(*) > 1")
+def ngram_trigrams(spark, d):
+    return ngram.ngrams(docs(spark, d), 3, 1).select(F.array_join("words", " ").alias("words"), "n")
+
+
+def scores(spark, d, where: str = "true"):
+    """Perplexities of all texts under the model of the texts that meet the condition."""
+    df = docs(spark, d)
+    return ngram.Model(ngram.training_documents(df.where(where))).scores(df)
 
 
 @query(f"WITH {DOCS}, {SCORES} SELECT pos, round(perplexity, 4) AS perplexity FROM s UNION ALL SELECT pos, 'inf'::DOUBLE FROM s1 WHERE len(tokens) = 0")
@@ -276,20 +299,33 @@ def perplexity_scores(spark, d):
     return scores(spark, d).select("pos", F.round("perplexity", 4).alias("perplexity"))
 
 
+@query(f"WITH {DOCS}, {SCORES.replace('unnest(tokens) AS word FROM tr)', 'unnest(tokens) AS word FROM tr WHERE manual)').replace('FROM tr WHERE len(tokens) > 1)', 'FROM tr WHERE manual AND len(tokens) > 1)').replace('SELECT pos, ' + TOKENS + ' AS tokens FROM d', 'SELECT pos, manual, ' + TOKENS + ' AS tokens FROM d')} SELECT pos, round(perplexity, 4) AS perplexity FROM s UNION ALL SELECT pos, 'inf'::DOUBLE FROM s1 WHERE len(tokens) = 0")
+def perplexity_by_manual(spark, d):
+    """All texts under the model of the manual ones."""
+    return scores(spark, d, "manual").select("pos", F.round("perplexity", 4).alias("perplexity"))
+
+
 @query(f"WITH {DOCS}, {SCORES} SELECT round(quantile_cont(perplexity, 0.95), 4) AS cutoff FROM s")
 def perplexity_cutoff(spark, d):
-    return ngram.cutoff(cut(scores(spark, d))).select(F.round("cutoff", 4).alias("cutoff"))
+    return spark.createDataFrame([(ngram.cutoff(cut(scores(spark, d))),)], "cutoff double").select(F.round("cutoff", 4).alias("cutoff"))
 
 
 @query(f"WITH {DOCS}, {SCORES}, c AS (SELECT quantile_cont(perplexity, 0.95) AS cutoff FROM s) SELECT pos FROM s, c WHERE perplexity <= cutoff * (1 + 1e-12)")
 def perplexity_keep(spark, d):
-    return ngram.perplexity_filter(docs(spark, d), params=SCORED).select("pos")
+    return ngram.perplexity_filter(docs(spark, d)).select("pos")
+
+
+@query(f"WITH {DOCS}, {SCORES} SELECT pos FROM s WHERE perplexity <= 500")
+def perplexity_under(spark, d):
+    """Kept by an absolute perplexity."""
+    return ngram.perplexity_filter(docs(spark, d), params=ngram.PerplexityParams(max_perplexity=500.0)).select("pos")
 
 
 @query(f"WITH {DOCS}, {SCORES} SELECT round(quantile_cont(perplexity, 0.05), 4) AS p5, round(quantile_cont(perplexity, 0.25), 4) AS p25, round(quantile_cont(perplexity, 0.5), 4) AS p50, round(quantile_cont(perplexity, 0.75), 4) AS p75, round(quantile_cont(perplexity, 0.95), 4) AS p95 FROM s")
 def perplexity_quantiles(spark, d):
-    parts = F.percentile("perplexity", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    return scores(spark, d).where(F.col("perplexity") < float("inf")).agg(parts.alias("q")).select(*(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))))
+    names = ("p5", "p25", "p50", "p75", "p95")
+    found = quantiles(scores(spark, d), "perplexity", [0.05, 0.25, 0.5, 0.75, 0.95])
+    return spark.createDataFrame([tuple(found)], ", ".join(f"{n} double" for n in names)).select(*(F.round(n, 4).alias(n) for n in names))
 
 
 # Statistics
@@ -318,7 +354,7 @@ def mix_plan(spark, d):
 @query(f"WITH {DOCS}, a AS (SELECT {REASON} AS reason, text, {WORDS} AS w FROM d), c AS (SELECT count(*) AS docs_before, count(*) FILTER (reason IS NULL) AS docs_after, coalesce(sum(w), 0)::BIGINT AS words_before, coalesce(sum(w) FILTER (reason IS NULL), 0)::BIGINT AS words_after FROM a) SELECT *, round(100 * docs_after / docs_before, 4) AS docs_percent, round(words_after * 1.4::DOUBLE)::BIGINT AS tokens_low, round(words_after * 2.2::DOUBLE)::BIGINT AS tokens_high, CASE WHEN round(words_after * 1.4::DOUBLE) >= 200000 THEN 'PASS' WHEN round(words_after * 2.2::DOUBLE) >= 200000 THEN 'BORDERLINE' ELSE 'FAIL' END AS verdict FROM c")
 def retention_report(spark, d):
     df = docs(spark, d)
-    return statistics.retention(df, cleaning.with_reason(df).where("reason is null"), 200_000)
+    return statistics.retention(df, cleaning.with_reason_by_origin(df).where("reason is null"), 200_000)
 
 
 @query(f"WITH {FOLDED}, c AS (SELECT source, count(*) AS docs, coalesce(sum({WORDS}), 0)::BIGINT AS words FROM f GROUP BY source) SELECT c.source, coalesce(r.category, 'uncategorised') AS category, docs, words, round(docs / sum(docs) OVER (), 4) AS doc_share FROM c LEFT JOIN (SELECT site, min(category) AS category FROM registry GROUP BY site) r ON c.source = r.site")
@@ -326,22 +362,46 @@ def combine_report(spark, d):
     return statistics.combine_report(folded(spark, d), table(spark, d, "registry", "site", "category"))
 
 
-@query(f"WITH {DOCS} SELECT DISTINCT site AS source FROM registry WHERE site IS NOT NULL AND site NOT IN (SELECT source FROM d WHERE source LIKE 'www.%' OR source = 'khabarsetu')")
+@query(f"WITH {FOLDED} SELECT DISTINCT site AS source FROM registry WHERE site IS NOT NULL AND site NOT IN (SELECT source FROM f)")
 def registry_without_documents(spark, d):
-    """Sites none of whose documents is recorded by name, khabarsetu taken as the example of one that is."""
-    named = docs(spark, d).where("source like 'www.%' or source = 'khabarsetu'")
-    return statistics.without_documents(named, table(spark, d, "registry", "site"))
+    """Sites from which there is no document, a host counting as its site."""
+    return statistics.without_documents(folded(spark, d), table(spark, d, "registry", "site"))
+
 
+@query(f"WITH {FOLDED} SELECT DISTINCT site AS source FROM registry WHERE site IS NOT NULL AND site NOT IN (SELECT source FROM f WHERE manual AND text IS NOT NULL AND {WORDS} >= 600)")
+def registry_without_long_documents(spark, d):
+    """Sites from which there is no manual document of 600 words or more."""
+    long = folded(spark, d).where("manual").where(T.n_words(F.col("text")) >= 600)
+    return statistics.without_documents(long, table(spark, d, "registry", "site"))
 
-@query(f"WITH {DOCS}, r AS (SELECT CASE WHEN text IS NULL OR trim(regexp_replace(text, '{W}', ' ', 'g')) = '' THEN 'empty_text' WHEN coalesce(lower(trim(lang)) NOT IN ('hi', 'hindi', 'ne', 'nepali'), true) THEN 'wrong_language' WHEN NOT manual THEN 'not_manual' END AS reason FROM d) SELECT reason, count(*) AS n FROM r GROUP BY reason")
+
+REASONS = f"r AS (SELECT pos, CASE WHEN text IS NULL OR trim(regexp_replace(text, '{W}', ' ', 'g')) = '' THEN 'empty_text' WHEN coalesce(lower(trim(lang)) NOT IN ('hi', 'hindi', 'ne', 'nepali'), true) THEN 'wrong_language' WHEN NOT manual THEN 'not_manual' END AS reason, md5({KEY}) AS key FROM d), rr AS (SELECT pos, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY CASE WHEN reason IS NULL THEN key ELSE pos::VARCHAR END ORDER BY pos) > 1 THEN 'duplicate_doc_id' END) AS reason FROM r)"
+
+
+@query(f"WITH {DOCS}, {REASONS} SELECT reason, count(*) AS n FROM rr GROUP BY reason")
 def combine_drop_reasons(spark, d):
-    return docs(spark, d).select(statistics.combine_reason(("hi", "hindi", "ne", "nepali")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """The id of a record is the hash of its text."""
+    known = statistics.combine_reasons(docs(spark, d), ("hi", "hindi", "ne", "nepali"), cleaning.exact_key(F.col("text")))
+    return known.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FOLDED} SELECT source, {SUMS} FROM f GROUP BY source")
+def counts_merged(spark, d):
+    """Partial counts by source, language and origin, stored and added up by source."""
+    parts = cut(folded(spark, d).groupBy("source", "lang", "manual").agg(*statistics.sums(F.col("text"))))
+    return statistics.merged(parts, "source")
+
+
+@query(f"WITH {FOLDED}, c AS (SELECT source, {SUMS} FROM f GROUP BY source) SELECT source, round(docs * 2.5::DOUBLE)::BIGINT AS docs, round(chars * 2.5::DOUBLE)::BIGINT AS chars, round(words * 2.5::DOUBLE)::BIGINT AS words FROM c")
+def counts_scaled(spark, d):
+    return statistics.scaled(statistics.by_source(folded(spark, d)), 2.5)
 
 
 @query(f"WITH {DOCS}, q AS (SELECT * FROM d WHERE text IS NOT NULL AND {REASON} IS NULL), e AS (SELECT * FROM q WHERE pos IN (SELECT min(pos) FROM q GROUP BY md5({KEY}))) SELECT 'read' AS stage, count(*) AS docs, coalesce(sum({WORDS}), 0)::BIGINT AS words FROM d UNION ALL SELECT 'quality', count(*), coalesce(sum({WORDS}), 0)::BIGINT FROM q UNION ALL SELECT 'exact_dedup', count(*), coalesce(sum({WORDS}), 0)::BIGINT FROM e")
 def pipeline_funnel(spark, d):
     df = docs(spark, d)
-    good = cleaning.with_reason(df.where("text is not null")).where("reason is null").drop("reason")
+    good = cleaning.with_reason_by_origin(df.where("text is not null")).where("reason is null").drop("reason")
+    good = cut(good.select("pos", "text"))
     return statistics.funnel({"read": df, "quality": good, "exact_dedup": cleaning.exact_dedup(good)})
 
 
@@ -364,6 +424,12 @@ def probe_estimate(spark, d):
     return statistics.extrapolated(docs(spark, d), 10)
 
 
+@query(f"WITH {DOCS}, b AS (SELECT pos, text, coalesce(strlen(text), 0) + 1 AS n FROM d), s AS (SELECT pos, text, n, sum(n) OVER (ORDER BY pos) - n AS before, sum(n) OVER () AS total FROM b), h AS (SELECT *, ceil((before + n) * 200 / total) - ceil(before * 200 / total) AS hits FROM s), r AS (SELECT x.n, x.text, y.hits FROM h x JOIN h y ON x.before = y.before + y.n WHERE y.hits > 0), c AS (SELECT coalesce(sum(hits), 0)::BIGINT AS probes, coalesce(sum(length(text) * hits), 0) AS chars, coalesce(sum({WORDS} * hits), 0) AS words, sum(n * hits) AS held FROM r) SELECT probes, round(probes * (SELECT max(total) FROM s) / held)::BIGINT AS docs_estimated, round(chars * (SELECT max(total) FROM s) / held)::BIGINT AS chars_estimated, round(words * (SELECT max(total) FROM s) / held)::BIGINT AS words_estimated FROM c")
+def probe_by_bytes(spark, d):
+    """Sampling is the feature: totals estimated from 200 evenly spaced byte probes."""
+    return statistics.probed(docs(spark, d), F.coalesce("text", F.lit("")), 200)
+
+
 @query(f"WITH s AS (SELECT split, coalesce(manual, false) AS manual, {WORDS} AS w FROM split_docs), c AS (SELECT split, count(*) AS docs, coalesce(sum(w), 0)::BIGINT AS words, coalesce(sum(w) FILTER (manual), 0)::BIGINT AS manual_words FROM s GROUP BY split) SELECT *, CASE WHEN words > 0 THEN round(manual_words / words, 6) ELSE 0 END AS manual_share FROM c")
 def split_summary(spark, d):
     return statistics.split_pivot(table(spark, d, "split_docs", "split", "text", F.coalesce("manual", F.lit(False)).alias("manual")))
@@ -392,6 +458,11 @@ def corpus_plan(spark, d):
     return sampling.corpus_plan(docs(spark, d))
 
 
+@query(f"WITH {DOCS}, a AS (SELECT coalesce(sum({WORDS}) FILTER (manual), 0)::BIGINT AS m, coalesce(sum({WORDS}) FILTER (NOT manual), 0)::BIGINT AS w, coalesce(sum(length(text)), 0) AS ch FROM d), b AS (SELECT *, ch / greatest(m + w, 1) / 3.4::DOUBLE AS fertility FROM a), k AS (SELECT *, CASE WHEN w > 0 THEN least(1.0::DOUBLE, greatest(0, 100000 / (fertility * 0.8::DOUBLE) - m * 1.5::DOUBLE) / w) ELSE 0 END AS keep FROM b), c AS (SELECT *, m * 1.5::DOUBLE + w * keep AS corpus FROM k) SELECT m AS manual_words, w AS downloaded_words, round(fertility, 4) AS fertility, round(keep, 6) AS keep, floor(corpus)::BIGINT AS corpus_words, floor(corpus * 0.8::DOUBLE * fertility)::BIGINT AS train_tokens, round(m * 1.5::DOUBLE / corpus, 4) AS manual_share FROM c")
+def corpus_plan_by_tokens(spark, d):
+    return sampling.corpus_plan_by_tokens(docs(spark, d), 100_000, upsample=1.5)
+
+
 @query(f"WITH {DOCS} SELECT pos, source FROM d WHERE {WORDS} >= 128 ORDER BY md5(concat('1337:', text)), pos LIMIT 200")
 def eval_subset(spark, d):
     """A frozen sample of 200: sampling is the feature."""
@@ -466,8 +537,112 @@ def category_priority(spark, d):
     return table(spark, d, "registry", "site", frontier.priority_of(F.col("category"), CATEGORIES).alias("priority"))
 
 
-@query("WITH c AS (SELECT host AS site, priority AS strategy, url FROM frontier WHERE url IS NOT NULL AND host IS NOT NULL), k AS (SELECT site, strategy, count(DISTINCT url) AS n FROM c GROUP BY ALL), u AS (SELECT site, strategy FROM (SELECT site, strategy, coalesce(max(n) OVER (PARTITION BY site ORDER BY strategy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k) WHERE b < 50), f AS (SELECT site, url, min(strategy) AS strategy FROM c GROUP BY ALL), r AS (SELECT f.site, url, row_number() OVER (PARTITION BY f.site ORDER BY f.strategy, url) AS rank FROM f JOIN u ON f.site = u.site AND f.strategy = u.strategy) SELECT site, url, rank::INT AS rank FROM r WHERE rank <= 200")
+DISCOVERED = """c AS (SELECT DISTINCT host AS site, priority AS strategy, url FROM frontier WHERE url IS NOT NULL AND host IS NOT NULL),
+l AS (SELECT site, strategy, url, row_number() OVER (PARTITION BY site, strategy ORDER BY url) AS place_no FROM c),
+k AS (SELECT * FROM l WHERE place_no <= 200),
+f AS (SELECT site, url, min(strategy) AS strategy FROM k GROUP BY ALL), n AS (SELECT site, strategy, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT site, strategy FROM (SELECT site, strategy, coalesce(sum(n) OVER (PARTITION BY site ORDER BY strategy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n) WHERE b < 50),
+r AS (SELECT f.site, url, row_number() OVER (PARTITION BY f.site ORDER BY f.strategy, url) AS rank FROM f JOIN u ON f.site = u.site AND f.strategy = u.strategy)"""
+
+
+@query(f"WITH {DISCOVERED} SELECT site, url, rank::INT AS rank FROM r WHERE rank <= 200")
 def discovery_union(spark, d):
     """Priorities as strategies, URLs in order of their text; the cap of a site is the feature."""
     found = table(spark, d, "frontier").where("host is not null").select(F.col("host").alias("site"), F.col("priority").alias("strategy"), F.lit(0).alias("place"), "url")
     return frontier.discovered(found, 200)
+
+
+# Pages, sitemaps and files, made of the tables' texts
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a page: its lines as paragraphs of the article, beside navigation and a script."""
+    text = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "</p><p>")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    html = F.concat(F.lit("<html><body><nav><p>मुख्य पृष्ठ की यह पंक्ति किसी लेख का भाग नहीं है और बहुत लंबी है</p></nav><article><p>"), text, F.lit("</p></article><script>var a = '<p>x</p>';</script></body></html>"))
+    return documents(spark, sf_dir).where("text is not null").select("pos", F.col("pos").cast("string").alias("url"), html.alias("html"))
+
+
+BLOCKS = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '{W}+', ' ', 'g'))), lambda b: length(b) >= 40 AND regexp_matches(b, '[ऀ-ॿ]'))"
+KEPT_BLOCKS = f"array_to_string(list_filter(list_transform({BLOCKS}, lambda b, i: CASE WHEN list_position({BLOCKS}, b) = i THEN b END), lambda b: b IS NOT NULL), chr(10))"
+
+
+@query(f"WITH {DOCS}, p AS (SELECT pos, {KEPT_BLOCKS} AS text FROM d WHERE text IS NOT NULL) SELECT pos::VARCHAR AS url, md5({KEY}) AS doc_id, text, length(text)::INT AS n_chars, strlen(text)::INT AS n_bytes, 'manual' AS source_type FROM p WHERE length(text) >= 200")
+def html_documents(spark, d):
+    """Texts of pages: blocks of 40 characters or more with a letter of the script, each once, documents of 200 or more."""
+    return html.documents(spread(pages(spark, d))).select("url", "doc_id", "text", "flags.n_chars", "flags.n_bytes", "source_type")
+
+
+@query("SELECT page_id AS page, title, extract FROM (SELECT doc_id::VARCHAR AS page_id, source AS title, text AS extract FROM documents) WHERE extract <> ''")
+def wiki_extracts(spark, d):
+    """Plain texts out of a wiki's answers in JSON."""
+    page = F.map_from_arrays(F.array(F.col("pos").cast("string")), F.array(F.struct("title", F.col("text").alias("extract"))))
+    answers = texts(spark, d).join(table(spark, d, "documents", "doc_id", F.col("source").alias("title")), "doc_id").withColumnRenamed("doc_id", "pos")
+    return html.wiki_text(answers.select(F.to_json(F.struct(F.struct(page.alias("pages")).alias("query"))).alias("json")))
+
+
+@query(f"SELECT url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) LIKE '%.xml' AS nested FROM frontier WHERE url IS NOT NULL AND trim(url) <> ''")
+def sitemap_urls(spark, d):
+    """Addresses read back out of sitemaps, one a URL of the frontier, with an image's beside it."""
+    url = F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = F.concat(F.lit("<urlset><url><loc> "), url, F.lit(" </loc><image:image><image:loc>http://x/y.jpg</image:loc></image:image></url></urlset>"))
+    rows = table(spark, d, "frontier", "url").where("url is not null").select(F.explode(frontier.sitemap_locations(xml)).alias("url"))
+    return rows.select("url", frontier.is_nested(F.col("url")).alias("nested"))
+
+
+@query("SELECT host, 'https://' || host || '/sitemap.xml' AS sitemap FROM registry WHERE host IS NOT NULL")
+def robots_sitemaps(spark, d):
+    robots = F.concat(F.lit("User-agent: *\nDisallow: /x\nSitemap: https://"), "host", F.lit("/sitemap.xml\r\nCrawl-delay: 1"))
+    return table(spark, d, "registry", "host").where("host is not null").select("host", F.explode(frontier.robots_sitemaps(robots)).alias("sitemap"))
+
+
+@query("SELECT host, CASE WHEN contains(host, 'wikipedia.org') OR contains(host, 'wikisource.org') OR contains(host, 'wikibooks.org') THEN 'https://' || host || '/w/api.php' END AS api FROM (SELECT host FROM registry WHERE host IS NOT NULL UNION ALL SELECT lang || '.wikipedia.org' FROM registry WHERE lang IS NOT NULL)")
+def wiki_addresses(spark, d):
+    """Addresses of wikis' programming interfaces, for the registry's hosts and its languages' wikis."""
+    rows = table(spark, d, "registry", "host", "lang")
+    hosts = rows.where("host is not null").select("host").unionAll(rows.where("lang is not null").select(F.concat("lang", F.lit(".wikipedia.org"))))
+    return hosts.select("host", frontier.wiki_api(F.concat(F.lit("http://"), "host", F.lit("/"))).alias("api"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder of the session."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
+    """The documents as JSON lines in a new shared folder, a broken line and a blank one beside each fifth if asked."""
+    folder = shared_folder(spark)
+    rows = documents(spark, sf_dir).select(F.col("pos").cast("string").alias("doc_id"), "text", "source", "manual", "lang")
+    if not broken:
+        jsonl.write(rows, folder, sort_keys=True)
+    else:
+        line = F.to_json(F.struct("*"))
+        lines = F.when(F.col("doc_id").cast("bigint") % 5 == 0, F.array(line, F.lit('{"text": "broken'), F.lit(" "))).otherwise(F.array(line))
+        rows.select(F.explode(lines).alias("value")).write.text(folder)
+    return folder
+
+
+@query(f"WITH {DOCS} SELECT pos::VARCHAR AS doc_id, text, source, manual FROM d")
+def jsonl_read(spark, d):
+    """Written as JSON lines and read again; malformed and blank lines are skipped."""
+    return jsonl.read(spark, stored(spark, d, broken=True)).select("doc_id", "text", "source", "manual")
+
+
+@query(f"WITH {DOCS} SELECT count(*) + count(*) FILTER (pos % 5 = 0) AS n_lines, count(*) FILTER (pos % 5 = 0) AS n_malformed FROM d")
+def jsonl_malformed(spark, d):
+    """Lines and malformed ones, counted."""
+    return jsonl.malformed_by_file(spark, stored(spark, d, broken=True)).agg(F.sum("n_lines").alias("n_lines"), F.sum("n_malformed").alias("n_malformed"))
+
+
+@query("SELECT count(*) AS n FROM documents")
+def line_count(spark, d):
+    return jsonl.line_counts(spark, stored(spark, d)).agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {DOCS} SELECT pos::VARCHAR AS doc_id, text, source FROM d")
+def shards_read(spark, d):
+    """Written as gzip shards of 500 records at most and read whole by file."""
+    folder = shared_folder(spark)
+    rows = documents(spark, d).select(F.col("pos").cast("string").alias("doc_id"), "text", "source")
+    jsonl.write(rows, folder, records=500)
+    return jsonl.read_shards(spark, f"{folder}/*.gz").select("doc_id", "text", "source")

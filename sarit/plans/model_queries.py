@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarit.functions import text as T
-from sarit.operators import metrics, sampling, supervised, tokens
+from sarit.operators import metrics, sampling, subwords, supervised, tokens
 from sarit.plans.scale import cut, table
 from sarit.sources.documents import documents
 
@@ -95,54 +95,93 @@ def encoded_words(spark, d):
     return encoded(spark, d)[0].select("pos", joined("ids"))
 
 
+TRAIN = "concat('0x', substr(md5(concat('split:1337:', text)), 1, 15))::BIGINT / pow(2, 60) < 0.8"
+
+
 @query(f"WITH {IDS}, f AS (SELECT unnest(ids) AS token FROM t) SELECT token, count(*) AS n FROM f GROUP BY token")
 def token_freq(spark, d):
     ids, vocab = encoded(spark, d)
     return tokens.token_frequency(ids, vocab.select("token").unionAll(spark.createDataFrame([(3,)], "token int")))
 
 
-@query(f"WITH {IDS}, f AS (SELECT unnest(ids) AS token FROM t), k AS (SELECT token, count(*) AS n FROM f GROUP BY token) SELECT sum(n)::BIGINT AS tokens, count(*) AS used, 3::BIGINT AS unused, count(*) FILTER (n = 1) AS once, round((SELECT sum(n) FROM (SELECT n FROM k ORDER BY n DESC, token LIMIT 1000)) / sum(n), 6) AS top_share FROM k")
+@query(f"WITH {IDS}, f AS (SELECT unnest(ids) AS token FROM t JOIN documents ON pos = doc_id WHERE {TRAIN}), r AS (SELECT token FROM v UNION ALL SELECT unnest(range(4)) AS token), k AS (SELECT r.token, count(f.token) AS n FROM r LEFT JOIN f ON r.token = f.token GROUP BY r.token) SELECT sum(n)::BIGINT AS tokens, count(*) FILTER (n > 0) AS used, count(*) FILTER (n = 0) AS unused, count(*) FILTER (n = 1) AS once, round((SELECT sum(n) FROM (SELECT n FROM k ORDER BY n DESC, token LIMIT 1000)) / sum(n), 6) AS top_share FROM k")
 def token_freq_summary(spark, d):
+    """Of the train split's tokens, by the vocabulary of all documents."""
     ids, vocab = encoded(spark, d)
+    train = sampling.assign_splits(docs(spark, d)).where("split = 'train'").select("pos").join(ids, "pos")
     every = vocab.select("token").unionAll(spark.range(4).select(F.col("id").cast("int").alias("token")))
-    return tokens.frequency_summary(tokens.token_frequency(ids, every))
+    return tokens.frequency_summary(tokens.token_frequency(train, every))
+
+
+@query(f"WITH {IDS}, f AS (SELECT unnest(ids) AS token FROM t), k AS (SELECT token, count(*) AS n FROM f GROUP BY token) SELECT k.token, coalesce(word, '</s>') AS piece, k.n FROM k LEFT JOIN v ON k.token = v.token ORDER BY k.n DESC, k.token LIMIT 20")
+def top_tokens(spark, d):
+    """The 20 most frequent: the limit is the feature."""
+    ids, vocab = encoded(spark, d)
+    pieces = vocab.select("token", F.col("word").alias("piece")).unionAll(spark.createDataFrame([(3, "</s>")], "token int, piece string"))
+    return tokens.top_tokens(tokens.token_frequency(ids, pieces.select("token")), pieces, 20)
 
 
-LEAST = (1, 2, 5)
+LONGEST = (2, 4, 8)
+CHOPPED = f"""l AS (SELECT unnest([2, 4, 8]) AS longest), w AS (SELECT doc_id, unnest({split('text')}) AS word FROM documents WHERE text IS NOT NULL),
+p AS (SELECT longest, unnest(list_transform(range(0, (length(word) - 1) // longest + 1), lambda i: substr(word, i * longest + 1, longest))) AS piece FROM w, l),
+c AS (SELECT longest, piece, count(*) AS n FROM p GROUP BY ALL),
+s AS (SELECT c.longest, sum(n)::BIGINT AS tokens, (SELECT count(*) FROM w) AS words, coalesce(sum(n) FILTER (n < 2), 0) AS unknown, count(*) FILTER (n >= 2) AS vocab_size, (SELECT sum(length(text)) FROM documents) AS chars FROM c GROUP BY c.longest)"""
 
 
 def swept(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of word vocabularies of falling size: words that occur at least so often, the rest unknown."""
-    df, vocab = docs(spark, d), cut(tokens.vocabulary(docs(spark, d)))
-    sizes = [vocab.where(F.col("n") >= least) for least in LEAST]
-    out = None
-    for least, known in zip(LEAST, sizes, strict=True):
-        part = tokens.encode_words(df, known, None).withColumn("least", F.lit(least))
-        out = part if out is None else out.unionAll(part)
-    return out.join(df.select("pos", F.length("text").alias("n_chars"), T.n_words(F.col("text")).alias("n_words")), "pos")
+    """longest, tokens, words, chars, unknown, vocab_size of vocabularies of word pieces of at most 2, 4 and 8 characters
+    that occur twice or more, other pieces being unknown."""
+    words = docs(spark, d).select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    pieces = words.select("times", F.explode(F.array(*map(F.lit, LONGEST))).alias("longest"), "word")
+    pieces = pieces.select("times", "longest", F.explode(tokens.chopped(F.array("word"), F.col("longest"))).alias("piece")).groupBy("longest", "piece").agg(F.sum("times").alias("n"))
+    whole = docs(spark, d).agg(F.sum(T.n_words(F.col("text"))).alias("words"), F.sum(F.length("text")).alias("chars"))
+    return tokens.piece_counts(pieces, "longest", 2).crossJoin(F.broadcast(whole))  # one row
 
 
-@query(f"WITH {VOCAB}, l AS (SELECT unnest([1, 2, 5]) AS least), k AS (SELECT least, count(*) AS tokens, count(*) FILTER (n < least) AS unknown FROM w JOIN v USING (word), l GROUP BY least), ch AS (SELECT sum(length(text)) AS chars FROM documents WHERE text IS NOT NULL) SELECT least, tokens, 1.0::DOUBLE AS fertility, round(unknown / tokens, 6) AS unknown_share, round(chars / tokens, 6) AS chars_per_token FROM k, ch")
+@query(f"WITH {CHOPPED} SELECT longest, vocab_size, tokens, round(tokens / words, 6) AS fertility, round(unknown / tokens, 6) AS unknown_share, round(chars / tokens, 6) AS chars_per_token FROM s")
 def vocab_sweep(spark, d):
-    return tokens.sweep(swept(spark, d), "least", "n_chars", "n_words")
+    return tokens.sweep(swept(spark, d), "longest", "vocab_size")
 
 
-@query("SELECT 16000::BIGINT AS vocab_size")
+@query(f"WITH {CHOPPED}, q AS (SELECT vocab_size, round(tokens / words, 6) AS f FROM s), b AS (SELECT *, min(f) OVER () AS best FROM q) SELECT coalesce(min(vocab_size) FILTER (vocab_size >= 300 AND f <= best * 1.05), min(vocab_size) FILTER (vocab_size >= 300), min(vocab_size)) AS vocab_size FROM b")
 def vocab_choice(spark, d):
-    """The choice among published sizes and fertilities."""
-    sizes = spark.createDataFrame([(8_000, 1.71), (16_000, 1.52), (32_000, 1.49), (64_000, 1.47)], "vocab_size bigint, fertility double")
-    return tokens.vocabulary_choice(sizes)
+    """The choice among the vocabularies of the sweep."""
+    return tokens.vocabulary_choice(tokens.sweep(swept(spark, d), "longest", "vocab_size").select("vocab_size", "fertility"), 300)
 
 
-@query(f"WITH {IDS} SELECT CASE WHEN concat('0x', substr(md5(concat('split:1337:', text)), 1, 15))::BIGINT / pow(2, 60) < 0.8 THEN 'train' WHEN concat('0x', substr(md5(concat('split:1337:', text)), 1, 15))::BIGINT / pow(2, 60) < 0.9 THEN 'val' ELSE 'test' END AS split, sum(len(ids))::BIGINT AS tokens, coalesce(sum(len(ids)) FILTER (coalesce(manual, source_type = 'manual', false)), 0)::BIGINT AS manual_tokens, 0.0::DOUBLE AS unknown_share, round(coalesce(sum(len(ids)) FILTER (coalesce(manual, source_type = 'manual', false)), 0) / sum(len(ids)), 6) AS manual_share, round(coalesce(sum(len(ids)) FILTER (coalesce(manual, source_type = 'manual', false)), 0) / sum(len(ids)), 6) >= 0.2 AS reached FROM t JOIN documents ON t.pos = doc_id GROUP BY 1")
+@query(f"WITH {VOCAB}, k AS (SELECT doc_id AS pos, text, coalesce(manual, source_type = 'manual', false) AS manual, CASE WHEN {TRAIN} THEN 'train' WHEN {TRAIN.replace('0.8', '0.9')} THEN 'val' ELSE 'test' END AS split FROM documents WHERE text IS NOT NULL), o AS (SELECT split, manual, k.pos, (SELECT count(*) FROM w WHERE w.pos = k.pos) + 1 AS n, (SELECT count(*) FROM w JOIN v USING (word) WHERE w.pos = k.pos AND v.n < 2) AS u FROM k), g AS (SELECT split, sum(n)::BIGINT AS tokens, coalesce(sum(n) FILTER (manual), 0)::BIGINT AS manual_tokens, sum(u) AS unknown FROM o GROUP BY split) SELECT split, tokens, manual_tokens, round(unknown / tokens, 6) AS unknown_share, round(manual_tokens / tokens, 6) AS manual_share, round(manual_tokens / tokens, 6) >= 0.2 AS reached FROM g")
 def token_shares(spark, d):
-    ids, _ = encoded(spark, d)
-    return tokens.token_shares(sampling.assign_splits(docs(spark, d)).select("pos", "manual", "split").join(ids, "pos"))
+    """By the vocabulary of words that occur twice or more; others are unknown."""
+    df = sampling.assign_splits(docs(spark, d))
+    vocab = cut(tokens.vocabulary(docs(spark, d)).where("n >= 2"))
+    return tokens.token_shares(df.select("pos", "manual", "split").join(tokens.encode_words(df, vocab), "pos"))
 
 
 @query("WITH c AS (SELECT coalesce(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))), 0)::BIGINT AS ascii_digits, coalesce(sum(length(regexp_replace(text, '[^०-९]', '', 'g'))), 0)::BIGINT AS devanagari_digits FROM documents) SELECT *, CASE WHEN devanagari_digits > ascii_digits THEN 'devanagari' ELSE 'ascii' END AS script FROM c")
 def digit_audit(spark, d):
-    return tokens.digit_audit(docs(spark, d))
+    """By the digits of the vocabulary's words and how often each occurs; the SQL counts them in the texts."""
+    ids, vocab = encoded(spark, d)
+    return tokens.digit_audit(tokens.token_frequency(ids, vocab), vocab.select("token", F.col("word").alias("piece")))
+
+
+@query()
+def subword_roundtrip(spark, d):
+    """pos, n_tokens, n_unknown, same: every text encoded by a public subword vocabulary and decoded again; same tells
+    whether that gives the text in the vocabulary's own normal form."""
+    return subwords.round_trip(docs(spark, d))
+
+
+@query()
+def subword_sweep(spark, d):
+    """Tokens, fertility, unknown share and characters a token under each of the public vocabularies."""
+    return subwords.sweep(docs(spark, d))
+
+
+@query()
+def subword_unknown_names(spark, d):
+    """Names of the reasoning examples that a public subword vocabulary can't write without an unknown token."""
+    names = table(spark, d, "reasoning_examples").select(F.explode("entities").alias("string")).where("string is not null").distinct()
+    return supervised.unknown_strings(names.withColumn("ids", subwords.encoded(F.col("string"))), subwords.UNKNOWN).select("string")
 
 
 STREAM = f"{IDS}, z AS (SELECT pos, unnest(ids) AS token, unnest(range(len(ids))) AS i FROM t), y AS (SELECT token, row_number() OVER (ORDER BY pos, i) - 1 AS \"at\" FROM z), m AS (SELECT count(*) AS total FROM y)"
@@ -261,12 +300,31 @@ def small_pools(spark, d):
     return supervised.small_pools(pools(spark, d), 300)
 
 
+#: Dimensions of generated examples.
+DIMS = [("ऊँचाई", "people", "लंबा", "छोटा", "ऊँचाई", "सेंटीमीटर", 120, 200), ("वजन", "objects", "भारी", "हल्का", "वजन", "किलो", 2, 60), ("गति", "vehicles", "तेज़", "धीमा", "गति", "किलोमीटर", 10, 90)]
+
+
+def drawn(spark: SparkSession, d: str, candidates: int, weights: dict | None = None) -> DataFrame:
+    """Draws over the names of the test table, which are parted between the splits by hash."""
+    names = table(spark, d, "reasoning_examples").select(F.col("dim_pool").alias("pool"), F.explode("entities").alias("name")).distinct()
+    names = names.withColumn("split", F.when(F.pmod(F.xxhash64("name"), F.lit(2)) == 0, "train").otherwise("test"))
+    dims = spark.createDataFrame(DIMS, "dim string, pool string, big string, small string, noun string, unit string, low int, high int")
+    return supervised.generated(dims, names, candidates, weights)
+
+
 @query()
 def generated_examples(spark, d):
-    """Comparison examples over the names of the test table, half of the names for each split."""
-    names = table(spark, d, "reasoning_examples").select(F.explode("entities").alias("name")).distinct().withColumn("split", F.when(F.pmod(F.xxhash64("name"), F.lit(2)) == 0, "train").otherwise("test"))
-    dims = spark.createDataFrame([("height", "is taller than", "Who is taller?"), ("price", "costs more than", "Which costs more?")], "dim string, more string, question string")
-    return supervised.generated(dims, names, 200)
+    """Examples of the five families of training and, in the test split, of the two held out; prompts of the test table are
+    never used."""
+    blocked = table(spark, d, "reasoning_examples", "prompt")
+    train = supervised.taken(drawn(spark, d, 2000).where("split = 'train'"), 400, blocked)
+    test = supervised.taken(drawn(spark, d, 2000, {3: 50, 6: 50}).where("split = 'test'"), 200, blocked)
+    return train.unionByName(test)
+
+
+@query("WITH r AS (SELECT DISTINCT id, split, template, dim, gender, ask FROM reasoning_examples), l AS (SELECT split, unnest([{'c': 'template', 'v': template::VARCHAR}, {'c': 'dim', 'v': dim}, {'c': 'gender', 'v': gender}, {'c': 'ask', 'v': ask}]) AS x FROM r) SELECT split, x.c AS \"column\", x.v AS value, count(*) AS n FROM l GROUP BY ALL")
+def split_histograms(spark, d):
+    return supervised.split_histograms(reasoning(spark, d, "id", "split", "template", "dim", "gender", "ask"), "template", "dim", "gender", "ask")
 
 
 # Metrics
@@ -298,26 +356,72 @@ def outputs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scored_examples", F.col("score_id").alias("id"), F.coalesce("generated", F.lit("")).alias("hypothesis"), F.coalesce("gold", F.lit("")).alias("reference"))
 
 
-@query()
+def intl(column: str) -> str:
+    return split(rf"regexp_replace(regexp_replace(regexp_replace({column}, '(\P{{N}})(\p{{P}})', '\1 \2 ', 'g'), '(\p{{P}})(\P{{N}})', ' \1 \2', 'g'), '(\p{{S}})', ' \1 ', 'g')")
+
+
+def grams(items: str, n: int) -> str:
+    return f"list_transform(range(1, len({items}) - {n} + 2), lambda i: array_to_string({items}[i:i + {n} - 1], chr(31)))"
+
+
+def clipped(pairs: str, orders: int, name: str, by: str = "1") -> str:
+    """SQL of the sums of n-grams of tables of (id, h, r) by order."""
+    parts = " UNION ALL ".join(f"SELECT {by} AS grp, id, {n} AS k, {grams('h', n)} AS h, {grams('r', n)} AS r FROM {pairs}" for n in range(1, orders + 1))
+    return f"""{name}_g AS ({parts}), {name}_h AS (SELECT grp, id, k, g, count(*) AS c FROM (SELECT grp, id, k, unnest(h) AS g FROM {name}_g) GROUP BY ALL), {name}_r AS (SELECT grp, id, k, g, count(*) AS c FROM (SELECT grp, id, k, unnest(r) AS g FROM {name}_g) GROUP BY ALL),
+{name}_m AS (SELECT x.grp, x.k, sum(least(x.c, y.c)) AS m FROM {name}_h x JOIN {name}_r y USING (grp, id, k, g) GROUP BY ALL),
+{name} AS (SELECT z.grp, z.k, coalesce(max(m), 0) AS m, sum(len(h)) AS h, sum(len(r)) AS r, sum(CASE WHEN len(r) > 0 THEN len(h) ELSE 0 END) AS a FROM {name}_g z LEFT JOIN {name}_m q ON q.grp = z.grp AND q.k = z.k GROUP BY z.grp, z.k)"""
+
+
+def bleu_sql(name: str) -> str:
+    return f"SELECT grp, round(CASE WHEN min(h) = 0 OR sum(m) = 0 THEN 0 ELSE 100 * exp(sum(ln(CASE WHEN m = 0 THEN 1 / pow(2, zeros) ELSE m END / h)) / 4) * CASE WHEN max(h) FILTER (k = 1) >= max(r) FILTER (k = 1) THEN 1 ELSE exp(1 - max(r) FILTER (k = 1) / max(h) FILTER (k = 1)) END END, 6) AS bleu FROM (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY grp ORDER BY k) AS zeros FROM {name}) GROUP BY grp"
+
+
+CHRF_WORDS = "flatten(list_transform({}, lambda w: CASE WHEN length(w) = 1 THEN [w] WHEN regexp_matches(w[-1], '[!-/:-@\\[-`{{-~]') THEN [w[:-2], w[-1]] WHEN regexp_matches(w[1], '[!-/:-@\\[-`{{-~]') THEN [w[1], w[2:]] ELSE [w] END))"
+LETTERS = f"list_transform(range(1, length({{0}}) + 1), lambda i: substr({{0}}, i, 1))"
+BARE = "regexp_replace({}, '" + W.replace("{", "{{").replace("}", "}}") + "', '', 'g')"
+
+
+def chrf_sql(chars: str, words: str) -> str:
+    return f"SELECT grp, round(CASE WHEN p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf FROM (SELECT grp, avg(m / a) FILTER (a > 0 AND r > 0) AS p, avg(m / r) FILTER (a > 0 AND r > 0) AS r FROM (SELECT * FROM {chars} UNION ALL SELECT * FROM {words}) GROUP BY grp)"
+
+
+PAIRS = "o AS (SELECT score_id AS id, run, coalesce(generated, '') AS h, coalesce(gold, '') AS r FROM scored_examples)"
+BLEU_PAIRS = f"bo AS (SELECT id, run, {intl('h')} AS h, {intl('r')} AS r FROM o)"
+CHAR_PAIRS = f"co AS (SELECT id, run, {LETTERS.format(BARE.format('h'))} AS h, {LETTERS.format(BARE.format('r'))} AS r FROM o)"
+WORD_PAIRS = f"wo AS (SELECT id, run, {CHRF_WORDS.format(split('h'))} AS h, {CHRF_WORDS.format(split('r'))} AS r FROM o)"
+# The longest common subsequence word by word: a row of lengths, made new for each word of the hypothesis.
+ROUGE = f"""ro AS (SELECT id, run, {split('h')} AS a, {split('r')} AS b FROM o),
+rr AS (SELECT id, 0 AS i, a, b, list_transform(range(len(b) + 1), lambda x: 0) AS row FROM ro WHERE len(a) > 0 AND len(b) > 0
+UNION ALL SELECT id, i + 1, a, b, list_transform(range(len(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: CASE WHEN k > 0 AND b[k] = a[i + 1] THEN row[k] + 1 ELSE row[k + 1] END))) FROM rr WHERE i < len(a)),
+rl AS (SELECT ro.id, run, coalesce(row[-1], 0) AS n, len(ro.a) AS na, len(ro.b) AS nb FROM ro LEFT JOIN rr ON rr.id = ro.id AND rr.i = len(ro.a)),
+rs AS (SELECT id, run, CASE WHEN n > 0 THEN n / na ELSE 0 END AS p, CASE WHEN n > 0 THEN n / nb ELSE 0 END AS r, CASE WHEN n > 0 THEN 2 * n / (na + nb) ELSE 0 END AS f FROM rl)"""
+
+
+@query(f"WITH {PAIRS}, {BLEU_PAIRS}, {clipped('bo', 4, 'b')} SELECT bleu FROM ({bleu_sql('b')})")
 def bleu4(spark, d):
-    return metrics.bleu(outputs(spark, d), F.filter(F.split("hypothesis", r"\s+"), lambda w: w != ""), F.filter(F.split("reference", r"\s+"), lambda w: w != ""))
+    return metrics.bleu(outputs(spark, d), metrics.intl_tokens(F.col("hypothesis")), metrics.intl_tokens(F.col("reference")))
 
 
-@query()
+@query(f"WITH {PAIRS}, {CHAR_PAIRS}, {WORD_PAIRS}, {clipped('co', 6, 'c')}, {clipped('wo', 2, 'w')} SELECT chrf FROM ({chrf_sql('c', 'w')})")
 def chrf_pp(spark, d):
     return metrics.chrf(outputs(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIRS}, {ROUGE} SELECT count(*) AS n, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f FROM rs")
 def rouge_l(spark, d):
-    return outputs(spark, d).agg(F.count("*").alias("n"), F.round(F.avg(metrics.rouge_l("hypothesis", "reference")), 6).alias("rouge_l"))
+    scored = outputs(spark, d).select(metrics.rouge_l("hypothesis", "reference").alias("x"))
+    return scored.agg(F.count("*").alias("n"), F.round(F.avg("x.p"), 6).alias("precision"), F.round(F.avg("x.r"), 6).alias("recall"), F.round(F.avg("x.f"), 6).alias("f"))
 
 
-@query()
+DISTINCT = "(SELECT run, g, count(*) AS n FROM (SELECT run, unnest({}) AS g FROM ro) GROUP BY ALL)"
+RUNS = "SELECT run, max(n) AS max_run FROM (SELECT run, id, x, island, count(*) AS n FROM (SELECT run, id, x, i - row_number() OVER (PARTITION BY id, x ORDER BY i) AS island FROM (SELECT run, id, unnest(a) AS x, unnest(range(len(a))) AS i FROM ro)) GROUP BY ALL) GROUP BY run"
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {BLEU_PAIRS}, {CHAR_PAIRS}, {WORD_PAIRS}, {ROUGE}, {clipped('bo', 4, 'b', 'run')}, {clipped('co', 6, 'c', 'run')}, {clipped('wo', 2, 'w', 'run')}, s AS (SELECT run, count(*) AS n, round(avg(f), 6) AS rouge_l FROM rs GROUP BY run), l AS (SELECT run, round(avg(len(a)), 6) AS words FROM ro GROUP BY run) SELECT s.run, s.n, bleu, chrf, rouge_l, round(coalesce(d1, 0), 6) AS distinct_1, round(coalesce(d2, 0), 6) AS distinct_2, round(coalesce(1 - d4, 0), 6) AS repetition_4, max_run::INT AS max_run, words FROM s JOIN l ON l.run = s.run JOIN ({bleu_sql('b')}) x ON x.grp = s.run JOIN ({chrf_sql('c', 'w')}) y ON y.grp = s.run JOIN ({RUNS}) z ON z.run = s.run LEFT JOIN (SELECT run, count(*) / sum(n) AS d1 FROM {DISTINCT.format('a')} GROUP BY run) u ON u.run = s.run LEFT JOIN (SELECT run, count(*) / sum(n) AS d2 FROM {DISTINCT.format(grams('a', 2))} GROUP BY run) v ON v.run = s.run LEFT JOIN (SELECT run, count(*) / sum(n) AS d4 FROM {DISTINCT.format(grams('a', 4))} GROUP BY run) w4 ON w4.run = s.run")
 def generation_summary(spark, d):
-    """By run: rows, mean ROUGE-L, share of empty outputs, mean words."""
-    rows = table(spark, d, "scored_examples", "run", "generated", "gold")
-    return rows.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg(metrics.rouge_l("generated", "gold")), 6).alias("rouge_l"), F.round(F.avg((F.coalesce("generated", F.lit("")) == "").cast("int")), 6).alias("empty"), F.round(F.avg(F.coalesce(T.n_words(F.col("generated")), F.lit(0))), 6).alias("words"))
+    """By run, as the setting."""
+    rows = table(spark, d, "scored_examples", "score_id", "run", F.coalesce("generated", F.lit("")).alias("hypothesis"), F.coalesce("gold", F.lit("")).alias("reference"))
+    return metrics.generation_summary(rows, "run")
 
 
 GRAMS = f"t AS (SELECT {split('text')} AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS ngram FROM t WHERE len(w) >= 4), c AS (SELECT ngram, count(*) AS n FROM g GROUP BY ngram)"
@@ -379,7 +483,7 @@ CELLS = "c0 AS (SELECT vec_id AS seq, vec_id % 3 AS layer, vec_id // 3 % 4 AS he
 HEADS = """a1 AS (SELECT {} seq, layer, head, t, sum(CASE WHEN w > 0 THEN -w * ln(w) ELSE 0 END) AS en, sum(w * (t - j)) AS di, sum(CASE WHEN j = t - 1 THEN w ELSE 0 END) AS pr, sum(CASE WHEN j = 0 THEN w ELSE 0 END) AS si FROM c4 {} GROUP BY seq, layer, head, t),
 a2 AS (SELECT seq, layer, head, avg(en) AS entropy, avg(en / ln(t + 1)) FILTER (t >= 1) AS normalized_entropy, avg(di) AS mean_distance, avg(di / t) FILTER (t >= 1) AS normalized_distance, avg(pr) FILTER (t >= 1) AS previous_token_rate, avg(si) FILTER (t >= 1) AS sink_rate FROM a1 GROUP BY seq, layer, head),
 heads AS (SELECT layer, head, round(avg(entropy), 6) AS entropy, round(avg(normalized_entropy), 6) AS normalized_entropy, round(avg(mean_distance), 6) AS mean_distance, round(avg(normalized_distance), 6) AS normalized_distance, round(avg(previous_token_rate), 6) AS previous_token_rate, round(avg(sink_rate), 6) AS sink_rate FROM a2 GROUP BY layer, head)"""
-CLASS = "CASE WHEN sink_rate >= 0.5 THEN 'sink' WHEN previous_token_rate >= 0.5 THEN 'local' WHEN normalized_entropy < 0.5 THEN 'content' ELSE 'mixed' END"
+CLASS = "CASE WHEN sink_rate > 0.3 THEN 'sink' WHEN normalized_distance < 0.15 AND previous_token_rate > 0.3 THEN 'local/positional' WHEN normalized_entropy > 0.4 THEN 'content-based' ELSE 'mixed' END"
 
 
 def attention(spark: SparkSession, d: str) -> DataFrame:
@@ -445,6 +549,19 @@ def lr_schedule(spark, d):
     return metrics.learning_rates(spark, 1000, 100, 6e-4, 6e-5)
 
 
-@query("WITH c(name, vocab, width, layers, context) AS (VALUES ('small', 10000, 384, 8, 256), ('large', 16000, 512, 12, 512)) SELECT name, ((vocab + context) * width)::BIGINT AS embedding, ((12 * width * width + 13 * width) * layers)::BIGINT AS blocks, ((vocab + context) * width + (12 * width * width + 13 * width) * layers + 2 * width)::BIGINT AS total FROM c")
+@query("WITH c(name, v, d, f, l, t, b, p, o) AS (VALUES ('small', 10000, 384, 1536, 8, 256, false, true, true), ('large', 16000, 512, 2048, 12, 512, true, false, false)), k AS (SELECT *, (4 * d * d + CASE WHEN b THEN 4 * d ELSE 0 END + 2 * d * f + f + d + 4 * d) * l AS blocks, CASE WHEN p THEN t * d ELSE 0 END AS positions, CASE WHEN o THEN 0 ELSE v * d END AS head FROM c) SELECT name, (v * d)::BIGINT AS embedding, positions::BIGINT AS positions, blocks::BIGINT AS blocks, (2 * d)::BIGINT AS norm, head::BIGINT AS head, (v * d + positions + blocks + 2 * d + head)::BIGINT AS total FROM k")
 def param_budget(spark, d):
-    return metrics.parameters(spark, [("small", 10_000, 384, 8, 256), ("large", 16_000, 512, 12, 512)])
+    return metrics.parameters(spark, [("small", 10_000, 384, 1536, 8, 256, False, True, True), ("large", 16_000, 512, 2048, 12, 512, True, False, False)])
+
+
+@query("WITH s AS (SELECT doc_id AS step, 0.1::DOUBLE + (doc_id % 7) / 100 AS seconds, n_chars::DOUBLE AS loss FROM documents), t AS (SELECT * FROM s WHERE step >= (SELECT min(step) FROM s) + 5) SELECT count(*) AS steps_timed, round(avg(seconds), 6) AS seconds_per_step, round(8192 / avg(seconds), 4) AS tokens_per_second, round(avg(loss), 6) AS mean_loss, round(avg(seconds) * 1875 / 3600, 6) AS projected_hours FROM t")
+def throughput(spark, d):
+    """Of a table of steps, here made of the documents' numbers."""
+    steps = table(spark, d, "documents", F.col("doc_id").alias("step"), (F.lit(0.1) + (F.col("doc_id") % 7) / 100).alias("seconds"), F.col("n_chars").cast("double").alias("loss"))
+    return metrics.throughput(steps, 8192, 1875)
+
+
+@query(f"WITH {IDS} SELECT pos, array_to_string(ids, ' ') AS ids FROM t WHERE len(ids) <= 64 ORDER BY pos LIMIT 64")
+def short_sequences(spark, d):
+    """The first 64 of at most 64 tokens: the limit is the feature."""
+    return metrics.short_sequences(encoded(spark, d)[0], "ids", 64, 64).select("pos", joined("ids"))

@@ -11,18 +11,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a table that may be broadcast; checked against the real count.
-BROADCAST_ROWS = 200_000
+#: Most rows of a table that may be broadcast, and most bytes; checked against the real table.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (spark.checkpoint.dir). A folder of our own only where it is unset, as in tests."""
+    """The shared folder of the session (spark.checkpoint.dir). Where it is unset a local master gets a folder of its own,
+    deleted at the end, as in tests; a cluster gets an error, since its executors share no local folder."""
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if known:
         return known
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sarit-checkpoint-"))
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="sarit-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 
@@ -33,11 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else df as it is, joined by a shuffle.
+    """df with a broadcast hint if it has at most `most` rows and BROADCAST_BYTES bytes, else df as it is, joined by a
+    shuffle.
 
-    df should be cheap to count: a checkpoint or a small table.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    df should be cheap to count: a checkpoint or a small table."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and held <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from sarit.functions.text import norm_key
+
 # Elements without prose, elements of prose, roots in order of preference, least lengths.
 DROPPED = frozenset("script style nav header footer aside form button noscript iframe svg".split())
 BLOCKS = frozenset("p h1 h2 h3 li".split())
@@ -81,11 +83,14 @@ def text_of(found: Column, letters: str = r"[ऀ-ॿ]", least: int = MIN_BLOCK)
 
 
 def documents(pages: DataFrame, letters: str = r"[ऀ-ॿ]", least: int = MIN_DOCUMENT) -> DataFrame:
-    """pages (url, html) as documents: id by the text's normal form, text, characters and bytes, of enough characters."""
-    from sarit.functions.text import norm_key
-
+    """pages (url, html, and if they have them source, lang, fetched_at) as documents of enough characters: doc_id by the text's
+    normal form, text, lang, source, source_type, url, fetched_at (now where the page has none) and flags with the numbers of
+    characters and bytes."""
+    own = lambda name, other: F.coalesce(F.col(name), other) if name in pages.columns else other
     out = pages.withColumn("text", text_of(blocks(F.col("html")), letters)).where(F.length("text") >= least)
-    return out.select(F.md5(norm_key(F.col("text"))).alias("doc_id"), "url", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"))
+    flags = F.struct(F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"))
+    none = F.lit(None).cast("string")
+    return out.select(F.md5(norm_key(F.col("text"))).alias("doc_id"), "text", own("lang", none).alias("lang"), own("source", none).alias("source"), F.lit("manual").alias("source_type"), "url", own("fetched_at", F.current_timestamp()).alias("fetched_at"), flags.alias("flags"))
 
 
 def wiki_text(responses: DataFrame) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarit.functions.text import strip
+from sarit.operators.ngram import running_total
+from sarit.operators.quantiles import first_in_order
 
 DOCUMENT = "doc_id string, text string, content string, lang string, source string, source_type string, manual boolean, url string, fetched_at string"
 MODES = {"skip": "DROPMALFORMED", "fail": "FAILFAST", "count": "PERMISSIVE"}
@@ -42,9 +46,10 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def pulled(df: DataFrame, source: str, lang: str, most: int = 500_000) -> DataFrame:
     """text, source, manual, lang of a downloaded set: text or else content, trimmed, none empty, at most so many in order
-    of pos. The cap is the feature: a pull is defined by its first documents."""
+    of pos. The cap is the feature: a pull is defined by its first documents; its border is found by counts."""
     text = strip(F.coalesce(F.nullif("text", F.lit("")), F.nullif("content", F.lit(""))))
-    return df.withColumn("text", text).where("text <> ''").orderBy("pos").limit(most).select("pos", "text", F.lit(source).alias("source"), F.lit(False).alias("manual"), F.lit(lang).alias("lang"))
+    out = first_in_order(df.withColumn("text", text).where("text <> ''"), "pos", most)
+    return out.select("pos", "text", F.lit(source).alias("source"), F.lit(False).alias("manual"), F.lit(lang).alias("lang"))
 
 
 def shard_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -86,6 +91,84 @@ def write(df: DataFrame, path: str, by: list[str] | None = None, records: int |
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
+def find_shards(spark: SparkSession, folders: list[str], prefix: str = "shard-") -> list[str]:
+    """The shards (prefix, .jsonl in the name) of the first folder that has any, in order of their names; an error that
+    names all folders if none has."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):
+            found = sorted(x.getPath().toString() for x in system.listStatus(path) if x.isFile() and x.getPath().getName().startswith(prefix) and ".jsonl" in x.getPath().getName())
+            if found:
+                return found
+    raise FileNotFoundError(f"no {prefix}*.jsonl* in any of {', '.join(folders)}")
+
+
+def write_shards(df: DataFrame, folder: str, size: int = 1000, level: int = 10) -> DataFrame:
+    """Writes df, in order of pos, as zstd shards of `size` records, numbered on from those that the folder has; gives
+    file, n of what is written. The folder is one that all executors see. A shard is written under another name and renamed,
+    so a task run again leaves no half-written one."""
+    spark = df.sparkSession
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    start = len(list(Path(folder).glob("shard-*.jsonl.zst")))
+    placed = running_total(df.withColumn("_one", F.lit(1)), "pos", "_one").withColumn("_shard", F.floor(F.col("before") / size) + start)
+    rows = placed.select("_shard", "pos", F.to_json(F.struct(*df.columns)).alias("line"))
+
+    def store(part: pd.DataFrame) -> pd.DataFrame:
+        import os
+
+        import zstandard
+
+        part = part.sort_values("pos")
+        name = f"shard-{part['_shard'].iloc[0]:05d}.jsonl.zst"
+        raw = zstandard.ZstdCompressor(level=level).compress(("\n".join(part["line"]) + "\n").encode())
+        draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        with open(draft, "wb") as file:
+            file.write(raw)
+        os.replace(draft, f"{folder}/{name}")
+        return pd.DataFrame({"file": [name], "n": [len(part)]})
+
+    written = rows.groupBy("_shard").applyInPandas(store, "file string, n bigint").collect()  # a row for each shard
+    return spark.createDataFrame(written, "file string, n bigint")
+
+
+def write_splits(df: DataFrame, folder: str, sentences: Column) -> None:
+    """Writes df by split as JSON lines, and the sentences of the train split as text, one a line."""
+    write(df, f"{folder}/splits", by=["split"])
+    lines = df.where("split = 'train'").select(F.explode(sentences).alias("value")).where("value <> ''")
+    lines.write.mode("overwrite").text(f"{folder}/sentences")
+
+
+def write_statistics(df: DataFrame, path: str) -> None:
+    """A small table of statistics as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def training_log(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a training log in CSV (with a head) or JSON lines, by its ending."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.json(path)
+
+
+def validations(log: DataFrame) -> DataFrame:
+    """The rows with a validation loss."""
+    return log.where("val_loss is not null and trim(cast(val_loss as string)) <> ''")
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """site, host, root, category, lang of a registry in YAML (a list manual_sites of name, domain, root, category, lang);
+    no rows without the file or the YAML library. A site without a category is uncategorised."""
+    schema = "site string, host string, root string, category string, lang string"
+    try:
+        import yaml
+    except ImportError:
+        return spark.createDataFrame([], schema)
+    if not Path(path).exists():
+        return spark.createDataFrame([], schema)
+    known = yaml.safe_load(Path(path).read_text("utf-8")) or {}
+    rows = [(x["name"], x.get("domain"), x.get("root"), x.get("category", "uncategorised"), x.get("lang")) for x in known.get("manual_sites", []) if isinstance(x, dict) and "name" in x]
+    return spark.createDataFrame(rows, schema)
+
+
 def line_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, n of text files, blank lines too."""
     return spark.read.text(paths).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))

@@ -1,13 +1,16 @@
 """Operators on small tables, with properties and brute force where there is no SQL."""
 
 import math
+import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sarit.operators import cleaning, frontier, metrics, near_dedup, ngram, sampling, supervised, tokens
+from sarit.operators import cleaning, frontier, lid, metrics, near_dedup, ngram, quantiles, sampling, statistics, subwords, supervised, tokens
 
 HI = "सरकारी परियोजना के अनुसार रामपुर में खेत अब भी नदी पर निर्भर हैं।"
 
@@ -43,8 +46,9 @@ def test_first_of_copies_and_ids(spark):
 def test_boilerplate(spark):
     df = docs(spark, [f"notice\n\ntext {i}" for i in range(100)] + [None, "notice"])
     assert [(r.line, r.n) for r in cleaning.boilerplate(df).collect()] == [("notice", 101)]
-    kept = cleaning.strip_boilerplate(df).orderBy("pos").collect()
-    assert [r.text for r in kept] == [f"text {i}" for i in range(100)]
+    for most in (cleaning.MOST_LINES, 0):
+        kept = cleaning.strip_boilerplate(df, most=most).orderBy("pos").collect()
+        assert [r.text for r in kept] == [f"text {i}" for i in range(100)]
 
 
 def test_language_scores(spark):
@@ -53,6 +57,14 @@ def test_language_scores(spark):
     assert got == {0: ("hi", pytest.approx(2 / 3)), 1: ("en", 1.0), 4: ("en", 0.5)}
 
 
+def test_languages_by_a_join(spark, monkeypatch):
+    words = spark.createDataFrame([("hi", "के"), ("hi", "the"), ("en", "the"), ("en", "of"), (None, "x"), ("en", None)], "lang string, word string")
+    df = docs(spark, ["के the", "The OF the", "x", None, "के of", ""])
+    want = {(r.pos, r.label, r.prob) for r in cleaning.language_scores(df, words).collect()}
+    monkeypatch.setattr(cleaning, "MOST_WORDS", 2)
+    assert {(r.pos, r.label, r.prob) for r in cleaning.language_scores(df, words).collect()} == want and len(want) == 3
+
+
 def test_language_of_the_whole_text(spark):
     words = spark.createDataFrame([("hi", "के"), ("en", "the")], "lang string, word string")
     df = docs(spark, ["के " + "x" * 1000 + " the the the"])
@@ -174,28 +186,70 @@ def test_token_budget_ends_after_the_document_that_reaches_it(spark):
 
 def test_perplexity_by_hand(spark):
     train = docs(spark, ["a b a b", "a c"])
-    one, two = ngram.unigrams(ngram.training_documents(train)), ngram.bigrams(ngram.training_documents(train))
-    got = {r.pos: r.perplexity for r in ngram.perplexities(docs(spark, ["a b", "z", "", None]), one, two).collect()}
+    got = {r.pos: r.perplexity for r in ngram.Model(train).scores(docs(spark, ["a b", "z", "", None])).collect()}
     first = math.log(0.4) + math.log((3 + 1) / (6 + 3))
     assert got[0] == pytest.approx(math.exp(-(first + math.log(2 / 3)) / 2))
     assert got[1] == pytest.approx(math.exp(-(math.log(0.4) + math.log(1 / 9))))
     assert got[2] == math.inf and 3 not in got
 
 
-def test_perplexity_without_bounds(spark):
-    train = ngram.training_documents(docs(spark, ["a b"]))
+def test_perplexity_of_a_model_in_parts(spark):
+    """What of the model goes to the executors doesn't matter, nor does the place of a text."""
+    random.seed(6)
+    texts = [" ".join(random.choice("abcdefghij") * random.choice([1, 1, 2]) for _ in range(random.randint(0, 30))) for _ in range(60)] + [None, ""]
+    df = docs(spark, texts)
+    model = ngram.Model(df)
+    want = {r.pos: r.perplexity for r in model.scores(df).collect()}
+    assert model.complete
+    for most in (0, 5, 40):
+        part = ngram.Model(df, most=most)
+        assert not part.complete
+        assert {r.pos: r.perplexity for r in part.scores(df).collect()} == pytest.approx(want)
+    unseen = docs(spark, ["zz zz zz a b", "q"])
+    assert {r.pos: r.perplexity for r in ngram.Model(df, most=5).scores(unseen).collect()} == pytest.approx({r.pos: r.perplexity for r in model.scores(unseen).collect()})
+
+
+def test_perplexity_bounds(spark):
+    train = docs(spark, ["a b"])
     texts = docs(spark, ["a b " * 150, "a b " * 150 + "z " * 300])
-    got = {r.pos: r.perplexity for r in ngram.perplexities(texts, ngram.unigrams(train), ngram.bigrams(train)).collect()}
+    got = {r.pos: r.perplexity for r in ngram.Model(train).scores(texts).collect()}
     assert got[1] > got[0]
+    got = {r.pos: r.perplexity for r in ngram.Model(train, ngram.BOUNDED).scores(texts).collect()}
+    assert got[1] == pytest.approx(got[0])
     scores = spark.createDataFrame([(i, float(i % 2)) for i in range(400_000)], "pos bigint, perplexity double")
-    assert ngram.cutoff(scores).first().cutoff == 1.0
+    assert ngram.cutoff(scores) == 1.0 and ngram.cutoff(scores, ngram.BOUNDED) == 0.0
+    assert ngram.cutoff(scores, ngram.PerplexityParams(max_perplexity=7.0)) == 7.0
     params = ngram.PerplexityParams()
-    assert params.max_docs is None and params.max_tokens is None
+    assert params.max_docs is None and params.max_tokens is None and params.max_words is None
 
 
 def test_perplexity_filter_without_a_model(spark):
     df = docs(spark, ["", " "])
     assert ngram.perplexity_filter(df).count() == 2
+    assert ngram.perplexity_filter(docs(spark, ["a b", "", None]), reference=docs(spark, [""])).count() == 1
+
+
+def test_quantiles(spark):
+    random.seed(7)
+    for values in ([1.5], [3.0] * 9, [random.gauss(0, 5) for _ in range(500)], [random.choice([1.0, 2.0, 9.0]) for _ in range(200)], [10 ** random.uniform(-3, 6) for _ in range(301)]):
+        df = spark.createDataFrame([(v,) for v in [*values, math.inf, math.nan, None]], "x double")
+        shares = [0.0, 0.05, 0.5, 0.731, 1.0]
+        assert quantiles.quantiles(df, "x", shares) == pytest.approx([float(np.quantile(values, s)) for s in shares])
+    assert quantiles.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
+    df = docs(spark, ["x"] * 50)
+    assert [r.pos for r in quantiles.first_in_order(df, "pos", 7).orderBy("pos").collect()] == list(range(7))
+    assert quantiles.first_in_order(df, "pos", 99).count() == 50
+
+
+def test_character_model(spark):
+    samples = spark.createDataFrame([(0, " HI ", "यह पानी है"), (1, "en", "the water is here"), (2, None, "x"), (3, "en", None)], "sample_id int, lang string, text string")
+    model = lid.Model(samples)
+    got = {r.pos: (r.label, r.prob) for r in lid.with_language(docs(spark, ["पानी", "the water", "", None, " \n", "q"]), model).collect()}
+    assert got[0][0] == "hi" and got[1][0] == "en" and 0.5 < got[1][1] <= 1
+    assert got[2] == got[3] == got[4] == (None, None) and got[5][0] in ("en", "hi")
+    none = lid.Model(samples.limit(0))
+    assert lid.keep(docs(spark, ["a"]), none, F.lit("hi")).count() == 1
+    assert lid.keep(docs(spark, ["the water", "पानी"]), model, F.lit("hi")).select("pos").collect() == [(1,)]
 
 
 def test_splits(spark):
@@ -238,10 +292,49 @@ def test_scoring_windows_score_once(spark):
         assert sorted(x for r in rows for x in r.window[r.first :]) == list(range(n))
 
 
+def test_words_beyond_the_executors(spark):
+    df = docs(spark, ["a b c a", "", None, "d a z", "b  b"])
+    vocab = tokens.vocabulary(df.where("pos < 3 or pos = 4"))
+    want = {r.pos: r.ids for r in tokens.encode_words(df, vocab).collect()}
+    assert want[1] == want[2] == [3] and want[3][0] == want[3][2] == tokens.UNKNOWN and want[3][3] == 3
+    for most in (0, 1, 2):
+        assert {r.pos: r.ids for r in tokens.encode_words(df, vocab, most=max(most, 1)).collect()} == want
+
+
+def test_chopped_words(spark):
+    got = spark.range(1).select(tokens.chopped(F.array(F.lit("abcde"), F.lit("f")), F.lit(2)).alias("x")).first().x
+    assert got == ["ab", "cd", "e", "f"]
+
+
 def test_vocabulary_choice(spark):
-    sizes = spark.createDataFrame([(8000, 1.2), (16000, 1.5), (32000, 1.45)], "vocab_size bigint, fertility double")
-    assert tokens.vocabulary_choice(sizes).first().vocab_size == 16000
-    assert tokens.vocabulary_choice(sizes, least=64_000).first().vocab_size == 8000
+    def choice(*rows, **more):
+        return tokens.vocabulary_choice(spark.createDataFrame(list(rows), "vocab_size bigint, fertility double"), **more).first().vocab_size
+
+    assert choice((8000, 1.40), (16000, 1.52), (32000, 1.46)) == 32000  # the best of all sizes counts, big or not
+    assert choice((8000, 1.71), (16000, 1.52), (32000, 1.49), (64000, 1.47)) == 16000
+    assert choice((8000, 1.2), (16000, 1.5), (32000, 1.45)) == 16000  # none within the tolerance: the smallest big one
+    assert choice((8000, 1.2), (4000, 1.5)) == 4000  # no big one: the smallest
+
+
+def test_digits_of_pieces(spark):
+    pieces = spark.createDataFrame([(4, "a1"), (5, "२३"), (6, "x")], "token int, piece string")
+    frequency = spark.createDataFrame([(4, 10), (5, 6), (6, 99)], "token int, n bigint")
+    assert tuple(tokens.digit_audit(frequency, pieces).first()) == (10, 12, "devanagari")
+    assert [tuple(r) for r in tokens.top_tokens(frequency, pieces, 2).orderBy("token").collect()] == [(4, "a1", 10), (6, "x", 99)]
+
+
+@pytest.mark.skipif(not os.path.exists(subwords.PIECES), reason="needs the public vocabularies")
+def test_subword_round_trips(spark):
+    texts = [HI, "", None, "a  b\tc", "एक\nदो ४५", "🙂 é", " x ", "क़"]
+    df = docs(spark, texts)
+    for path in subwords.SWEPT:
+        rows = {r.pos: r for r in subwords.round_trip(df, path).collect()}
+        assert all(r.same and r.n_unknown == 0 for p, r in rows.items() if p != 2) or path == subwords.PIECES
+        assert rows[0].same and rows[2].same is None and rows[1].n_tokens == 0
+        ids = df.select("pos", subwords.encoded(F.col("text"), path).alias("ids"))
+        back = {r.pos: (r.ids, r.text) for r in ids.select("pos", "ids", subwords.decoded(F.col("ids"), path).alias("text")).collect()}
+        assert back[0][1] == HI and back[2] == (None, None) and len(back[0][0]) == rows[0].n_tokens
+    assert {r.vocabulary for r in subwords.sweep(df).collect()} == {p.rpartition("/")[2] for p in subwords.SWEPT}
 
 
 def test_masking_and_padding(spark):
@@ -258,13 +351,64 @@ def test_masking_and_padding(spark):
             supervised.examples(rows).collect()
 
 
+def drawn(spark, n, weights=None):
+    dims = spark.createDataFrame([("h", "people", "tall", "short", "height", "cm", 120, 200), ("w", "people", "heavy", "light", "weight", "kg", 5, 60), ("p", "none", "x", "y", "z", "u", 1, 90)], "dim string, pool string, big string, small string, noun string, unit string, low int, high int")
+    names = spark.createDataFrame([("people", "train" if i % 2 else "test", f"n{i}q") for i in range(30)], "pool string, split string, name string")
+    return supervised.generated(dims, names, n, weights)
+
+
 def test_generated_examples(spark):
-    dims = spark.createDataFrame([("h", "is taller than", "Who?")], "dim string, more string, question string")
-    names = spark.createDataFrame([(f"n{i}", "train" if i % 2 else "test") for i in range(60)], "name string, split string")
-    rows = supervised.generated(dims, names, 20).collect()
-    assert len(rows) == 80 and len({r.prompt for r in rows}) == 80
+    """Premises or values of every family lead to the answer."""
+    every = {f[0]: 1 for f in supervised.FAMILIES}
+    rows = drawn(spark, 700, every).collect()
+    assert {r.template for r in rows} == set(every) and {r.ask for r in rows} == {"big", "small", "middle"}
+    sizes = {f[0]: f[2] for f in supervised.FAMILIES}
+    adjectives = {"h": ("tall", "short"), "w": ("heavy", "light")}
     for r in rows:
-        assert r.entities[r.answer_position] == r.answer
+        assert len(set(r.entities)) == sizes[r.template] and r.candidates[r.answer_index] == r.answer
+        assert r.answer_position == (r.entities.index(r.answer) if r.answer in r.entities else -1)
+        assert sorted(r.entities, key=r.prompt.index) == r.entities
+        big, small = adjectives[r.dim]
+        if r.template in (4, 5):
+            stated = {e: int(re.search(rf"{e} की \w+ (\d+)", r.prompt).group(1)) for e in r.entities}
+            assert stated == r.value_map
+            values = sorted(stated.values())
+            if r.template == 5:
+                assert len(set(values)) == 1 and r.answer == supervised.HINDI.equal
+                continue
+            assert all(b - a >= supervised.GAP for a, b in zip(values, values[1:], strict=False)) and values[0] >= 5 and values[-1] <= 200
+            order = sorted(r.entities, key=lambda e: -stated[e])
+        else:
+            above = set()
+            for a, b, adj in re.findall(r"(n\d+q) तो (n\d+q) से (\w+) है", r.prompt):
+                above.add((a, b) if adj == big else (b, a))
+            assert len(above) == sizes[r.template] - 1
+            order = r.order_names
+            assert above == set(zip(order, order[1:], strict=False))
+        assert r.answer == {"big": order[0], "small": order[-1], "middle": order[1] if len(order) > 2 else None}[r.ask]
+        if r.template == 3:
+            assert set(r.pair) == {order[0], order[-1]}
+
+
+def test_taken_examples(spark):
+    draws = drawn(spark, 1500).where("split = 'train'")
+    blocked = draws.where("i < 100").select("prompt")
+    rows = supervised.taken(draws, 300, blocked).collect()
+    assert len(rows) == 300 == len({r.prompt for r in rows}) and sorted(r.k for r in rows) == list(range(300))
+    assert not {r.prompt for r in rows} & {r.prompt for r in blocked.collect()}
+    assert {r.template for r in rows} == {f[0] for f in supervised.FAMILIES if f[4]}
+    for template in (1, 2, 4):
+        places = [sum(r.template == template and r.answer_position == k for r in rows) for k in range(3)]
+        assert max(places) - min(places) <= 1
+    again = supervised.taken(draws.unionByName(draws), 10**6, unique=False)
+    assert again.count() == 2 * draws.count()
+
+
+def test_split_statistics(spark):
+    df = spark.createDataFrame([("a", "x " * k, "y", 0) for k in range(1, 42)] + [("a", None, None, -1)], "split string, prompt string, answer string, answer_position int")
+    row_ = supervised.split_statistics(df).first()
+    lengths = sorted(range(1, 42))
+    assert row_.p95_words == lengths[int(0.95 * (len(lengths) - 1))] and row_.max_words == 41 and row_.best_position == 1.0
 
 
 def test_pools(spark):
@@ -278,12 +422,13 @@ def pair(spark, h, r):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(h, r, strict=True))], "id bigint, hypothesis string, reference string")
 
 
-def rouge(spark, h, r):
-    return pair(spark, h, r).agg(F.avg(metrics.rouge_l("hypothesis", "reference")).alias("x")).first().x
+def rouge(spark, h, r, part="f"):
+    return pair(spark, h, r).agg(F.avg(metrics.rouge_l("hypothesis", "reference")[part]).alias("x")).first().x
 
 
 def test_rouge(spark):
     assert rouge(spark, ["a b c d"], ["a b x d"]) == pytest.approx(0.75)
+    assert (rouge(spark, ["a b c d"], ["a d"], "p"), rouge(spark, ["a b c d"], ["a d"], "r")) == (0.5, 1.0)
     for text in (HI, "यस नदीबारे मानिसले भने", "the same words"):
         assert rouge(spark, [text], [text]) == 1.0
     assert rouge(spark, [""], ["a"]) == 0.0
@@ -333,9 +478,57 @@ def test_bleu_and_chrf(spark):
     assert metrics.chrf(pair(spark, ["x"], ["y"])).first().chrf == 0.0
 
 
+def test_international_tokens(spark):
+    df = spark.createDataFrame([("वह गया।", 0), ("a, b.c 3,4 $5", 1), ("", 2)], "t string, i int")
+    got = [r.x for r in df.orderBy("i").select(metrics.intl_tokens(F.col("t")).alias("x")).collect()]
+    assert got == [["वह", "गया", "।"], ["a", ",", "b", ".", "c", "3,4", "$", "5"], []]
+    same = pair(spark, ["क ख ग घ गया।"], ["क ख ग घ गया ।"])
+    assert metrics.bleu(same, metrics.intl_tokens(F.col("hypothesis")), metrics.intl_tokens(F.col("reference"))).first().bleu == pytest.approx(100)
+
+
+def test_chrf_of_unlike_texts(spark):
+    """Precision and recall are averaged over the orders, F is taken once."""
+    rows = [("the cat sat.", "the cat, sat on"), ("(a b", "a b"), ("x", "")]
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def apart(text):
+        out = []
+        for w in text.split():
+            out += [w] if len(w) == 1 else [w[:-1], w[-1]] if w[-1] in marks else [w[0], w[1:]] if w[0] in marks else [w]
+        return out
+
+    p, r = [], []
+    for n, of in [(n, lambda t: list(t.replace(" ", ""))) for n in range(1, 7)] + [(n, apart) for n in (1, 2)]:
+        hyp = ref = match = 0
+        for a, b in rows:
+            x, y = (Counter(tuple(of(t)[i : i + n]) for i in range(len(of(t)) - n + 1)) for t in (a, b))
+            hyp, ref, match = hyp + (x.total() if y else 0), ref + y.total(), match + (x & y).total()
+        if hyp and ref:
+            p.append(match / hyp)
+            r.append(match / ref)
+    p, r = np.mean(p), np.mean(r)
+    assert metrics.chrf(pair(spark, *zip(*rows, strict=True))).first().chrf == pytest.approx(100 * 5 * p * r / (4 * p + r), abs=1e-5)
+
+
+def test_head_classes(spark):
+    cells = [(0.31, 0.9, 0.9, 0.0, "sink"), (0.3, 0.1, 0.5, 0.0, "local/positional"), (0.0, 0.15, 0.9, 0.41, "content-based"), (0.0, 0.1, 0.3, 0.4, "mixed"), (0.0, 0.5, 0.9, 0.39, "mixed")]
+    df = spark.createDataFrame(cells, "sink_rate double, normalized_distance double, previous_token_rate double, normalized_entropy double, want string")
+    assert [r.got for r in df.select(metrics.head_class().alias("got"), "want").collect()] == [c[-1] for c in cells]
+
+
+def test_parameters_and_throughput(spark):
+    rows = {r.name: r for r in metrics.parameters(spark, [("a", 10, 4, 16, 2, 8, False, True, True), ("b", 10, 4, 16, 2, 8, True, False, False)]).collect()}
+    block = 4 * 16 + (4 * 16 + 16) + (16 * 4 + 4) + 2 * 2 * 4
+    assert rows["a"].total == 40 + 32 + 2 * block + 8 and rows["b"].total == 40 + 2 * (block + 16) + 8 + 40
+    steps = spark.createDataFrame([(i, 9.0 if i < 5 else 0.5, 2.0) for i in range(15)], "step int, seconds double, loss double")
+    assert tuple(metrics.throughput(steps, 100, 7200).first()) == (10, 0.5, 200.0, 2.0, 1.0)
+
+
 def test_ranking_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([(["aa", "b"], [-1.0, -1.0]), (["aaaa", "b"], [-2.0, -1.0]), (["a"], None), (["a"], [-1.0, -2.0])], "candidates array<string>, logprobs array<double>")
     assert [(r.best, r.best_normalized) for r in metrics.ranked(df).collect()] == [("aa", "aa"), ("b", "aaaa"), (None, None), (None, None)]
+    by_tokens = spark.createDataFrame([(["aaaa", "b"], [-2.0, -1.5], [1, 2])], "candidates array<string>, logprobs array<double>, n array<int>")
+    assert metrics.ranked(by_tokens, "n").first().best_normalized == "b"
 
 
 def test_frontier(spark):
@@ -365,8 +558,65 @@ def test_sitemaps_and_robots(spark):
 
 
 def test_discovery_falls_through(spark):
+    def found(rows, cap=1000, **more):
+        df = spark.createDataFrame(rows, "site string, strategy int, place int, url string")
+        return [(r.site, r.url) for r in frontier.discovered(df, cap, **more).orderBy("site", "rank").collect()]
+
     rows = [("s", 0, i, f"u{i}") for i in range(3)] + [("s", 1, i, f"u{i}") for i in range(60)] + [("s", 2, 0, "late")]
-    df = spark.createDataFrame(rows, "site string, strategy int, place int, url string")
-    got = [r.url for r in frontier.discovered(df, 10).orderBy("rank").collect()]
-    assert got == [f"u{i}" for i in range(10)]
-    assert "late" not in {r.url for r in frontier.discovered(df, 1000).collect()}
+    assert found(rows, 10) == [("s", f"u{i}") for i in range(10)]
+    assert ("s", "late") not in found(rows)
+    both = [("s", 0, i, f"a{i}") for i in range(30)] + [("s", 1, i, f"b{i}") for i in range(30)] + [("s", 2, 0, "late")]
+    assert len(found(both)) == 60  # 30 and 30 are enough together
+    assert len(found(both, caps={1: 5})) == 36 and len(found(both, caps={1: 0})) == 31
+    wiki = [("hi.wikipedia.org", -1, 0, "w"), ("hi.wikipedia.org", 0, 0, "x"), ("t", -1, 0, "w"), ("t", 0, 0, "x")]
+    assert found(wiki) == [("hi.wikipedia.org", "w"), ("t", "x")]
+    assert found([("hi.wikipedia.org", 0, 0, "x")]) == [("hi.wikipedia.org", "x")]
+
+
+def test_combine_reasons_in_order(spark):
+    df = spark.createDataFrame([(0, "a", "hi", True, "k"), (1, None, "hi", True, "k"), (2, "a", "en", True, "k"), (3, "a", "hi", False, "k"), (4, "b", "HI ", True, "k"), (5, "c", "hi", True, None), (6, "c", "hi", True, None)], "pos bigint, text string, lang string, manual boolean, id string")
+    got = {r.pos: r.reason for r in statistics.combine_reasons(df.withColumn("malformed", F.col("pos") == 6), ("hi",), F.col("id")).collect()}
+    assert got == {0: None, 1: "empty_text", 2: "wrong_language", 3: "not_manual", 4: "duplicate_doc_id", 5: None, 6: "malformed_json"}
+
+
+def test_byte_probes(spark):
+    random.seed(2)
+    texts = ["x" * random.randint(0, 40) for _ in range(30)]
+    lines = [len(t) + 1 for t in texts]
+    for probes in (1, 7, 50):
+        chosen = []
+        for i in range(probes):
+            at, n = sum(lines) * i / probes, 0
+            for k, size in enumerate(lines):
+                if n <= at < n + size and k + 1 < len(lines):
+                    chosen.append(k + 1)
+                n += size
+        row_ = statistics.probed(docs(spark, texts), F.col("text"), probes).first()
+        assert row_.probes == len(chosen)
+        assert row_.chars_estimated == round(sum(len(texts[k]) for k in chosen) * sum(lines) / sum(lines[k] for k in chosen))
+
+
+def test_report(spark):
+    text = statistics.report({"a": docs(spark, ["x|y", None]).select("pos", "text"), "b": docs(spark, ["t"] * 5).select("pos")}, 3)
+    assert "| 0 | x\\|y |" in text and "| 1 |  |" in text and "More than 3 rows." in text
+
+
+def test_corpus_plan_by_tokens(spark):
+    df = docs(spark, ["aa " * 50], manual=True).unionByName(docs(spark, ["aa " * 100]))
+    row_ = sampling.corpus_plan_by_tokens(df, 96, fertility=1.0).first()
+    assert (row_.keep, row_.corpus_words, row_.train_tokens, row_.manual_share) == (0.7, 120, 96, 0.4167)
+    assert sampling.corpus_plan_by_tokens(df, 10**6, fertility=1.0).first().keep == 1.0
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sarit.plans import scale
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x"), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scale.checkpoint_dir(cluster)
+    wide = spark.range(3).select(F.repeat(F.lit("x"), 100).alias("x"))
+    assert "broadcast" in str(scale.broadcast_if_small(wide)._jdf.queryExecution().logical())
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 10)
+    assert "broadcast" not in str(scale.broadcast_if_small(wide)._jdf.queryExecution().logical())

@@ -78,16 +78,64 @@ def test_frontier_stream(spark, tmp_path):
     for i, rows in enumerate([[("a", 1, "pending"), ("b", 2, "pending")], [("b", 0, "pending"), ("c", 3, "pending")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         streams.follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-        assert (tmp_path / "out" / f"version={i}").exists()
-    got = {(r.url, r.priority) for r in spark.read.parquet(str(tmp_path / "out" / "version=1")).collect()}
+        assert (tmp_path / "out" / f"batch={i}").exists()
+    got = {(r.url, r.priority) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 1), ("b", 2), ("c", 3)}
+    again = spark.createDataFrame([("b", 0, "pending"), ("c", 3, "pending")], schema)
+    streams.merge_into(str(tmp_path / "out"))(again, 1)  # as after a failure
+    assert {(r.url, r.priority) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == got
 
 
 def test_crawl_events(spark, tmp_path):
-    rows = [("u1", "h", "done", 5, "2024-01-01 01:00:00"), ("u1", "h", "done", 5, "2024-01-01 01:00:00"), ("u2", "h", "done", 7, "2024-01-01 05:00:00"), ("u3", "h", "done", 1, None)]
+    rows = [("u1", "h", "done", 5, "2024-01-01 01:00:00"), ("u1", "h", "done", 5, "2024-01-01 01:00:00"), ("u2", "h", "done", 7, "2024-01-01 05:00:00"), ("u2", "h", "done", 9, "2024-01-01 06:00:00"), ("u3", "h", "done", 1, None)]
     df = spark.createDataFrame(rows, "url string, host string, crawl_state string, n_chars bigint, t string").withColumn("seen_at", F.to_timestamp("t")).drop("t")
     df.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "events"))
     query = streams.crawl_events(stream).writeStream.format("memory").queryName("crawl").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert [(r.n, r.chars) for r in spark.sql("select * from crawl").collect()] == [(2, 12)]
+    assert [(r.n, r.chars > 11) for r in spark.sql("select * from crawl").collect()] == [(2, True)]
+
+
+def test_zstd_shards_go_on(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"शब्द {i}") for i in range(25)], "pos bigint, text string").repartition(4)
+    folder = str(tmp_path / "shards")
+    assert {(r.file, r.n) for r in jsonl.write_shards(df, folder, 10).collect()} == {("shard-00000.jsonl.zst", 10), ("shard-00001.jsonl.zst", 10), ("shard-00002.jsonl.zst", 5)}
+    assert [r.file for r in jsonl.write_shards(df.where("pos < 5"), folder, 10).collect()] == ["shard-00003.jsonl.zst"]
+    files = jsonl.find_shards(spark, [str(tmp_path / "none"), str(tmp_path), folder])
+    assert [f.rpartition("/")[2] for f in files] == [f"shard-0000{i}.jsonl.zst" for i in range(4)]
+    got = jsonl.read_shards(spark, files, "pos bigint, text string").orderBy("file", "line").collect()
+    assert [r.pos for r in got] == [*range(25), *range(5)] and got[7].text == "शब्द 7"
+    with pytest.raises(FileNotFoundError, match="none"):
+        jsonl.find_shards(spark, [str(tmp_path / "none")])
+
+
+def test_splits_statistics_and_logs(spark, tmp_path):
+    from sarit.operators.tokens import sentences
+
+    df = spark.createDataFrame([(0, "एक। दो।", "train"), (1, "तीन।", "val")], "pos bigint, text string, split string")
+    jsonl.write_splits(df, str(tmp_path), sentences(F.col("text")))
+    assert {(r.split, r.pos) for r in spark.read.json(str(tmp_path / "splits")).collect()} == {("train", 0), ("val", 1)}
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "sentences")).collect()) == ["एक।", "दो।"]
+    jsonl.write_statistics(df.groupBy("split").count(), str(tmp_path / "stats"))
+    assert len(list((tmp_path / "stats").glob("*.json"))) == 1
+    (tmp_path / "a.csv").write_text("step,train_loss,val_loss\n1,2.5,\n2,2.0,2.25\n")
+    (tmp_path / "a.jsonl").write_text('{"step": 1, "val_loss": null}\n{"step": 2, "val_loss": 2.25}\n')
+    for name in ("a.csv", "a.jsonl"):
+        assert [(r.step, r.val_loss) for r in jsonl.validations(jsonl.training_log(spark, str(tmp_path / name))).collect()] == [(2, 2.25)]
+
+
+def test_registry(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("manual_sites:\n- {name: a, domain: www.a.example, category: news}\n- {name: b}\n- text\n")
+    assert {(r.site, r.host, r.category) for r in jsonl.registry(spark, str(tmp_path / "s.yaml")).collect()} == {("a", "www.a.example", "news"), ("b", None, "uncategorised")}
+    assert jsonl.registry(spark, str(tmp_path / "none.yaml")).count() == 0
+
+
+def test_token_files_with_meta(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "FILE", 4)
+    df = spark.createDataFrame([("train", 2, [7, 8]), ("train", 0, [1, 2, 3]), ("train", 1, [4, 5, 6]), ("val", 3, [9])], "split string, pos bigint, ids array<int>")
+    meta = tokens.write(df, str(tmp_path / "bin"), {"vocab_size": 10})
+    assert json.loads((tmp_path / "bin" / "meta.json").read_text()) == meta
+    assert meta["splits"]["train"]["tokens"] == 8 and meta["splits"]["val"]["files"] == ["val-00000.bin"]
+    raw = b"".join((tmp_path / "bin" / f).read_bytes() for f in meta["splits"]["train"]["files"])
+    assert [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)] == list(range(1, 9))
