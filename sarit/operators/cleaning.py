@@ -161,6 +161,11 @@ def exact_key(text: Column) -> Column:
     return F.md5(T.norm_key(text))
 
 
+def first_positions(df: DataFrame) -> DataFrame:
+    """pos of the first of documents with the same normal form, by one aggregate of hashes."""
+    return df.where("text is not null").groupBy(exact_key(F.col("text")).alias("_key")).agg(F.min("pos").alias("pos")).select("pos")
+
+
 def copies(df: DataFrame) -> DataFrame:
     """pos of the documents that aren't the first with their text's normal form. Only hashes are counted and joined."""
     keys = df.where("text is not null").select("pos", exact_key(F.col("text")).alias("_key"))

@@ -188,7 +188,7 @@ class Model:
             value, seen, first, hashes, keys, sizes = places(batch.column("text").to_pylist())
             row = np.repeat(np.arange(len(sizes)), sizes)
             open_ = np.isnan(value)
-            known = np.bincount(row[~open_], value[~open_], minlength=len(sizes))
+            known = np.bincount(row[~open_], value[~open_], minlength=len(sizes)).astype(np.float64)  # integers if there is none
             rest = np.flatnonzero(open_)
             lists = [ragged(x, np.bincount(row[rest], minlength=len(sizes)), kind) for x, kind in ((np.where(first[rest], np.uint64(0), keys[rest]).view(np.int64), pa.int64()), (hashes[rest].view(np.int64), pa.int64()), (seen[rest], pa.float64()))]
             return pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(known), pa.array(sizes), *lists], ["pos", "known", "n", "pair", "word", "seen"])

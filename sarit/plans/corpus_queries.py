@@ -161,7 +161,7 @@ def boilerplate_strip(spark, d):
 
 @query(f"WITH {DOCS} SELECT min(pos) AS pos FROM d WHERE text IS NOT NULL GROUP BY md5({KEY})")
 def exact_dedup(spark, d):
-    return cleaning.exact_dedup(docs(spark, d)).select("pos")
+    return cleaning.first_positions(docs(spark, d))
 
 
 @query(f"WITH {DOCS} SELECT min(pos) AS first, count(*) AS copies FROM d WHERE text IS NOT NULL GROUP BY md5({KEY}) HAVING count(*) > 1")

@@ -38,6 +38,7 @@ def test_quality_and_boilerplate_by_origin(spark):
 def test_first_of_copies_and_ids(spark):
     df = docs(spark, ["a  b", "a b", None, "c", "a b "])
     assert [r.pos for r in cleaning.exact_dedup(df).orderBy("pos").collect()] == [0, 3]
+    assert [r.pos for r in cleaning.first_positions(df).orderBy("pos").collect()] == [0, 3]
     ids = spark.createDataFrame([(0, "x", None), (1, "x", "u"), (2, "", "u"), (3, None, "u"), (4, None, None), (5, "", None)], "pos bigint, id string, url string")
     assert [r.pos for r in cleaning.id_dedup(ids, "id", "url").orderBy("pos").collect()] == [0, 2, 4, 5]
     assert [tuple(r) for r in cleaning.dup_groups(df).collect()] == [(0, 3)]
