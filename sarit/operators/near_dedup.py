@@ -147,25 +147,30 @@ def _same(signed: DataFrame) -> DataFrame:
     return cut(signed.select("pos", "whole").join(firsts, "whole").select("pos", "first"))
 
 
-def verified_pairs(df: DataFrame, params: NearDupParams = NearDupParams(), every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """pos, first of all documents with a text: the first with the same shingles; and low, high of near pairs of such
-    first ones: all of them, or (every false) enough to link all that are linked."""
-    signed = cut(_signed(df, params))
-    same = _same(signed)
-    keys = signed.join(same.where("pos = first").select("pos"), "pos", "left_semi").select("pos", F.explode("keys").alias("key"))
+def bucket_pairs(keys: DataFrame, shingled: DataFrame, params: NearDupParams = NearDupParams(), every: bool = False) -> DataFrame:
+    """low, high of the near pairs of rows (pos, key) that share a key, by the shingles of (pos, shingles): all of them, or
+    (every false) enough to link all that are linked. keys is a checkpoint; a row of shingles for each pos of it."""
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("pos").alias("leader")).where("n > 1")
-    keys = cut(keys.join(buckets, "key"))
-    shingled = cut(_shingled(df.where("text is not null").join(keys.select("pos").distinct(), "pos", "left_semi"), params))
-    stars = keys.where("pos > leader").select(F.col("leader").alias("low"), F.col("pos").alias("high")).distinct()
-    linked = cut(_near(stars, shingled, params))
-    rest = keys.where("pos > leader and n > 2")
+    keys = keys.join(buckets, "key").where("pos > leader")
+    linked = cut(_near(keys.select(F.col("leader").alias("low"), F.col("pos").alias("high")).distinct(), shingled, params))
+    rest = keys.where("n > 2")
     salts = F.ceil(F.col("n") / SALTED).cast("int")
     left = rest if every else rest.join(linked.select(F.col("low").alias("leader"), F.col("high").alias("pos")), ["leader", "pos"], "left_anti")
     left = left.select("key", F.col("pos").alias("one"), F.pmod(F.xxhash64("pos"), salts.cast("bigint")).cast("int").alias("salt"))
     right = rest.select("key", F.col("pos").alias("other"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     met = left.join(right, ["key", "salt"]).where("one <> other").select(F.least("one", "other").alias("low"), F.greatest("one", "other").alias("high")).distinct()
     met = met.join(linked, ["low", "high"], "left_anti")
-    return same, cut(linked.unionByName(_near(met, shingled, params)).distinct())
+    return cut(linked.unionByName(_near(met, shingled, params)).distinct())
+
+
+def verified_pairs(df: DataFrame, params: NearDupParams = NearDupParams(), every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """pos, first of all documents with a text: the first with the same shingles; and the bucket_pairs() of such firsts."""
+    signed = cut(_signed(df, params))
+    same = _same(signed)
+    keys = signed.join(same.where("pos = first").select("pos"), "pos", "left_semi").select("pos", F.explode("keys").alias("key"))
+    keys = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"))
+    shingled = cut(_shingled(df.where("text is not null").join(keys.select("pos").distinct(), "pos", "left_semi"), params))
+    return same, bucket_pairs(keys, shingled, params, every)
 
 
 def components(edges: DataFrame) -> DataFrame:
