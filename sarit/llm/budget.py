@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarit.llm.batches import map_text
 from sarit.llm.labels import label_column
 from sarit.llm.repeated_lines import with_site
+from sarit.plans.arrow import map_text
 from sarit.plans.scale import broadcast_if_small, spread, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"

@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sarit.llm.batches import map_text, mix64, ragged, spans
+from sarit.llm.batches import mix64, spans
+from sarit.plans.arrow import map_text, ragged
 from sarit.plans.scale import spread, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"

@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarit.llm.batches import map_text, mix64, spans
+from sarit.llm.batches import mix64, spans
 from sarit.llm.lookalike import word_texts
+from sarit.plans.arrow import map_text, ragged
 from sarit.plans.scale import spread, table
 
 #: Words of a passage.
@@ -38,7 +39,7 @@ PASSAGE = 12
 #: Bits of a block; their sum is the fingerprint's 64. Radius: one bit less than there are blocks.
 BLOCKS = (22, 21, 21)
 #: Most passages that are looked up in one pass over the documents.
-WINDOWS = 200_000
+WINDOWS = 300_000
 #: Words whose windows are looked up at once.
 BLOCK_WORDS = 1 << 17
 #: The similarity of words that p9_near asks for.
@@ -71,6 +72,18 @@ def fingerprints(hashes: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.nda
     return {n: np.packbits((sums[n:] - sums[:-n]) > 0, axis=1).view(np.uint64).ravel() for n in sizes if len(hashes) >= n}
 
 
+def passage_prints(words: np.ndarray) -> np.ndarray:
+    """SimHash of passages, one in each row of word hashes."""
+    distinct, inverse = np.unique(words, return_inverse=True)
+    bits = np.unpackbits(mix64(distinct).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) * 2 - 1
+    inverse = inverse.reshape(words.shape)
+    out = []
+    for start in range(0, len(words), 4096):
+        sums = bits[inverse[start : start + 4096]].sum(1, dtype=np.int32)
+        out.append(np.packbits(sums > 0, axis=1).view(np.uint64).ravel())
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def blocks(prints: np.ndarray) -> list[np.ndarray]:
     """The value of each block of each fingerprint."""
     out, shift = [], 0
@@ -85,7 +98,7 @@ class Passages:
 
     def __init__(self, n: int, words: np.ndarray, items: np.ndarray):
         self.n, self.words, self.items = n, words, items  # words: one row of n hashes for each passage
-        self.prints = np.array([fingerprints(row, (n,))[n][0] for row in words], np.uint64)
+        self.prints = passage_prints(words)
         self.index = []
         for width, block in zip(BLOCKS, blocks(self.prints), strict=True):
             order = np.argsort(block, kind="stable")
@@ -169,11 +182,16 @@ class Items:
 
 
 def _rows(items: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Item and words of the items that have any."""
-    for item, text in items.where("text is not null and item_id is not null").distinct().toLocalIterator():
-        words, _ = word_hashes([text])
-        if len(words):
-            yield item, words
+    """Item and words of the items that have any; hashed on the executors, they come to the driver a part at a time."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        hashes, sizes = word_hashes(batch.column("text").to_pylist())
+        keep = np.flatnonzero(sizes)
+        return pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(keep)), ragged(hashes.view(np.int64), sizes[keep], pa.int64())], ["item_id", "words"])
+
+    known = items.where("text is not null and item_id is not null").select("item_id", "text").distinct()
+    for row in map_text(known, run, "item_id bigint, words array<bigint>").toLocalIterator():
+        yield row.item_id, np.array(row.words, np.int64).view(np.uint64)
 
 
 def _whole_items(items: DataFrame) -> Iterator[Items]:
@@ -196,12 +214,11 @@ def _item_blocks(items: DataFrame) -> Iterator[dict[int, Passages]]:
     held = 0
 
     def closed() -> dict[int, Passages]:
-        return {n: Passages(n, np.stack([w for w, _ in rows]), np.array([i for _, i in rows])) for n, rows in current.items()}
+        return {n: Passages(n, np.concatenate([w for w, _ in rows]), np.repeat([i for _, i in rows], [len(w) for w, _ in rows])) for n, rows in current.items()}
 
     for item, words in _rows(items):
         n = min(PASSAGE, len(words))
-        for i in range(len(words) - n + 1):
-            current.setdefault(n, []).append((words[i : i + n], item))
+        current.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(words, n), item))
         held += len(words) - n + 1
         if held >= WINDOWS:
             yield closed()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarit.llm.batches import map_text
+from sarit.plans.arrow import map_text
 from sarit.plans.scale import cut, spread, table
 
 # Letters that common fonts draw like an ASCII letter.
@@ -33,6 +33,15 @@ LETTERS = {
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ι": "ı", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S",
+    "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Armenian, Latin
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "Տ": "S", "Ս": "U", "Օ": "O", "ց": "g", "ɑ": "a", "ɡ": "g", "ǀ": "|", "ı": "ı",
     # Kelvin and angstrom signs decompose by themselves
@@ -197,16 +206,32 @@ def look_hashes(df: DataFrame) -> DataFrame:
     return map_text(spread(df.select("tbl", "key", "text")), _hashes, "tbl string, key bigint, look binary, string binary")
 
 
+def mixed_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, look, string of the documents whose look several different strings have."""
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("key"), "text")
+    found = cut(look_hashes(documents)).drop("tbl")
+    mixed = found.groupBy("look").agg(F.min("string").alias("low"), F.max("string").alias("high")).where("low <> high").select("look")
+    return cut(found.join(mixed, "look"))
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p7_classes: key (doc_id), class, string, n_links: the documents that look like another with a different string: a class
+    for each look, named by its least doc_id, a number for each of its strings by its least doc_id, and to how many documents
+    it is linked. No pairs are made."""
+    some = mixed_looks(spark, sf_dir)
+    strings = some.groupBy("look", "string").agg(F.min("key").alias("first"), F.count_distinct("key").alias("n"))
+    looks = strings.groupBy("look").agg(F.min("first").alias("class"), F.sum("n").alias("all"))
+    out = some.distinct().join(strings, ["look", "string"]).join(looks, "look")
+    return out.select("key", "class", F.col("first").alias("string"), (F.col("all") - F.col("n")).alias("n_links"))
+
+
 def same_look(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tbl, key_a, key_b of texts that look the same but aren't the same string.
 
     Only the distinct strings of one look are paired, and the copies joined to them after that, so a string with
-    very many copies meets itself nowhere.
+    very many copies meets itself nowhere. classes() tells the same without pairs.
     """
-    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("key"), "text")
-    found = cut(look_hashes(documents)).drop("tbl")
-    mixed = found.groupBy("look").agg(F.min("string").alias("low"), F.max("string").alias("high")).where("low <> high").select("look")
-    some = cut(found.join(mixed, "look"))
+    some = mixed_looks(spark, sf_dir)
     kinds = some.select("look", "string").distinct()
     pairs = kinds.join(kinds.withColumnRenamed("string", "other"), "look").where(F.col("string") < F.col("other")).select("string", "other")
     members = some.select("string", F.col("key").alias("a"))

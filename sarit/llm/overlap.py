@@ -4,11 +4,13 @@ Method: edit-distance segment join on words. A text of n words can be within a t
 only by at most k = n // 9 edits. Evaluation texts are cut into 2 (k + 1) segments, of which the k + 1 that are
 rarest among the training texts are kept: k edits leave at least one of any k + 1 segments whole, so every partner
 holds one of them, at a place at most k words off. Training texts' substrings are matched with them, and candidates
-verified by banded dynamic programming. Keeping the rarest avoids segments (site lines, say) that very many texts share.
+verified by banded dynamic programming. Keeping the rarest avoids segments (site lines, say) that very many texts share;
+of a segment that many training texts hold all the same, these are spread by salt.
 
-Texts with the same words form a class; classes are joined, and their rows are put in at the end, so a text with very
-many copies is compared once. Substrings pass a bitmap of the segments, of at most BITS bits, before they are
-shuffled; a fuller bitmap lets more pass and loses nothing.
+Texts become 64-bit hashes of their words once; from there on no text is read or moved, and of the hashes only those of
+texts that are candidates. Texts with the same words form a class; classes are joined (p6_classes: pairs of classes;
+p6_members: the rows of each), and for p6_found their rows are put in at the end. Substrings pass a bitmap of the
+segments, sized by their number up to BITS bits, before they are shuffled; a fuller bitmap lets more pass and loses nothing.
 
 Case, punctuation, spacing, invisible and look-alike characters are disregarded. Null and empty texts, and texts
 without a word, make no pair; rows whose split is neither train nor val or test are left out. Repeated rows of one
@@ -23,12 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sarit.llm.batches import map_text, mix64
+from sarit.llm.batches import mix64
 from sarit.llm.leaks import word_hashes
-from sarit.plans.scale import cut, spread, table
-
-#: Bits of the bitmap, 16 MB: a fixed bound of what is broadcast.
-BITS = 1 << 27
+from sarit.plans.arrow import map_text, ragged
+from sarit.plans.scale import broadcast_if_small, cut, spread, table
+
+#: Most and fewest bits of the bitmap, and bits for a segment; at most 128 MB go to the executors.
+BITS, FEWEST, EACH = 1 << 30, 1 << 16, 16
+#: Training texts of one segment that one task compares.
+SALTED = 2000
+#: Words whose hashes a task handles at once.
+WORDS = 1 << 18
 TRAIN, EVALUATION = "train", ("val", "test")
 
 
@@ -86,138 +93,169 @@ def _windows(hashes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each key in the bitmap."""
-    mask = np.uint64(BITS - 1)
+def _places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in a bitmap of so many bits."""
+    mask = np.uint64(bits - 1)
     return key & mask, (key >> np.uint64(32)) & mask
 
 
 def _bitmap(segments: DataFrame) -> np.ndarray:
     """The bitmap of the column hash; made by the executors, word by word of 64 bits, and joined by or."""
+    bits = FEWEST
+    n = segments.count()
+    while bits < min(BITS, EACH * n):
+        bits *= 2
 
     def run(batches):
         for batch in batches:
             keys = np.asarray(batch.column("hash")).view(np.uint64)
-            bits = np.unique(np.concatenate(_places(keys)))
-            word = (bits >> np.uint64(6)).astype(np.int64)
+            there = np.unique(np.concatenate(_places(keys, bits)))
+            word = (there >> np.uint64(6)).astype(np.int64)
             start = np.flatnonzero(np.diff(word, prepend=-1))
-            value = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), start) if len(start) else np.zeros(0, np.uint64)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (there & np.uint64(63)), start) if len(start) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word[start]), pa.array(value.view(np.int64))], ["word", "bits"])
 
-    rows = segments.select("hash").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITS >> 6, np.uint64)
+    rows = segments.select("hash").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits >> 6, np.uint64)
     out[np.asarray(rows.column("word").combine_chunks())] = np.asarray(rows.column("bits").combine_chunks()).view(np.uint64)
     return out
 
 
 def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    a, b = _places(keys)
+    a, b = _places(keys, len(bitmap) << 6)
     return ((bitmap[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & (bitmap[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _classes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+def _worded(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """row_id, evaluation, class (a hash of all words) and words of the texts that have any."""
     hashes, sizes = word_hashes(batch.column("text").to_pylist())
     ends = np.cumsum(sizes)
     keep = np.flatnonzero(sizes)
     take = pa.array(keep)
     names = [xxhash.xxh3_128_digest(hashes[ends[i] - sizes[i] : ends[i]].tobytes()) for i in keep.tolist()]
-    return pa.RecordBatch.from_arrays([batch.column("row_id").take(take), batch.column("evaluation").take(take), pa.array(names, pa.binary())], ["row_id", "evaluation", "class"])
+    return pa.RecordBatch.from_arrays([batch.column("row_id").take(take), batch.column("evaluation").take(take), pa.array(names, pa.binary()), ragged(hashes.view(np.int64), sizes[keep], pa.int64())], ["row_id", "evaluation", "class", "words"])
 
 
-def _segments(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """row_id, n, hash, place of all segments of texts of nine words or more; shorter ones have same words or none."""
-    hashes, sizes = word_hashes(batch.column("text").to_pylist())
-    rows, lengths, keys, places = [], [], [], []
+def _parts(batch: pa.RecordBatch):
+    """Slices of a batch of about WORDS words each: row_id, all words, words of each row. A longer text comes alone."""
+    column = batch.column("words")
+    sizes = np.asarray(column.value_lengths()).astype(np.int64)
+    ends = np.cumsum(sizes)
     start = 0
-    for i, n in enumerate(sizes.tolist()):
-        words, start = hashes[start : start + n], start + n
-        if n < 9:
-            continue
-        at = cuts(n)
-        size = np.diff(at)
-        for length in np.unique(size).tolist():
-            found = at[:-1][size == length]
-            keys.append(_windows(words, length)[found])
-            places.append(found)
-            rows.append(np.full(len(found), i))
-            lengths.append(np.full(len(found), n))
-    if not rows:
-        return None
-    row = pa.array(np.concatenate(rows))
-    return pa.RecordBatch.from_arrays([batch.column("row_id").take(row), pa.array(np.concatenate(lengths), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places), pa.int32())], ["row_id", "n", "hash", "place"])
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + WORDS, "right")))
+        yield batch.column("row_id").slice(start, stop - start), np.asarray(column.slice(start, stop - start).flatten()).view(np.uint64), sizes[start:stop]
+        start = stop
+
+
+def _segments(batches):
+    """row_id, n, hash, place of all segments of texts of nine words or more; shorter ones have same words or none."""
+    for batch in batches:
+        for row_id, hashes, sizes in _parts(batch):
+            rows, lengths, keys, places = [], [], [], []
+            start = 0
+            for i, n in enumerate(sizes.tolist()):
+                words, start = hashes[start : start + n], start + n
+                if n < 9:
+                    continue
+                at = cuts(n)
+                size = np.diff(at)
+                for length in np.unique(size).tolist():
+                    found = at[:-1][size == length]
+                    keys.append(_windows(words, length)[found])
+                    places.append(found)
+                    rows.append(np.full(len(found), i))
+                    lengths.append(np.full(len(found), n))
+            if rows:
+                row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([row_id.take(row), pa.array(np.concatenate(lengths), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places), pa.int32())], ["row_id", "n", "hash", "place"])
 
 
 def _substrings(shared: object, count: bool):
     """Of training texts the substrings in the bitmap: hash and number in the chunk, or row_id, m, hash, place."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batches):
         bitmap = shared.value
-        hashes, sizes = word_hashes(batch.column("text").to_pylist())
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        starts = np.cumsum(sizes) - sizes
-        wanted: dict[int, np.ndarray] = {}
-        by_size = {m: segment_lengths(m) for m in set(sizes.tolist())}
-        for length in sorted(set().union(*by_size.values())) if by_size else ():
-            wanted[length] = np.array([length in by_size[m] and m >= length for m in sizes.tolist()])
-        keys, at = [], []
-        for length, texts in wanted.items():
-            key = _windows(hashes, length)
-            if not len(key):
-                continue
-            place = np.flatnonzero(texts[owner[: len(key)]] & (owner[: len(key)] == owner[length - 1 :]))
-            place = place[_passes(bitmap, key[place])]
-            keys.append(key[place])
-            at.append(place)
-        if not keys or not sum(map(len, keys)):
-            return None
-        key, at = np.concatenate(keys), np.concatenate(at)
-        if count:
-            known, times = np.unique(key, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(times, pa.int64())], ["hash", "n"])
-        row = owner[at]
-        return pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(row)), pa.array(sizes[row], pa.int32()), pa.array(key.view(np.int64)), pa.array(at - starts[row], pa.int32())], ["row_id", "m", "hash", "place"])
+        for batch in batches:
+            for row_id, hashes, sizes in _parts(batch):
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                starts = np.cumsum(sizes) - sizes
+                by_size = {m: segment_lengths(m) for m in set(sizes.tolist())}
+                keys, at = [], []
+                for length in sorted(set().union(*by_size.values())) if by_size else ():
+                    texts = np.array([length in by_size[m] and m >= length for m in sizes.tolist()])
+                    key = _windows(hashes, length)
+                    if not len(key):
+                        continue
+                    place = np.flatnonzero(texts[owner[: len(key)]] & (owner[: len(key)] == owner[length - 1 :]))
+                    place = place[_passes(bitmap, key[place])]
+                    keys.append(key[place])
+                    at.append(place)
+                if not keys or not sum(map(len, keys)):
+                    continue
+                key, place = np.concatenate(keys), np.concatenate(at)
+                if count:
+                    known, times = np.unique(key, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(times, pa.int64())], ["hash", "n"])
+                    continue
+                row = owner[place]
+                yield pa.RecordBatch.from_arrays([row_id.take(pa.array(row)), pa.array(sizes[row], pa.int32()), pa.array(key.view(np.int64)), pa.array(place - starts[row], pa.int32())], ["row_id", "m", "hash", "place"])
 
     return run
 
 
-def _verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    left, right = (word_hashes(batch.column(c).to_pylist()) for c in ("text", "other"))
-    ends = [np.cumsum(x[1]) for x in (left, right)]
-    keep = []
-    for i in range(batch.num_rows):
-        a, b = (x[0][e[i] - x[1][i] : e[i]] for x, e in zip((left, right), ends, strict=True))
-        most = max(len(a), len(b)) // 10
-        if distance(a, b, most) <= most:
-            keep.append(i)
-    return batch.select(["evaluation_id", "train_id"]).take(pa.array(keep, pa.int64())) if keep else None
+def _verify(batches):
+    for batch in batches:
+        left, right = batch.column("a"), batch.column("b")
+        keep = []
+        for i in range(batch.num_rows):
+            a, b = (np.asarray(x.slice(i, 1).flatten()) for x in (left, right))
+            most = max(len(a), len(b)) // 10
+            if distance(a, b, most) <= most:
+                keep.append(i)
+        if keep:
+            yield batch.select(["of_evaluation", "of_train"]).take(pa.array(keep, pa.int64()))
+
+
+class Overlaps:
+    """rows: row_id, evaluation, class of the rows that take part; pairs: of_evaluation, of_train of the classes that are
+    near or the same."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        documents = spread(table(spark, sf_dir, "split_docs", "row_id", "text", "split")).where(F.col("split").isin(TRAIN, *EVALUATION) & F.col("text").isNotNull() & F.col("row_id").isNotNull())
+        documents = documents.select("row_id", "text", (F.col("split") != TRAIN).alias("evaluation"))
+        worded = cut(map_text(documents, _worded, "row_id bigint, evaluation boolean, class binary, words array<bigint>"))
+        self.rows = worded.select("row_id", "evaluation", "class").distinct()
+        first = cut(self.rows.groupBy("class", "evaluation").agg(F.min("row_id").alias("row_id")))
+        evaluation, train = worded.where("evaluation").select("row_id", "words"), worded.where("not evaluation").select("row_id", "words")
+        segments = evaluation.mapInArrow(_segments, "row_id bigint, n int, hash bigint, place int").distinct()
+        segments = cut(segments.join(first.where("evaluation").select("row_id"), "row_id", "left_semi"))
+        counts = train.mapInArrow(_substrings(spark.sparkContext.broadcast(_bitmap(segments)), True), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("times"))
+        rarest = F.row_number().over(Window.partitionBy("row_id").orderBy(F.coalesce("times", F.lit(0)), "place"))
+        chosen = segments.join(counts, "hash", "left").withColumn("rank", rarest).where((F.col("rank") <= F.floor(F.col("n") / 9) + 1) & F.col("times").isNotNull())
+        chosen = cut(chosen.select(F.col("row_id").alias("evaluation_id"), "n", "hash", F.col("place").alias("at"), F.ceil(F.col("times") / SALTED).cast("int").alias("salts")))
+        substrings = train.mapInArrow(_substrings(spark.sparkContext.broadcast(_bitmap(chosen)), False), "row_id bigint, m int, hash bigint, place int")
+        substrings = substrings.join(first.where("not evaluation").select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "train_id")
+        hot = cut(chosen.where("salts > 1").select("hash", "salts").distinct())
+        salted = substrings.join(broadcast_if_small(hot), "hash", "left").withColumn("salt", F.pmod(F.xxhash64("train_id"), F.coalesce("salts", F.lit(1)).cast("bigint")).cast("int")).drop("salts")
+        asked = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        near = (F.abs(F.col("place") - F.col("at")) <= F.floor(F.col("n") / 9)) & (F.abs(F.col("m") - F.col("n")) <= F.floor(F.greatest("m", "n") / 10))
+        candidates = cut(asked.join(salted, ["hash", "salt"]).where(near).select("evaluation_id", "train_id").distinct())
+        of = lambda side, key, name, words: side.join(broadcast_if_small(cut(candidates.select(F.col(key).alias("row_id")).distinct())), "row_id", "left_semi").dropDuplicates(["row_id"]).select(F.col("row_id").alias(key), F.col("class").alias(name), F.col("words").alias(words))
+        both = candidates.join(of(worded.where("evaluation"), "evaluation_id", "of_evaluation", "a"), "evaluation_id").join(of(worded.where("not evaluation"), "train_id", "of_train", "b"), "train_id")
+        alike = both.select("of_evaluation", "of_train", "a", "b").mapInArrow(_verify, "of_evaluation binary, of_train binary")
+        same = first.groupBy("class").agg(F.count("*").alias("n")).where("n = 2").select(F.col("class").alias("of_evaluation"), F.col("class").alias("of_train"))
+        self.pairs = cut(alike.unionByName(same).distinct())
+
+    def members(self, evaluation: bool) -> DataFrame:
+        side, name, key = ("evaluation", "of_evaluation", "evaluation_id") if evaluation else ("not evaluation", "of_train", "train_id")
+        return self.rows.where(side).select(F.col("class").alias(name), F.col("row_id").alias(key))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """train_id, evaluation_id of all pairs of rows."""
-    documents = spread(table(spark, sf_dir, "split_docs", "row_id", "text", "split")).where(F.col("split").isin(TRAIN, *EVALUATION) & F.col("text").isNotNull() & F.col("row_id").isNotNull())
-    documents = documents.select("row_id", "text", (F.col("split") != TRAIN).alias("evaluation"))
-    rows = cut(map_text(documents, _classes, "row_id bigint, evaluation boolean, class binary"))
-    first = cut(rows.groupBy("class", "evaluation").agg(F.min("row_id").alias("row_id")))
-    evaluation, train = documents.where("evaluation"), documents.where("not evaluation")
-    segments = map_text(evaluation, _segments, "row_id bigint, n int, hash bigint, place int")
-    segments = cut(segments.join(first.where("evaluation").select("row_id"), "row_id", "left_semi"))
-    counts = map_text(train, _substrings(spark.sparkContext.broadcast(_bitmap(segments)), True), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("times"))
-    rarest = F.row_number().over(Window.partitionBy("row_id").orderBy(F.coalesce("times", F.lit(0)), "place"))
-    chosen = cut(segments.join(counts, "hash", "left").withColumn("rank", rarest).where((F.col("rank") <= F.floor(F.col("n") / 9) + 1) & F.col("times").isNotNull()).select(F.col("row_id").alias("evaluation_id"), "n", "hash", F.col("place").alias("at")))
-    substrings = map_text(train, _substrings(spark.sparkContext.broadcast(_bitmap(chosen)), False), "row_id bigint, m int, hash bigint, place int")
-    substrings = substrings.join(first.where("not evaluation").select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "train_id")
-    near = (F.abs(F.col("place") - F.col("at")) <= F.floor(F.col("n") / 9)) & (F.abs(F.col("m") - F.col("n")) <= F.floor(F.greatest("m", "n") / 10))
-    candidates = chosen.join(substrings, "hash").where(near).select("evaluation_id", "train_id").distinct()
-    with_text = candidates.join(evaluation.select(F.col("row_id").alias("evaluation_id"), "text"), "evaluation_id").join(train.select(F.col("row_id").alias("train_id"), F.col("text").alias("other")), "train_id")
-    alike = map_text(with_text.select("evaluation_id", "train_id", "text", "other"), _verify, "evaluation_id bigint, train_id bigint")
-    names = first.select("row_id", "class")
-    classes = alike.join(names.select(F.col("row_id").alias("evaluation_id"), F.col("class").alias("of_evaluation")), "evaluation_id").join(names.select(F.col("row_id").alias("train_id"), F.col("class").alias("of_train")), "train_id").select("of_evaluation", "of_train")
-    same = first.groupBy("class").agg(F.count("*").alias("n")).where("n = 2").select(F.col("class").alias("of_evaluation"), F.col("class").alias("of_train"))
-    classes = classes.unionByName(same).distinct()
-    members = rows.distinct()
-    out = classes.join(members.where("evaluation").select(F.col("class").alias("of_evaluation"), F.col("row_id").alias("evaluation_id")), "of_evaluation")
-    out = out.join(members.where("not evaluation").select(F.col("class").alias("of_train"), F.col("row_id").alias("train_id")), "of_train")
-    return out.select("train_id", "evaluation_id").distinct()
+    found = Overlaps(spark, sf_dir)
+    return found.pairs.join(found.members(True), "of_evaluation").join(found.members(False), "of_train").select("train_id", "evaluation_id").distinct()
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +263,32 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select(F.least("train_id", "evaluation_id").alias("row_a"), F.greatest("train_id", "evaluation_id").alias("row_b")).distinct()
 
 
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6_classes: of_evaluation, of_train, n_evaluation, n_train: pairs of classes of rows with the same words, a class named
+    by the hash of these, and the rows that each has on its side."""
+    found = Overlaps(spark, sf_dir)
+    sizes = found.rows.groupBy("class", "evaluation").agg(F.count("*").alias("n"))
+    one = sizes.where("evaluation").select(F.col("class").alias("of_evaluation"), F.col("n").alias("n_evaluation"))
+    two = sizes.where("not evaluation").select(F.col("class").alias("of_train"), F.col("n").alias("n_train"))
+    return found.pairs.join(one, "of_evaluation").join(two, "of_train").select(F.hex("of_evaluation").alias("of_evaluation"), F.hex("of_train").alias("of_train"), "n_evaluation", "n_train")
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6_members: row_id, class, n_links of every row with words: its links lead to rows on the other side, copies counted."""
+    found = Overlaps(spark, sf_dir)
+    sizes = found.rows.groupBy("class", "evaluation").agg(F.count("*").alias("n"))
+    both = found.pairs.join(sizes.where("not evaluation").select(F.col("class").alias("of_train"), "n"), "of_train").groupBy(F.col("of_evaluation").alias("class")).agg(F.sum("n").alias("links")).withColumn("evaluation", F.lit(True))
+    back = found.pairs.join(sizes.where("evaluation").select(F.col("class").alias("of_evaluation"), "n"), "of_evaluation").groupBy(F.col("of_train").alias("class")).agg(F.sum("n").alias("links")).withColumn("evaluation", F.lit(False))
+    return found.rows.join(both.unionByName(back), ["class", "evaluation"], "left").select("row_id", F.hex("class").alias("class"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p6_report: split, source, n_rows, n_overlapping (rows with a partner in train), n_pairs of val and test."""
-    counts = pairs(spark, sf_dir).groupBy("evaluation_id").agg(F.count("*").alias("n"))
+    """p6_report: split, source, n_rows, n_overlapping (rows with a partner in train), n_pairs of val and test; counted by
+    classes, no pairs of rows are made."""
+    found = Overlaps(spark, sf_dir)
+    sizes = found.rows.where("not evaluation").groupBy(F.col("class").alias("of_train")).agg(F.count("*").alias("n"))
+    links = found.pairs.join(sizes, "of_train").groupBy("of_evaluation").agg(F.sum("n").alias("n"))
+    counts = found.members(True).join(links, "of_evaluation").groupBy("evaluation_id").agg(F.sum("n").alias("n"))
     rows = table(spark, sf_dir, "split_docs", "row_id", "split", "source").where(F.col("split").isin(*EVALUATION))
     out = rows.join(counts, rows["row_id"] == counts["evaluation_id"], "left")
     return out.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))

@@ -1,10 +1,11 @@
 """Problem 1: per-document text quality statistics.
 
 Method: statistics of each document (STATISTICS) are computed in one pass; mergeable quantile sketches (KLL) of each
-statistic are built per language, partition by partition, and merged; values become robust z-scores by the sketches'
-median and spread; the tails of the distributions are flagged. p1_found checks the flagged documents exactly: more
-than half of the characters must stand outside running sentences or verse. A text in such a tail is no mere
-candidate of a fixed limit: what counts as a tail follows from the corpus.
+are built per language, partition by partition, and merged; values become robust z-scores by the sketches' median and
+spread, within the language and within the whole corpus. Documents in the distributions' tails (FLAGGED: far fewer common
+words, far more symbols, digits or single letters, far longer words than text has) are flagged, and only these can be
+cases. An exact check follows, since a case is defined by a fixed share: more than half of the characters (OUTSIDE) must
+stand outside running sentences or verse. What counts as a tail follows from the corpus, in no fixed unit.
 
 Recurrent lines (problem 5) are taken out before any statistic, and the cases of problem 10 are none here. Null,
 empty and blank texts, and texts of recurrent lines only, have null statistics and are no cases. Statistics are of
@@ -22,17 +23,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarit.llm.batches import map_text
 from sarit.llm.labels import label_column
 from sarit.llm.repeated_lines import Lines
 from sarit.llm.residue import TITLE, evidence, residuals
+from sarit.plans.arrow import map_text
 from sarit.plans.scale import broadcast_if_small, cut, table
 
-STATISTICS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "terminal_line_share", "common_word_share", "distinct_word_share", "single_letter_share", "mark_ratio", "outside_share")
+SKETCHED = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "terminal_line_share", "common_word_share", "distinct_word_share", "single_letter_share", "mark_ratio")
+#: The last is of the exact check; it isn't sketched and flags nothing.
+STATISTICS = (*SKETCHED, "outside_share")
 #: Size parameter of the sketches; the rank error is about 2.3 / K.
 K = 400
 #: Robust z-score beyond which a value is in the tail, and the least spread as a share of the statistic's range.
-TAIL, LEAST_SPREAD = 1.5, 0.02
+TAIL, LEAST_SPREAD = 3.0, 0.02
+#: The tails that flag a document: statistic to side and z-score.
+FLAGGED = {"common_word_share": (-1, 3.0), "symbol_ratio": (1, 6.0), "digit_ratio": (1, 6.0), "single_letter_share": (1, 6.0), "mean_word_length": (1, 6.0)}
 #: Share of characters outside running text that makes a case.
 OUTSIDE = 0.5
 #: Fewer visible characters than these outside running text (a headline, a name) make no case.
@@ -237,13 +242,13 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sketched(statistics: DataFrame) -> DataFrame:
     """language, and median and spread (the larger side of the middle half, scaled to a normal deviation) of each
     statistic; the row of the null language is of the whole corpus, from the merged sketches of the languages."""
-    sketches = cut(statistics.where("outside_share is not null").groupBy("language").agg(*(F.kll_sketch_agg_double(s, F.lit(K)).alias(s) for s in STATISTICS)))
-    whole = sketches.agg(*(F.kll_merge_agg_double(s, F.lit(K)).alias(s) for s in STATISTICS)).where(f"{STATISTICS[0]} is not null").withColumn("language", F.lit(None).cast("string"))
+    sketches = cut(statistics.where("outside_share is not null").groupBy("language").agg(*(F.kll_sketch_agg_double(s, F.lit(K)).alias(s) for s in SKETCHED)))
+    whole = sketches.agg(*(F.kll_merge_agg_double(s, F.lit(K)).alias(s) for s in SKETCHED)).where(f"{SKETCHED[0]} is not null").withColumn("language", F.lit(None).cast("string"))
     every = sketches.unionByName(whole)
     parts = F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.0, 1.0)))
-    out = every.select("language", *(F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, parts)).alias(s) for s in STATISTICS)).where(f"{STATISTICS[0]} is not null")
+    out = every.select("language", *(F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, parts)).alias(s) for s in SKETCHED)).where(f"{SKETCHED[0]} is not null")
     columns = []
-    for s in STATISTICS:
+    for s in SKETCHED:
         low, middle, high, least, most = (F.col(s)[i] for i in range(5))
         spread = F.greatest(high - middle, middle - low, (most - least) * LEAST_SPREAD, F.lit(1e-9)) / 0.6745
         columns += [middle.alias(f"{s}_median"), spread.alias(f"{s}_spread")]
@@ -254,10 +259,10 @@ def scored(statistics: DataFrame) -> DataFrame:
     """The statistics with robust z-scores: s_z within the language, s_zz within the whole corpus. The sketches' table
     has a row for each language, six at most."""
     table_ = cut(sketched(statistics))
-    of_all = table_.where("language is null").drop("language").select(*(F.col(f"{s}_{x}").alias(f"{s}_{x}_all") for s in STATISTICS for x in ("median", "spread")))
+    of_all = table_.where("language is null").drop("language").select(*(F.col(f"{s}_{x}").alias(f"{s}_{x}_all") for s in SKETCHED for x in ("median", "spread")))
     joined = statistics.join(broadcast_if_small(table_.where("language is not null")), "language", "left").join(F.broadcast(of_all), how="left")  # one row
-    z = [((F.col(s) - F.col(f"{s}_median")) / F.col(f"{s}_spread")).alias(f"{s}_z") for s in STATISTICS]
-    zz = [((F.col(s) - F.col(f"{s}_median_all")) / F.col(f"{s}_spread_all")).alias(f"{s}_zz") for s in STATISTICS]
+    z = [((F.col(s) - F.col(f"{s}_median")) / F.col(f"{s}_spread")).alias(f"{s}_z") for s in SKETCHED]
+    zz = [((F.col(s) - F.col(f"{s}_median_all")) / F.col(f"{s}_spread_all")).alias(f"{s}_zz") for s in SKETCHED]
     return joined.select(*statistics.columns, *z, *zz)
 
 
@@ -265,22 +270,27 @@ def in_tail(statistic: str) -> Column:
     return F.greatest(F.abs(f"{statistic}_z"), F.abs(f"{statistic}_zz")) > TAIL
 
 
+def flagged() -> Column:
+    """Whether a row of scored() lies in one of the tails FLAGGED, of its language or of the corpus."""
+    return reduce(or_, (F.coalesce(F.greatest(F.col(f"{s}_z") * side, F.col(f"{s}_zz") * side) > z, F.lit(False)) for s, (side, z) in FLAGGED.items()))
+
+
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p1_statistics: doc_id, language, STATISTICS, their z-scores, and tails: the statistics in whose tails it lies."""
+    """p1_statistics: doc_id, language, STATISTICS, the z-scores of those sketched, tails: the statistics in whose tails it
+    lies, and flagged."""
     out = scored(cut(measured(spark, sf_dir)))
-    tails = F.array_compact(F.array(*(F.when(in_tail(s), F.lit(s)) for s in STATISTICS)))
-    return out.drop("residue").withColumn("tails", F.when(F.col("outside_share").isNotNull(), tails))
+    tails = F.array_compact(F.array(*(F.when(in_tail(s), F.lit(s)) for s in SKETCHED)))
+    return out.drop("residue").withColumn("tails", F.when(F.col("outside_share").isNotNull(), tails)).withColumn("flagged", flagged())
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_found: doc_id."""
     out = scored(cut(measured(spark, sf_dir)))
-    tail = reduce(or_, map(in_tail, STATISTICS))
-    return out.where(tail & (F.col("outside_share") > OUTSIDE) & ~F.col("residue")).select("doc_id").distinct()
+    return out.where(flagged() & (F.col("outside_share") > OUTSIDE) & ~F.col("residue")).select("doc_id").distinct()
 
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_quantiles: language (null: the whole corpus), statistic, median, spread by the sketches."""
     wide = sketched(cut(measured(spark, sf_dir)))
-    pairs = F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(f"{s}_median").alias("median"), F.col(f"{s}_spread").alias("spread")) for s in STATISTICS))
+    pairs = F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(f"{s}_median").alias("median"), F.col(f"{s}_spread").alias("spread")) for s in SKETCHED))
     return wide.select("language", F.inline(pairs))

@@ -15,12 +15,17 @@ QUERIES: dict = {
     "p3_shares": mixing.reached,
     "p4_tokens": budget.by_document,
     "p4_budget": budget.by_slice,
+    "p5_method": repeated_lines.method,
     "p5_found": repeated_lines.found,
     "p5_clusters": repeated_lines.clusters,
     "p5_clean": repeated_lines.cleaned,
+    "p5_clean_clusters": repeated_lines.cleaned_of_clusters,
     "p6_found": overlap.found,
+    "p6_classes": overlap.classes,
+    "p6_members": overlap.members,
     "p6_report": overlap.report,
     "p7_found": lookalike.same_look,
+    "p7_classes": lookalike.classes,
     "p7_form": lookalike.one_form,
     "p8_ids": encode.corpus_ids,
     "p9_found": leaks.leaked,

@@ -17,10 +17,12 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sarit.llm.batches import map_text
 from sarit.llm.lookalike import plain_forms
 from sarit.llm.repeated_lines import Lines, flagged_numbers
+from sarit.plans.arrow import map_text
+from sarit.plans.scale import table
 
 #: Share of the residual beside its title that evidence of the second kind must make up.
 MAIN = 0.5
@@ -193,10 +195,6 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p10_kept: source, n_documents, n_excluded: what excluding the cases leaves of each source (null is one too)."""
-    from pyspark.sql import functions as F
-
-    from sarit.plans.scale import table
-
     documents = table(spark, sf_dir, "documents", "doc_id", "source")
     cases = found(spark, sf_dir).withColumn("case", F.lit(1))
     return documents.join(cases, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_documents"), F.count("case").alias("n_excluded"))

@@ -57,12 +57,26 @@ def test_prose_and_verse_do_not(lines):
 
 
 def test_tails_follow_the_corpus(spark, folder):
-    docs = [document(i, "\n".join(f"{HI} और {chr(0x915 + i % 30)}{chr(0x915 + i // 30)}{'ा' * k} ने कहा था।" for k in range(1 + i % 3))) for i in range(60)] + [document(100, "\n".join(f"• नाटक {i}" for i in range(40)), "mr")]
+    """A list is a case where text is the rule; where lists are, the sketches' tails don't flag it."""
+    text = lambda i: "\n".join(f"{HI} और {chr(0x915 + i % 30)}{chr(0x915 + i // 30)}{'ा' * k} ने कहा था।" for k in range(1 + i % 3))
+    list_ = "\n".join(f"• नाटक {chr(0x915 + i % 30)}{chr(0x915 + i // 30)}" for i in range(40))
+    docs = [document(i, text(i)) for i in range(60)] + [document(100, list_, "mr")]
     d = folder(documents=docs)
     assert rows(quality.found(spark, d)) == {(100,)}
     table_ = {r.doc_id: r for r in quality.statistics(spark, d).collect()}
-    assert "outside_share" in table_[100].tails and table_[100].outside_share_zz > quality.TAIL
-    assert {r.statistic for r in quality.quantiles(spark, d).collect()} == set(quality.STATISTICS)
+    assert "common_word_share" in table_[100].tails and table_[100].common_word_share_zz < -quality.TAIL and table_[100].flagged
+    assert sum(r.flagged for r in table_.values()) == 1
+    assert {r.statistic for r in quality.quantiles(spark, d).collect()} == set(quality.SKETCHED)
+    lists = [document(i, "\n".join(f"• {chr(0x915 + k % 30)}{chr(0x915 + i % 30)}{chr(0x915 + i // 30)} नाटक" for k in range(40))) for i in range(60)]
+    d = folder(documents=[*lists, document(100, list_, "hi"), document(101, text(3))])
+    table_ = {r.doc_id: r for r in quality.statistics(spark, d).collect()}
+    assert table_[100].outside_share > quality.OUTSIDE and not table_[100].flagged
+    assert (100,) not in rows(quality.found(spark, d))
+
+
+def test_flags_without_sketched_values(spark, folder):
+    d = folder(documents=[document(1, None), document(2, "")])
+    assert not any(r.flagged for r in quality.statistics(spark, d).collect())
 
 
 # 2
@@ -178,6 +192,70 @@ def test_lines_are_taken_out(spark, folder):
     assert {r.site for r in repeated_lines.clusters(spark, d).collect()} == {"alpha"}
 
 
+def test_results_do_not_depend_on_how_lines_are_sent(spark, folder, edge, monkeypatch):
+    """Problems 1, 5 and 10 with the recurrent keys sent to the executors, and with them joined; null sources among them."""
+    notice = "अपने दोस्तों के साथ यह लेख आज ही साझा करें और हमारी सदस्यता लें"
+    docs = [document(i, f"{notice}\n{HI} और राम {chr(0x915 + i)}{chr(0x930)} ने कहा।") for i in range(20)]
+    docs += [document(99, f"{notice}\nAccess denied. You do not have permission to view /20."), document(100, f"{notice}\nAccess denied. You do not have permission to view /21.", source=None), document(101, f"{notice}\n{HI}", source=None), document(102, "\n".join([notice] * 3 + [f"• नाटक {i}" for i in range(40)]), source=None)]
+    queries = (quality.statistics, quality.found, repeated_lines.cleaned, repeated_lines.cleaned_of_clusters, residue.reasons)
+    for d in (folder(documents=docs), edge):
+        want = [sorted(map(repr, q(spark, d).collect())) for q in queries]
+        with monkeypatch.context() as m:
+            m.setattr(repeated_lines, "MOST_LINES", 0)
+            assert [sorted(map(repr, q(spark, d).collect())) for q in queries] == want
+
+
+def test_near_same_lines_are_clustered(spark, folder):
+    """Bylines with other names, dates and numbers are one line; a word more is near; the plain rule finds neither."""
+    months = "जानेवारी ऑगस्ट मार्च मई december जुलै".split()
+    byline = lambda i: f"संवाददाता: {'कखगघचछजझटठ'[i % 10]}म {'पफबभमयरलवश'[i // 10]}न, नगर डेस्क से विशेष रिपोर्ट {months[i % 6]} {i}"
+    base = "हमारी वेबसाइट पर रोज़ नई खबरें पढ़ने के लिए अभी जुड़ें और अपने सभी मित्रों को भी यह अच्छी सूचना ज़रूर दें आज ही"
+    longer = lambda i: f"{base} {'कखगघचछजझटठ'[i]}ल"
+    prose = lambda i: f"{'कखगघचछजझटठ'[i % 10]}{'पफबभमयरलवश'[i // 10]} नदी के पास {i * 'ब'} खेत"
+    docs = [document(i, f"{byline(i)}\n{prose(i)}" + (f"\n{longer(i)}" if i < 4 else f"\n{base}" if i < 7 else "")) for i in range(60)]
+    d = folder(documents=docs)
+    want = {(i, 0) for i in range(60)} | {(i, 2) for i in range(7)}
+    assert {(r.doc_id, r.line_no) for r in repeated_lines.method(spark, d).collect()} == want
+    assert rows(repeated_lines.found(spark, d)) == set()
+    assert sorted((r.n_documents, r.n_lines) for r in repeated_lines.clusters(spark, d).collect()) == [(7, 5), (60, 1)]
+    left = {r.doc_id: r.text for r in repeated_lines.cleaned_of_clusters(spark, d).collect()}
+    assert left == {i: prose(i) for i in range(60)}
+
+
+def test_clusters_against_brute_force(spark, folder):
+    """All pairs of lines of one site of a similarity of 0.8 or more, linked; documents counted for each cluster."""
+    random.seed(11)
+    word = lambda: "".join(random.choice("कखगघचछजझ") for _ in range(3))
+    docs = []
+    for k in range(6):
+        base = [word() for _ in range(random.choice([6, 14, 30, 45]))]
+        for _ in range(random.choice([3, 5, 9])):
+            line = list(base)
+            if random.random() < 0.6:
+                line[random.choice([0, len(line) - 1])] = word()
+            docs.append(document(len(docs), " ".join(line) + "\n" + " ".join(word() for _ in range(12)), source=random.choice("ab") if k % 2 else "a"))
+    d = folder(documents=docs)
+    lines = [(x["doc_id"], n, x["source"], t) for x in docs for n, t in enumerate(x["text"].split("\n"))]
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for *_, t in lines]
+    group = list(range(len(lines)))
+    for _ in lines:
+        for i in range(len(lines)):
+            for j in range(i):
+                if lines[i][2] == lines[j][2] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                    group[i] = group[j] = min(group[i], group[j])
+    held, total = {}, {}
+    for (doc, _, site, _), g in zip(lines, group, strict=True):
+        held.setdefault(g, set()).add(doc)
+        total.setdefault(site, set()).add(doc)
+    want = {(doc, n) for (doc, n, site, _), g in zip(lines, group, strict=True) if len(held[g]) >= 5 and 50 * len(held[g]) > len(total[site])}
+    assert want and {(r.doc_id, r.line_no) for r in repeated_lines.method(spark, d).collect()} == want
+
+
 # 6
 
 
@@ -194,7 +272,7 @@ def test_distance():
             assert overlap.distance(a, b, most) == min(full[-1], most + 1)
 
 
-def test_overlaps_against_brute_force(spark, folder):
+def test_overlaps_against_brute_force(spark, folder, monkeypatch):
     random.seed(4)
     split = []
     for g in range(60):
@@ -217,6 +295,15 @@ def test_overlaps_against_brute_force(spark, folder):
     d = folder(split_docs=split)
     assert len(want) > 20 and rows(overlap.found(spark, d)) == want
     assert sum(r.n_pairs for r in overlap.report(spark, d).collect()) == len(want)
+    links = {r.row_id: r.n_links for r in overlap.members(spark, d).collect()}
+    assert all(links[i] == sum(i in p for p in want) for i in texts if len(texts[i]))
+    assert sum(r.n_evaluation * r.n_train for r in overlap.classes(spark, d).collect()) == len(want)
+    with monkeypatch.context() as m:
+        m.setattr(overlap, "SALTED", 1)
+        m.setattr(overlap, "WORDS", 50)
+        m.setattr(overlap, "FEWEST", 64)
+        m.setattr(overlap, "BITS", 64)  # a full bitmap, which lets all pass
+        assert rows(overlap.found(spark, d)) == want
 
 
 # 7
@@ -240,6 +327,14 @@ def test_look_pairs(spark, edge):
     assert {k for t, k, _ in got if t == "scored_examples"} == {4, 5}
 
 
+def test_look_classes(spark, edge):
+    pairs = [(a, b) for t, a, b in rows(lookalike.same_look(spark, edge)) if t == "documents"]
+    got = {r.key: r for r in lookalike.classes(spark, edge).collect()}
+    assert pairs and set(got) == {k for p in pairs for k in p}
+    assert all(r.n_links == sum(k in p for p in pairs) for k, r in got.items())
+    assert all(got[a]["class"] == got[b]["class"] and got[a].string != got[b].string for a, b in pairs)
+
+
 def test_forms_of_all_texts(spark, edge):
     got = {(r.tbl, r.key, r.field): r.form for r in lookalike.one_form(spark, edge).collect()}
     scored = table(spark, edge, "scored_examples").collect()
