@@ -99,9 +99,11 @@ def collapse(text: Column) -> Column:
     return strip(text)
 
 
-def normalized(text: Column, profile: ScriptProfile = DEVANAGARI) -> Column:
-    """The whole normal form, in the order in which the parts depend on each other."""
-    text = drop_zero_width(strip_controls(nfc(text)))
+def normalized(text: Column, profile: ScriptProfile = DEVANAGARI, letters=None) -> Column:
+    """The whole normal form, in the order in which the parts depend on each other. letters: a function of a column that
+    makes a script's letters uniform (nukta and vowel signs, say), none by default."""
+    text = nfc(text)
+    text = drop_zero_width(strip_controls(letters(text) if letters else text))
     text = strip_foreign(drop_hash_signs(strip_markup(text)), profile)
     return collapse(repair_dandas(text))
 

@@ -12,7 +12,7 @@ from sarit.operators import cleaning, frontier, lid, near_dedup, ngram, sampling
 from sarit.operators.quantiles import quantiles
 from sarit.plans.scale import checkpoint_dir, cut, spread, table
 from sarit.sources import html, jsonl
-from sarit.sources.documents import documents, fold_hosts, not_empty
+from sarit.sources.documents import documents, fold_hosts, kept_and_dropped, not_empty
 from sarit.sources.jsonl import pulled
 
 QUERIES: dict = {}
@@ -101,12 +101,34 @@ def normalize_text(spark, d):
     return not_empty(texts(spark, d).withColumn("text", T.normalized(F.col("text"))))
 
 
-@query()
+# Places before a word are looked at by a blank put before the text, since this SQL knows no lookbehind.
+UNHASHED = rf"substr(regexp_replace(' ' || {{}}, '([^\p{{{{L}}}}\p{{{{N}}}}_])#([\p{{{{L}}}}\p{{{{N}}}}_])', '\1\2', 'g'), 2)"
+PASSES = "text"
+for part in ("<[^>]+>", "&#[0-9]+;", "&[a-zA-Z]+;", rf"(?i)(?:https?://|www\.){T.INK}+", rf"{T.INK}+@{T.INK}+\.{T.INK}+"):
+    PASSES = f"regexp_replace({PASSES}, '{part}', ' ', 'g')"
+PASSES = rf"substr(regexp_replace(' ' || {PASSES}, '([^\p{{L}}\p{{N}}_])@[\p{{L}}\p{{N}}_]+', '\1 ', 'g'), 2)"
+
+
+@query(f"SELECT doc_id, {UNHASHED.format('text')} AS text FROM documents")
+def hash_signs(spark, d):
+    return texts(spark, d).select("doc_id", T.drop_hash_signs(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, " + UNHASHED.format("t") + f" AS text FROM (SELECT doc_id, {PASSES} AS t FROM documents)")
 def normalize_in_passes(spark, d):
     """Markup stripped in passes, the form of manual sources; hash signs dropped."""
     return texts(spark, d).select("doc_id", T.drop_hash_signs(T.strip_markup_in_passes(F.col("text"))).alias("text"))
 
 
+COLLAPSED = strip(r"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+
+
+@query(f"SELECT count(*) FILTER ({COLLAPSED} <> '') AS kept, count(*) FILTER (coalesce({COLLAPSED}, '') = '') AS dropped FROM documents")
+def empty_counts(spark, d):
+    """Texts that are left after blanks are collapsed, and those that are empty or missing then."""
+    return kept_and_dropped(texts(spark, d).withColumn("text", T.collapse(F.col("text"))))
+
+
 @query(rf"SELECT doc_id, {WORDS}::BIGINT AS words, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes, len(regexp_extract_all(text, '{T.NAIVE_TOKEN}'))::BIGINT AS naive_tokens, len(regexp_extract_all(text, '{T.PRE_TOKEN}'))::BIGINT AS pretokens FROM documents WHERE text IS NOT NULL")
 def text_counts(spark, d):
     text = F.col("text")

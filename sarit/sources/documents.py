@@ -27,3 +27,9 @@ def not_empty(df: DataFrame) -> DataFrame:
     twice; generating the rows computes it once."""
     columns = df.columns
     return df.select(*(c for c in columns if c != "text"), F.explode(F.filter(F.array("text"), lambda x: x != "")).alias("text")).select(*columns)
+
+
+def kept_and_dropped(df: DataFrame) -> DataFrame:
+    """One row: how many texts not_empty() keeps, and how many it drops."""
+    some = F.coalesce(F.col("text") != "", F.lit(False))
+    return df.agg(F.count_if(some).alias("kept"), F.count_if(~some).alias("dropped"))
