@@ -203,3 +203,22 @@ def by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = counted(_documents(spark, sf_dir)).groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"))
     known = with_site(tokens, registry).join(broadcast_if_small(categories), "site", "left")
     return known.groupBy(F.col("site").alias("source"), label_column("lang").alias("lang"), "category").agg(F.sum("n").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def errors(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """p4_error: lang, n_documents, n_tokens (estimated), n_exact (the tokenizer's own number), error: the relative error of
+    the sum, and share_exact of documents with the exact number, by the language of the label, over all documents."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import sentencepiece
+
+        model = models.setdefault(vocabulary, None) or sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+        models[vocabulary] = model
+        texts = batch.column("text").to_pylist()
+        exact = [len(ids) for ids in model.encode([t or "" for t in texts], num_threads=1)]
+        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(counter(vocabulary)(texts)), pa.array(exact, pa.int64())], ["lang", "n_tokens", "n_exact"])
+
+    models: dict = {}  # of each Python worker
+    counts = map_text(_documents(spark, sf_dir).select("lang", "text"), run, "lang string, n_tokens bigint, n_exact bigint")
+    sums = counts.groupBy(label_column("lang").alias("lang")).agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_exact").alias("n_exact"), F.avg((F.col("n_tokens") == F.col("n_exact")).cast("int")).alias("share_exact"))
+    return sums.withColumn("error", F.when(F.col("n_exact") > 0, F.col("n_tokens") / F.col("n_exact") - 1))

@@ -15,6 +15,7 @@ QUERIES: dict = {
     "p3_shares": mixing.reached,
     "p4_tokens": budget.by_document,
     "p4_budget": budget.by_slice,
+    "p4_error": budget.errors,
     "p5_method": repeated_lines.method,
     "p5_found": repeated_lines.found,
     "p5_clusters": repeated_lines.clusters,
