@@ -34,6 +34,8 @@ from sarit.plans.scale import broadcast_if_small, cut, spread, table
 BITS, FEWEST, EACH = 1 << 30, 1 << 16, 16
 #: Training texts of one segment that one task compares.
 SALTED = 2000
+#: Pairs whose words are counted at once, and cells that words are counted in.
+PAIRS, BINS = 1024, 256
 #: Words whose hashes a task handles at once.
 WORDS = 1 << 18
 TRAIN, EVALUATION = "train", ("val", "test")
@@ -204,17 +206,31 @@ def _substrings(shared: object, count: bool):
     return run
 
 
+def bound(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    """A lower bound of twice the edit distance of each pair of word sequences: an edit changes the counts of words, here of
+    words by the last bits of their hashes, by two at most."""
+    counts = np.zeros((len(left), BINS), np.int32)
+    for column, sign in ((left, 1), (right, -1)):
+        sizes = np.asarray(column.value_lengths()).astype(np.int64)
+        words = np.asarray(column.flatten()).view(np.uint64)
+        cell = np.repeat(np.arange(len(column)), sizes) * BINS + (words % np.uint64(BINS)).astype(np.int64)
+        counts += sign * np.bincount(cell, minlength=counts.size).astype(np.int32).reshape(counts.shape)
+    return np.abs(counts).sum(1)
+
+
 def _verify(batches):
     for batch in batches:
-        left, right = batch.column("a"), batch.column("b")
-        keep = []
-        for i in range(batch.num_rows):
-            a, b = (np.asarray(x.slice(i, 1).flatten()) for x in (left, right))
-            most = max(len(a), len(b)) // 10
-            if distance(a, b, most) <= most:
-                keep.append(i)
-        if keep:
-            yield batch.select(["of_evaluation", "of_train"]).take(pa.array(keep, pa.int64()))
+        for start in range(0, batch.num_rows, PAIRS):
+            part = batch.slice(start, PAIRS)
+            left, right = part.column("a"), part.column("b")
+            longest = np.maximum(np.asarray(left.value_lengths()), np.asarray(right.value_lengths())).astype(np.int64)
+            keep = []
+            for i in np.flatnonzero(bound(left, right) <= 2 * (longest // 10)).tolist():
+                most = int(longest[i]) // 10
+                if distance(*(np.asarray(x.slice(i, 1).flatten()) for x in (left, right)), most) <= most:
+                    keep.append(i)
+            if keep:
+                yield part.select(["of_evaluation", "of_train"]).take(pa.array(keep, pa.int64()))
 
 
 class Overlaps:

@@ -137,6 +137,17 @@ def test_longer_rows_are_likelier(spark):
     assert 1.7 < got[400] / got[100] < 2.3  # the square root of 4
 
 
+def test_certain_rows_leave_the_others_their_chances(spark):
+    """A row whose chance would pass 1 is certain, and the others' chances are of what it leaves."""
+    data = spark.createDataFrame([(i, "a", 10_000 if i == 0 else 100) for i in range(101)], "row_id bigint, site string, n_chars bigint")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeat int")
+    got = mixing.with_chances(mixing.plan(data, targets, 15_000.0), data).first()
+    assert (got.longest, got.rest, got.weights) == (100, 5000.0, pytest.approx(100 * 100**1.5))
+    for seed in range(4):
+        used = {r.row_id: r.copies for r in mixing.mix(data, targets, 15_000.0, seed).collect()}
+        assert used[0] == 1 and len(used) == 51
+
+
 # 4
 
 
@@ -272,6 +283,17 @@ def test_distance():
             assert overlap.distance(a, b, most) == min(full[-1], most + 1)
 
 
+def test_bound_of_the_distance():
+    import pyarrow as pa
+
+    random.seed(3)
+    one = [[random.randint(0, 2**63 - 1) % random.choice([5, 2**40]) for _ in range(random.randint(0, 30))] for _ in range(200)]
+    two = [[x for x in a if random.random() < 0.9] + [7] * random.randint(0, 2) for a in one]
+    got = overlap.bound(*(pa.array(x, pa.list_(pa.int64())) for x in (one, two)))
+    for a, b, n in zip(one, two, got.tolist(), strict=True):
+        assert n <= 2 * overlap.distance(np.array(a, np.uint64), np.array(b, np.uint64), 60)
+
+
 def test_overlaps_against_brute_force(spark, folder, monkeypatch):
     random.seed(4)
     split = []
