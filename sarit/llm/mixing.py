@@ -1,8 +1,8 @@
 """Problem 3: mixing sources to target weights.
 
 Method: Pareto order sampling. A source's target is its share of the total; as many whole copies of its rows as fit
-are certain, and what is left is sampled: each row's inclusion probability grows with the square root of its length,
-rows are ranked by random odds divided by inclusion odds, and the ranking is cut where the characters come nearest to
+are certain, and what is left is sampled: each row's inclusion probability grows with the square root of its length (rows
+whose probability would pass 1 are certain, the others share what these leave), rows are ranked by random odds divided by inclusion odds, and the ranking is cut where the characters come nearest to
 what is left. The total is the largest at which every source that has rows can reach its share with no row used more
 than max_repeat times, unless one is given; a source that can't reach its share of a given total gives all it may.
 
@@ -47,14 +47,29 @@ def plan(rows: DataFrame, targets: DataFrame, total: float | None = None) -> Dat
     budget = F.least(F.col("target_share") * F.col("total"), F.col("max_repeat") * F.col("available"))
     whole = F.least(F.floor(budget / F.col("available") + 1e-9), F.col("max_repeat").cast("bigint"))
     known = known.withColumn("budget", budget).withColumn("whole", F.coalesce(whole, F.lit(0)))
-    return known.withColumn("left", F.greatest(F.coalesce(F.col("budget") - F.col("whole") * F.col("available"), F.lit(0.0)), F.lit(0.0)))
+    return cut(known.withColumn("left", F.greatest(F.coalesce(F.col("budget") - F.col("whole") * F.col("available"), F.lit(0.0)), F.lit(0.0))))
 
 
-def mix(rows: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED) -> DataFrame:
-    """row_id, source, n_chars, copies of the rows that are used."""
-    plans = broadcast_if_small(cut(plan(rows, targets, total)))
+def with_chances(plans: DataFrame, rows: DataFrame) -> DataFrame:
+    """The plans with longest, rest and weights: rows of more characters than `longest` are certain, what is left beside them
+    is `rest`, and a row of n others has the chance sqrt(n) rest / weights, which is never over 1.
+
+    A chance grows with the length, so the certain rows of a source are its longest. Lengths are counted first, and what
+    is summed in order are a source's different lengths."""
+    lengths = rows.join(broadcast_if_small(plans.select("site", "left").where("left > 0")), "site").groupBy("site", "left", "n_chars").agg(F.count("*").alias("_n"))
+    longer = F.coalesce(F.sum(F.col("_n") * F.col("n_chars")).over(Window.partitionBy("site").orderBy(F.desc("n_chars")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum(F.col("_n") * F.pow("n_chars", F.lit(1.5))).over(Window.partitionBy("site").orderBy("n_chars"))
+    each = lengths.withColumn("rest", F.greatest(F.col("left") - longer, F.lit(0.0))).withColumn("weights", upto)
+    fits = each.where(F.sqrt("n_chars") * F.col("rest") <= F.col("weights"))
+    best = fits.groupBy("site").agg(F.max_by(F.struct(F.col("n_chars").alias("longest"), "rest", "weights"), "n_chars").alias("x")).select("site", "x.*")
+    return plans.join(best, "site", "left")
+
+
+def mix(rows: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED, known: DataFrame | None = None) -> DataFrame:
+    """row_id, source, n_chars, copies of the rows that are used; known: the plan, if there is one already."""
+    plans = broadcast_if_small(cut(with_chances(plan(rows, targets, total) if known is None else known, rows)))
     known = rows.join(plans, "site")
-    chance = F.least(F.greatest(F.sqrt("n_chars") * F.col("left") / F.col("weighted"), F.lit(1e-12)), F.lit(CERTAIN))
+    chance = F.when(F.coalesce(F.col("n_chars") > F.col("longest"), F.lit(True)), CERTAIN).otherwise(F.least(F.greatest(F.sqrt("n_chars") * F.col("rest") / F.col("weights"), F.lit(1e-12)), F.lit(CERTAIN)))
     unit = (F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     log_odds = F.log(unit) - F.log1p(-unit) - (F.log(chance) - F.log1p(-chance))
     cell = F.floor((F.least(F.greatest(log_odds, F.lit(-LOG_ODDS)), F.lit(LOG_ODDS)) + LOG_ODDS) / (2 * LOG_ODDS) * (CELLS - 1))
@@ -80,8 +95,9 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p3_shares: source, target_share, max_repeat, n_chars (available), n_chars_used, share_reached, most_copies."""
     rows, targets = candidates(spark, sf_dir), table(spark, sf_dir, "mix_targets")
-    used = mix(rows, targets).groupBy("source").agg(F.sum(F.col("n_chars") * F.col("copies")).alias("n_chars_used"), F.max("copies").alias("most_copies"))
-    plans = plan(rows, targets).select(F.col("site").alias("source"), "target_share", "max_repeat", F.coalesce("available", F.lit(0)).alias("n_chars"))
+    known = plan(rows, targets)
+    used = mix(rows, targets, known=known).groupBy("source").agg(F.sum(F.col("n_chars") * F.col("copies")).alias("n_chars_used"), F.max("copies").alias("most_copies"))
+    plans = known.select(F.col("site").alias("source"), "target_share", "max_repeat", F.coalesce("available", F.lit(0)).alias("n_chars"))
     out = cut(plans.join(used, "source", "left").fillna(0, ["n_chars_used", "most_copies"]))
     share = F.col("n_chars_used") / F.col("all_used")
     return out.crossJoin(F.broadcast(out.agg(F.sum("n_chars_used").alias("all_used")))).withColumn("share_reached", share).drop("all_used")  # one row
