@@ -36,6 +36,8 @@ BITS, FEWEST, EACH = 1 << 30, 1 << 16, 16
 SALTED = 2000
 #: Pairs whose words are counted at once, and cells that words are counted in.
 PAIRS, BINS = 1024, 256
+#: Cells of the bands of pairs that are compared at once.
+CELLS = 1 << 14
 #: Words whose hashes a task handles at once.
 WORDS = 1 << 18
 TRAIN, EVALUATION = "train", ("val", "test")
@@ -85,6 +87,34 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(row[len(b) - len(a) + most])
 
 
+def distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
+    """distance() of many pairs at once, whose bands stand in the rows of one matrix."""
+    n, width, far = len(a), 2 * most + 1, most + 1
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    step = np.arange(width)
+    left, right = np.zeros((n, la.max(initial=0)), np.int64), np.zeros((n, lb.max(initial=0) + la.max(initial=0) + 3 * most + 3), np.int64)
+    there = np.zeros(right.shape, bool)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        left[i, : len(x)] = x
+        right[i, most + 1 : most + 1 + len(y)] = y
+        there[i, most + 1 : most + 1 + len(y)] = True
+    row = np.repeat(np.where(step >= most, step - most, far)[None], n, 0)
+    out = np.where(la == 0, np.minimum(lb, far), far)
+    end = lb - la + most
+    for i in range(1, left.shape[1] + 1):
+        window = slice(i, i + width)
+        cost = row + ~(there[:, window] & (right[:, window] == left[:, i - 1 : i]))
+        cost[:, :-1] = np.minimum(cost[:, :-1], row[:, 1:] + 1)
+        column = i + step - most
+        cost[(column < 0)[None] | (column[None] > lb[:, None])] = far
+        if 0 <= most - i < width:
+            cost[:, most - i] = i
+        row = np.minimum(np.minimum.accumulate(cost - step, axis=1) + step, far)
+        done = np.flatnonzero((la == i) & (end >= 0) & (end < width))
+        out[done] = row[done, end[done]]
+    return out
+
+
 def _windows(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of the `length` words from each place on, in the order given."""
     n = len(hashes) - length + 1
@@ -224,13 +254,18 @@ def _verify(batches):
             part = batch.slice(start, PAIRS)
             left, right = part.column("a"), part.column("b")
             longest = np.maximum(np.asarray(left.value_lengths()), np.asarray(right.value_lengths())).astype(np.int64)
-            keep = []
-            for i in np.flatnonzero(bound(left, right) <= 2 * (longest // 10)).tolist():
-                most = int(longest[i]) // 10
-                if distance(*(np.asarray(x.slice(i, 1).flatten()) for x in (left, right)), most) <= most:
-                    keep.append(i)
+            maybe = bound(left, right) <= 2 * (longest // 10)
+            if not maybe.any():
+                continue
+            left, right = ([np.asarray(x.slice(i, 1).flatten()) for i in range(part.num_rows)] for x in (left, right))
+            keep: list[int] = []
+            for most in np.unique(longest[maybe] // 10).tolist():
+                same = np.flatnonzero(maybe & (longest // 10 == most))
+                for i in range(0, len(same), max(1, CELLS // (2 * most + 1))):
+                    some = same[i : i + max(1, CELLS // (2 * most + 1))]
+                    keep += some[distances([left[k] for k in some], [right[k] for k in some], most) <= most].tolist()
             if keep:
-                yield part.select(["of_evaluation", "of_train"]).take(pa.array(keep, pa.int64()))
+                yield part.select(["of_evaluation", "of_train"]).take(pa.array(sorted(keep), pa.int64()))
 
 
 class Overlaps:

@@ -283,6 +283,13 @@ def test_distance():
             assert overlap.distance(a, b, most) == min(full[-1], most + 1)
 
 
+def test_distances_of_many_pairs():
+    random.seed(12)
+    one, two = ([np.array([random.randint(1, 5) for _ in range(random.randint(0, 14))], np.int64) for _ in range(300)] for _ in "ab")
+    for most in (0, 1, 2, 5):
+        assert overlap.distances(one, two, most).tolist() == [overlap.distance(a, b, most) for a, b in zip(one, two, strict=True)]
+
+
 def test_bound_of_the_distance():
     import pyarrow as pa
 
