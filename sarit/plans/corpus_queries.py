@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarit.functions import text as T
 from sarit.operators import cleaning, frontier, lid, near_dedup, ngram, sampling, statistics
 from sarit.operators.quantiles import quantiles
-from sarit.plans.scale import checkpoint_dir, cut, spread, table
+from sarit.plans.scale import cut, posix_folder, shared_folder, spread, table
 from sarit.sources import html, jsonl
 from sarit.sources.documents import documents, fold_hosts, kept_and_dropped, not_empty
 from sarit.sources.jsonl import pulled
@@ -626,11 +624,6 @@ def wiki_addresses(spark, d):
     return hosts.select("host", frontier.wiki_api(F.concat(F.lit("http://"), "host", F.lit("/"))).alias("api"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder of the session."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stored(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
     """The documents as JSON lines in a new shared folder, a broken line and a blank one beside each fifth if asked."""
     folder = shared_folder(spark)
@@ -668,3 +661,12 @@ def shards_read(spark, d):
     rows = documents(spark, d).select(F.col("pos").cast("string").alias("doc_id"), "text", "source")
     jsonl.write(rows, folder, records=500)
     return jsonl.read_shards(spark, f"{folder}/*.gz").select("doc_id", "text", "source")
+
+
+@query(f"WITH {DOCS}, n AS (SELECT pos::VARCHAR AS doc_id, text, source, row_number() OVER (ORDER BY pos) - 1 AS r FROM d) SELECT doc_id, text, source, format('shard-{{:05d}}.jsonl.zst', r // 300) AS file, (r % 300)::INT AS line FROM n")
+def zstd_shards(spark, d):
+    """Written as zstd shards of 300 records in order and read again, with shard and line."""
+    folder = posix_folder(spark)
+    jsonl.write_shards(documents(spark, d).select("pos", F.col("pos").cast("string").alias("doc_id"), "text", "source"), folder, 300)
+    files = jsonl.find_shards(spark, [f"file://{folder}"])
+    return jsonl.read_shards(spark, files).select("doc_id", "text", "source", "file", "line")

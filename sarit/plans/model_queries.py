@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sarit.functions import text as T
 from sarit.operators import metrics, sampling, subwords, supervised, tokens
-from sarit.plans.scale import cut, table
+from sarit.plans.scale import cut, posix_folder, table
+from sarit.sources import tokens as token_source
 from sarit.sources.documents import documents
 
 QUERIES: dict = {}
@@ -57,7 +58,15 @@ def sentences(spark, d):
     return docs(spark, d).select("pos", F.explode(tokens.sentences(F.col("text"))).alias("sentence"))
 
 
-@query()
+# Words of a long sentence are packed one after the other.
+PACKED = f"""s AS (SELECT doc_id AS pos, unnest({SENTENCES}) AS s, unnest(range(len({SENTENCES}))) AS k FROM documents WHERE text IS NOT NULL),
+r AS (SELECT pos, k, 1 AS j, {split('s')} AS w, []::VARCHAR[] AS done, '' AS piece, 0::BIGINT AS size FROM s WHERE strlen(s) > 512
+UNION ALL SELECT pos, k, j + 1, w, CASE WHEN fills THEN list_append(done, piece) ELSE done END, CASE WHEN fills OR piece = '' THEN w[j] ELSE piece || ' ' || w[j] END, CASE WHEN fills THEN 0 ELSE size END + strlen(w[j]) + 1 FROM (SELECT *, piece <> '' AND size + strlen(w[j]) + 1 > 512 AS fills FROM r WHERE j <= len(w))),
+f AS (SELECT pos, k, CASE WHEN piece = '' THEN done ELSE list_append(done, piece) END AS pieces FROM r WHERE j = len(w) + 1 UNION ALL SELECT pos, k, [s] FROM s WHERE strlen(s) <= 512),
+g AS (SELECT pos, flatten(list(pieces ORDER BY k)) AS pieces FROM f GROUP BY pos)"""
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT pos, unnest(range(len(pieces)))::INT AS i, unnest(pieces) AS piece FROM g")
 def packed_pieces(spark, d):
     """Sentences and, of those over 512 bytes, packed words."""
     return docs(spark, d).select("pos", F.posexplode(tokens.packed(F.col("text"), 512)).alias("i", "piece"))
@@ -206,6 +215,17 @@ def fixed_batches(spark, d):
     return tokens.batches(table(spark, d, "documents", F.col("doc_id").alias("pos")), "pos", 32, keep_rest=True)
 
 
+@query(f"WITH {IDS}, x AS (SELECT CASE WHEN {TRAIN} THEN 'train' WHEN {TRAIN.replace('0.8', '0.9')} THEN 'val' ELSE 'test' END AS split, unnest(list_transform(ids, lambda i: CASE WHEN i < 16000 THEN i ELSE 1 END)) AS id FROM t JOIN documents ON pos = doc_id) SELECT split, count(*) AS n, sum(id)::BIGINT AS total, count(DISTINCT id) AS kinds FROM x GROUP BY split")
+def token_files(spark, d):
+    """Ids of a vocabulary of 16,000 written as 16-bit files by split and read again: tokens, their sum, and different ones."""
+    folder = posix_folder(spark)
+    df = sampling.assign_splits(docs(spark, d))
+    vocab = cut(tokens.vocabulary(docs(spark, d)).where("token < 16000"))
+    token_source.write(df.select("pos", "split").join(tokens.encode_words(df, vocab), "pos"), folder, {"vocab_size": 16_000})
+    ids = token_source.read(spark, f"file://{folder}/*.bin").select(F.regexp_extract("file", r"^(\w+)-", 1).alias("split"), F.explode("ids").alias("id"))
+    return ids.groupBy("split").agg(F.count("*").alias("n"), F.sum("id").alias("total"), F.count_distinct("id").alias("kinds"))
+
+
 @query(f"WITH {IDS} SELECT pos, array_to_string(ids[1:64], ' ') AS prefix, array_to_string(ids[65:128], ' ') AS reference FROM t WHERE len(ids) >= 128")
 def prefix_reference(spark, d):
     return tokens.prefix_reference(encoded(spark, d)[0]).select("pos", joined("prefix"), joined("reference"))

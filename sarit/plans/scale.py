@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder of the session."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def posix_folder(spark: SparkSession) -> str:
+    """The same as a path of the file system that all executors mount, for sinks that write files by themselves."""
+    folder = shared_folder(spark)
+    path = folder.removeprefix("file:")
+    if not path.startswith("/"):
+        raise ValueError(f"{folder} isn't a mounted folder")
+    return "/" + path.lstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
