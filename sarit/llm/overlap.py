@@ -10,7 +10,7 @@ of a segment that many training texts hold all the same, these are spread by sal
 Texts become 64-bit hashes of their words once; from there on no text is read or moved, and of the hashes only those of
 texts that are candidates. Texts with the same words form a class; classes are joined (p6_classes: pairs of classes;
 p6_members: the rows of each), and for p6_found their rows are put in at the end. Substrings pass a bitmap of the
-segments, sized by their number up to BITS bits, before they are shuffled; a fuller bitmap lets more pass and loses nothing.
+segments, sized by their number up to a bound, before they are shuffled; a fuller bitmap lets more pass and loses nothing.
 
 Case, punctuation, spacing, invisible and look-alike characters are disregarded. Null and empty texts, and texts
 without a word, make no pair; rows whose split is neither train nor val or test are left out. Repeated rows of one
@@ -25,13 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sarit.llm.batches import mix64
+from sarit.llm.batches import bitmap_of, mix64, passes
 from sarit.llm.leaks import word_hashes
 from sarit.plans.arrow import map_text, ragged
 from sarit.plans.scale import broadcast_if_small, cut, spread, table
 
-#: Most and fewest bits of the bitmap, and bits for a segment; at most 128 MB go to the executors.
-BITS, FEWEST, EACH = 1 << 30, 1 << 16, 16
 #: Training texts of one segment that one task compares.
 SALTED = 2000
 #: Pairs whose words are counted at once, and cells that words are counted in.
@@ -125,39 +123,6 @@ def _windows(hashes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each key in a bitmap of so many bits."""
-    mask = np.uint64(bits - 1)
-    return key & mask, (key >> np.uint64(32)) & mask
-
-
-def _bitmap(segments: DataFrame) -> np.ndarray:
-    """The bitmap of the column hash; made by the executors, word by word of 64 bits, and joined by or."""
-    bits = FEWEST
-    n = segments.count()
-    while bits < min(BITS, EACH * n):
-        bits *= 2
-
-    def run(batches):
-        for batch in batches:
-            keys = np.asarray(batch.column("hash")).view(np.uint64)
-            there = np.unique(np.concatenate(_places(keys, bits)))
-            word = (there >> np.uint64(6)).astype(np.int64)
-            start = np.flatnonzero(np.diff(word, prepend=-1))
-            value = np.bitwise_or.reduceat(np.uint64(1) << (there & np.uint64(63)), start) if len(start) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word[start]), pa.array(value.view(np.int64))], ["word", "bits"])
-
-    rows = segments.select("hash").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most bits / 64 rows
-    out = np.zeros(bits >> 6, np.uint64)
-    out[np.asarray(rows.column("word").combine_chunks())] = np.asarray(rows.column("bits").combine_chunks()).view(np.uint64)
-    return out
-
-
-def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    a, b = _places(keys, len(bitmap) << 6)
-    return ((bitmap[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & (bitmap[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
 def _worded(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     """row_id, evaluation, class (a hash of all words) and words of the texts that have any."""
     hashes, sizes = word_hashes(batch.column("text").to_pylist())
@@ -220,7 +185,7 @@ def _substrings(shared: object, count: bool):
                     if not len(key):
                         continue
                     place = np.flatnonzero(texts[owner[: len(key)]] & (owner[: len(key)] == owner[length - 1 :]))
-                    place = place[_passes(bitmap, key[place])]
+                    place = place[passes(bitmap, key[place])]
                     keys.append(key[place])
                     at.append(place)
                 if not keys or not sum(map(len, keys)):
@@ -281,11 +246,11 @@ class Overlaps:
         evaluation, train = worded.where("evaluation").select("row_id", "words"), worded.where("not evaluation").select("row_id", "words")
         segments = evaluation.mapInArrow(_segments, "row_id bigint, n int, hash bigint, place int").distinct()
         segments = cut(segments.join(first.where("evaluation").select("row_id"), "row_id", "left_semi"))
-        counts = train.mapInArrow(_substrings(spark.sparkContext.broadcast(_bitmap(segments)), True), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("times"))
+        counts = train.mapInArrow(_substrings(spark.sparkContext.broadcast(bitmap_of(segments)), True), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("times"))
         rarest = F.row_number().over(Window.partitionBy("row_id").orderBy(F.coalesce("times", F.lit(0)), "place"))
         chosen = segments.join(counts, "hash", "left").withColumn("rank", rarest).where((F.col("rank") <= F.floor(F.col("n") / 9) + 1) & F.col("times").isNotNull())
         chosen = cut(chosen.select(F.col("row_id").alias("evaluation_id"), "n", "hash", F.col("place").alias("at"), F.ceil(F.col("times") / SALTED).cast("int").alias("salts")))
-        substrings = train.mapInArrow(_substrings(spark.sparkContext.broadcast(_bitmap(chosen)), False), "row_id bigint, m int, hash bigint, place int")
+        substrings = train.mapInArrow(_substrings(spark.sparkContext.broadcast(bitmap_of(chosen)), False), "row_id bigint, m int, hash bigint, place int")
         substrings = substrings.join(first.where("not evaluation").select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "train_id")
         hot = cut(chosen.where("salts > 1").select("hash", "salts").distinct())
         salted = substrings.join(broadcast_if_small(hot), "hash", "left").withColumn("salt", F.pmod(F.xxhash64("train_id"), F.coalesce("salts", F.lit(1)).cast("bigint")).cast("int")).drop("salts")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarit.llm.batches import mix64
+from sarit.llm.batches import bitmap_of, mix64, passes
 from sarit.operators.near_dedup import NearDupParams, bucket_pairs, components
 from sarit.plans.arrow import map_text, ragged
 from sarit.plans.scale import broadcast_if_small, cut, spread, table
@@ -245,10 +245,11 @@ class Clusters:
         self.documents = with_site(spread(table(spark, sf_dir, "documents", "doc_id", "source", "text")), registry)
         totals = cut(with_site(table(spark, sf_dir, "documents", "source"), registry).where("site is not null").groupBy("site").agg(F.count("*").alias("documents")))
         self.table = cut(map_text(self.documents.select("doc_id", "site", "text"), _masked, "doc_id bigint, site string, numbers array<int>, masks array<bigint>, buckets array<bigint>"))
-        each = self.table.select("masks", F.explode(F.sequence(F.lit(0), F.size("masks") - 1)).alias("i"), "buckets")
-        meets = each.select(F.get("masks", "i").alias("pos"), F.explode(F.slice("buckets", F.col("i") * BANDS + 1, BANDS)).alias("key"))
-        mixed = meets.groupBy("key").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where("a <> b").select("key")
-        keys = cut(meets.join(mixed, "key", "left_semi").distinct())
+        ends = self.table.select("masks", "buckets").mapInArrow(_bucket_ends, "key bigint, a bigint, b bigint")
+        mixed = cut(ends.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("key"))
+        shared = spark.sparkContext.broadcast(bitmap_of(mixed.select(F.col("key").alias("hash"))))
+        met = self.table.select("masks", "buckets").mapInArrow(_meeting(shared), "pos bigint, key bigint").distinct()
+        keys = cut(met.join(mixed, "key", "left_semi"))
         some = cut(keys.select("pos").distinct())
         shingled = cut(map_text(self.documents.select("site", "text"), _mask_shingles, "pos bigint, shingles array<bigint>").join(broadcast_if_small(some), "pos", "left_semi").dropDuplicates(["pos"]))
         self.class_of = cut(components(bucket_pairs(keys, shingled, NearDupParams(threshold=SIMILAR, shingle=SHINGLE))).withColumnRenamed("pos", "mask"))
@@ -274,6 +275,35 @@ class Clusters:
         return self._places(cut(hot)).withColumnRenamed("class", "cluster")
 
 
+def _bucket_ends(batches):
+    """key, a, b: the least and the greatest masked line of each bucket in a batch."""
+    for batch in batches:
+        masks = np.repeat(np.asarray(batch.column("masks").flatten()), BANDS)
+        buckets = np.asarray(batch.column("buckets").flatten())
+        order = np.lexsort((masks, buckets))
+        masks, buckets = masks[order], buckets[order]
+        first = np.flatnonzero(np.diff(buckets, prepend=buckets[:1] - 1)) if len(buckets) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(buckets))[: len(first)] - 1
+        yield pa.RecordBatch.from_arrays([pa.array(buckets[first]), pa.array(masks[first]), pa.array(masks[last])], ["key", "a", "b"])
+
+
+def _meeting(shared: object):
+    """pos, key of the masked lines and those of their buckets that are in the bitmap, each once in a batch."""
+
+    def run(batches):
+        for batch in batches:
+            masks = np.repeat(np.asarray(batch.column("masks").flatten()), BANDS)
+            buckets = np.asarray(batch.column("buckets").flatten())
+            there = np.flatnonzero(passes(shared.value, buckets.view(np.uint64)))
+            there = there[np.lexsort((buckets[there], masks[there]))]
+            masks, buckets = masks[there], buckets[there]
+            new = np.ones(len(there), bool)
+            new[1:] = (masks[1:] != masks[:-1]) | (buckets[1:] != buckets[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(masks[new]), pa.array(buckets[new])], ["pos", "key"])
+
+    return run
+
+
 def _masked(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     sites = batch.column("site").to_pylist()
     row, number, lines = split_lines(batch.column("text").to_pylist(), [s is not None for s in sites])

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from sarit.llm import budget, encode, language, leaks, lookalike, mixing, overlap, quality, repeated_lines, residue
+from sarit.llm import batches, budget, encode, language, leaks, lookalike, mixing, overlap, quality, repeated_lines, residue
 from sarit.plans.scale import table
 
 from .conftest import EN, HI, NE, NOTICE, document, row
@@ -330,8 +330,8 @@ def test_overlaps_against_brute_force(spark, folder, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(overlap, "SALTED", 1)
         m.setattr(overlap, "WORDS", 50)
-        m.setattr(overlap, "FEWEST", 64)
-        m.setattr(overlap, "BITS", 64)  # a full bitmap, which lets all pass
+        m.setattr(batches, "FEWEST", 64)
+        m.setattr(batches, "BITS", 64)  # a full bitmap, which lets all pass
         assert rows(overlap.found(spark, d)) == want
 
 
