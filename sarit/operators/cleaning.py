@@ -60,12 +60,18 @@ def quality_reason(text: Column, params: QualityParams = DOWNLOADED, manual: Col
 
 
 def with_reason(df: DataFrame, params: QualityParams = DOWNLOADED) -> DataFrame:
-    return df.withColumn("reason", quality_reason(F.col("text"), params))
+    return _generated(df, quality_reason(F.col("text"), params))
 
 
 def with_reason_by_origin(df: DataFrame) -> DataFrame:
     """with_reason() by the bounds of manual sources where the column manual says so, else of downloaded ones."""
-    return df.withColumn("reason", quality_reason(F.col("text"), DOWNLOADED, F.coalesce("manual", F.lit(False))))
+    return _generated(df, quality_reason(F.col("text"), DOWNLOADED, F.coalesce("manual", F.lit(False))))
+
+
+def _generated(df: DataFrame, reason: Column) -> DataFrame:
+    """df with the column reason. It is generated, since a filter on a computed column would be pushed to the scan, before
+    the rows are spread over the cores."""
+    return df.select(*(c for c in df.columns if c != "reason"), F.explode(F.array(reason)).alias("reason"))
 
 
 def line_counts(df: DataFrame) -> DataFrame:
@@ -168,7 +174,7 @@ def first_positions(df: DataFrame) -> DataFrame:
 
 def copies(df: DataFrame) -> DataFrame:
     """pos of the documents that aren't the first with their text's normal form. Only hashes are counted and joined."""
-    keys = df.where("text is not null").select("pos", exact_key(F.col("text")).alias("_key"))
+    keys = cut(df.where("text is not null").select("pos", exact_key(F.col("text")).alias("_key")))
     firsts = keys.groupBy("_key").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     return keys.join(firsts, "_key").where("pos > _first").select("pos")
 

@@ -62,8 +62,8 @@ def vocabulary(df: DataFrame, reserved: int = 4) -> DataFrame:
     """word, n, token: dense ids by falling frequency, ties by word, after the reserved ones.
 
     Ids come from counts of each frequency and ranks within one, not from one global sort: a window holds the words of
-    one frequency in one of 64 ranges of word hashes, and the starts are a table of (frequency, range)."""
-    counts = df.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    one frequency with the same beginning, and the starts are a table of (frequency, beginning)."""
+    counts = cut(df.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     celled = counts.withColumn("cell", F.substring(F.hex(F.encode("word", "utf-8")), 1, 6))
     cells = celled.groupBy("n", "cell").agg(F.count("*").alias("size"))
     by_n = cells.groupBy("n").agg(F.sum("size").alias("all"))
