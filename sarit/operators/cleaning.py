@@ -105,8 +105,9 @@ def strip_boilerplate(df: DataFrame, share: float = 0.02, most: int = MOST_LINES
     There are at most 1 / share boilerplate lines for each line of an average document. Up to `most` keys of them go to
     the executors as one sorted array, and no text is moved; of more, the documents' flagged lines come by a join."""
     hot = cut(boilerplate_keys(df, share))
-    few = hot.limit(most + 1).count() <= most
-    keys = np.sort(np.asarray(hot.toArrow().column("key")).view(np.uint64)) if few else None  # at most `most` keys
+    known = np.asarray(hot.limit(most + 1).toArrow().column("key")).view(np.uint64)
+    few = len(known) <= most
+    keys = np.sort(known) if few else None
     shared = df.sparkSession.sparkContext.broadcast(keys)
 
     def run(texts: pa.Array, sources: pa.Array, flags: pa.Array | None) -> pa.Array:

@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from sarit.plans.scale import cut
 
-#: Cells between the least and the greatest value.
-CELLS = 65_536
+#: Cells between the least and the greatest value, and most values that one task may sort.
+CELLS, SORTED = 65_536, 1_000_000
 
 
-def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+def quantiles(df: DataFrame, column: str, shares: list[float], most: int = SORTED) -> list[float | None]:
     """The quantiles of a column's finite values, linear between neighbours; None for each without values.
 
-    Values are counted by cell (of their range's logarithm where all are positive), and only the cells that hold a
+    Up to `most` values are sorted by one task. More are counted by cell (of their range's logarithm where all are positive), and only the cells that hold a
     wanted rank are looked at again, as counts of their distinct values."""
     value = F.col(column)
     real = cut(df.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(value.cast("double").alias("x")))
     n, low, high = real.agg(F.count("*"), F.min("x"), F.max("x")).first()
     if not n:
         return [None for _ in shares]
+    if n <= most:
+        return list(real.agg(F.percentile("x", F.array(*(F.lit(float(s)) for s in shares)))).first()[0])
     scale = (lambda x: F.log(x)) if low > 0 else (lambda x: x)
     least, most = (math.log(low), math.log(high)) if low > 0 else (low, high)
     celled = real.withColumn("cell", F.floor((scale(F.col("x")) - least) / max(most - least, 1e-300) * (CELLS - 1)) if most > least else F.lit(0).cast("bigint"))

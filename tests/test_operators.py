@@ -235,7 +235,8 @@ def test_quantiles(spark):
     for values in ([1.5], [3.0] * 9, [random.gauss(0, 5) for _ in range(500)], [random.choice([1.0, 2.0, 9.0]) for _ in range(200)], [10 ** random.uniform(-3, 6) for _ in range(301)]):
         df = spark.createDataFrame([(v,) for v in [*values, math.inf, math.nan, None]], "x double")
         shares = [0.0, 0.05, 0.5, 0.731, 1.0]
-        assert quantiles.quantiles(df, "x", shares) == pytest.approx([float(np.quantile(values, s)) for s in shares])
+        for most in (quantiles.SORTED, 0):
+            assert quantiles.quantiles(df, "x", shares, most) == pytest.approx([float(np.quantile(values, s)) for s in shares])
     assert quantiles.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
     df = docs(spark, ["x"] * 50)
     assert [r.pos for r in quantiles.first_in_order(df, "pos", 7).orderBy("pos").collect()] == list(range(7))
