@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from sarit.functions import text as T
 from sarit.functions.hashing import found, stirred, word_hashes
 from sarit.operators.quantiles import quantiles
-from sarit.plans.arrow import map_text, ragged
+from sarit.plans.arrow import chunks, map_text, ragged
 from sarit.plans.scale import cut
 
 #: Most entries of a model that go to every executor, of 16 bytes each.
 MOST_ENTRIES = 2_000_000
+#: Entries that a task adds up before it passes them on, and rows of a batch that it passes on.
+HELD, SENT = 1_000_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -87,18 +89,40 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return stirred(stirred(first) + second)
 
 
-def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """order, key, context, n: a chunk's distinct words and pairs; the context of a pair is its first word."""
-    hashes, sizes = word_hashes(batch.column("text").to_pylist(), lower=False)
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and their counts, pairs, their first words and counts, of some texts."""
+    hashes, sizes = word_hashes(texts, lower=False)
     one, n_one = np.unique(hashes, return_counts=True)
     inside = np.ones(max(len(hashes) - 1, 0), bool)
     ends = np.cumsum(sizes)[:-1]
     inside[ends[(ends > 0) & (ends < len(hashes))] - 1] = False
-    pairs = _pair(hashes[:-1], hashes[1:])[inside]
-    two, at, n_two = np.unique(pairs, return_index=True, return_counts=True)
-    context = hashes[:-1][inside][at]
-    columns = [np.repeat(np.array([1, 2], np.int32), (len(one), len(two))), np.concatenate([one, two]).view(np.int64), np.concatenate([one, context]).view(np.int64), np.concatenate([n_one, n_two])]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["order", "key", "context", "n"])
+    two, at, n_two = np.unique(_pair(hashes[:-1], hashes[1:])[inside], return_index=True, return_counts=True)
+    return one, n_one, two, hashes[:-1][inside][at], n_two
+
+
+def _counts(batches):
+    """order, key, context, n: the distinct words and pairs of a partition, added up in blocks of about HELD entries; the
+    context of a pair is its first word."""
+    held: list[tuple] = []
+
+    def added():
+        one, n_one, two, context, n_two = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        words, place = np.unique(one, return_inverse=True)
+        pairs, first, where = np.unique(two, return_index=True, return_inverse=True)
+        order = np.repeat(np.array([1, 2], np.int32), (len(words), len(pairs)))
+        key, of = np.concatenate([words, pairs]).view(np.int64), np.concatenate([words, context[first]]).view(np.int64)
+        n = np.concatenate([np.bincount(place, n_one, minlength=len(words)), np.bincount(where, n_two, minlength=len(pairs))]).astype(np.int64)
+        for i in range(0, len(key), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + SENT]) for x in (order, key, of, n)], ["order", "key", "context", "n"])
+
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            held.append(_counted(part.column("text").to_pylist()))
+            if sum(len(x[0]) + len(x[2]) for x in held) >= HELD:
+                yield from added()
+    if held:
+        yield from added()
 
 
 class Model:
@@ -107,7 +131,7 @@ class Model:
 
     def __init__(self, documents: DataFrame, params: PerplexityParams = PerplexityParams(), most: int = MOST_ENTRIES):
         self.params = params
-        counts = map_text(documents.where("text is not null").select("text"), _counted, "order int, key bigint, context bigint, n bigint")
+        counts = documents.where("text is not null").select("text").mapInArrow(_counts, "order int, key bigint, context bigint, n bigint")
         counts = cut(counts.groupBy("order", "key").agg(F.first("context").alias("context"), F.sum("n").alias("n")).where((F.col("order") == 1) | (F.col("n") > params.least)))
         words = counts.where("order = 1").select("key", "n")
         self.total, self.kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
