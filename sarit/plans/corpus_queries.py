@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sarit.functions import text as T
 from sarit.operators import cleaning, frontier, lid, near_dedup, ngram, sampling, statistics
 from sarit.operators.quantiles import quantiles
+from sarit.plans import scale
 from sarit.plans.scale import cut, posix_folder, shared_folder, spread, table
 from sarit.sources import html, jsonl
 from sarit.sources.documents import documents, fold_hosts, kept_and_dropped, not_empty
@@ -427,14 +428,15 @@ def pipeline_funnel(spark, d):
 
 @query()
 def cleaning_funnel(spark, d):
-    """The whole chain: normal form, language, boilerplate of manual sources, quality by origin, exact duplicates, perplexity, near duplicates, each stage cut."""
+    """The whole chain: normal form, language, boilerplate of manual sources, quality by origin, exact duplicates, perplexity,
+    near duplicates. Texts are stored after the normal form, the quality filter and the perplexity filter."""
     df = docs(spark, d)
-    normal = cut(not_empty(df.withColumn("text", T.normalized(F.col("text")))))
-    named = cut(cleaning.language_filter(normal, table(spark, d, "common_words"), F.lower("lang")).drop("label", "prob"))
-    plain = cut(cleaning.strip_manual_boilerplate(named))
-    good = cut(cleaning.with_reason_by_origin(plain).where("reason is null").drop("reason"))
-    once = cut(cleaning.exact_dedup(good))
-    fluent = cut(ngram.perplexity_filter(once).drop("perplexity"))
+    normal = scale.stored(not_empty(df.withColumn("text", T.normalized(F.col("text")))))
+    named = cleaning.language_filter(normal, table(spark, d, "common_words"), F.lower("lang")).drop("label", "prob")
+    plain = cleaning.strip_manual_boilerplate(named)
+    good = scale.stored(cleaning.with_reason_by_origin(plain).where("reason is null").drop("reason"))
+    once = cleaning.exact_dedup(good)
+    fluent = scale.stored(ngram.perplexity_filter(once).drop("perplexity"))
     return statistics.funnel({"1 read": df, "2 normalized": normal, "3 language": named, "4 boilerplate": plain, "5 quality": good, "6 exact_dedup": once, "7 perplexity": fluent, "8 near_dedup": near_dedup.first_of_classes(fluent)})
 
 
