@@ -251,9 +251,16 @@ def head_class() -> Column:
     return F.when(F.col("sink_rate") > SINK, "sink").when(local, "local/positional").when(F.col("normalized_entropy") > SPREAD, "content-based").otherwise("mixed")
 
 
+def exact_mean(column: str) -> Column:
+    """The mean at six places, half up, the same in any order of the rows: values are added up as decimals, where a sum of
+    doubles may fall short of a half. Of doubles where a value is no such decimal (NaN, infinite, 1e10 and more)."""
+    value = F.col(column).try_cast("decimal(28,18)")
+    return F.when(F.count(value) == F.count(column), F.round(F.avg(value), 6).cast("double")).otherwise(F.round(F.avg(column), 6))
+
+
 def layer_means(heads: DataFrame, *columns: str) -> DataFrame:
-    """layer (null: overall) and the means of the columns."""
-    return heads.rollup("layer").agg(*(F.round(F.avg(c), 6).alias(c) for c in columns))
+    """layer (null: overall) and the means of the columns; those of rounded values often lie half way between two places."""
+    return heads.rollup("layer").agg(*(exact_mean(c).alias(c) for c in columns))
 
 
 def deltas(before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:

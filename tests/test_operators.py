@@ -1,5 +1,6 @@
 """Operators on small tables, with properties and brute force where there is no SQL."""
 
+import itertools
 import math
 import os
 import random
@@ -518,6 +519,16 @@ def test_head_classes(spark):
     assert [r.got for r in df.select(metrics.head_class().alias("got"), "want").collect()] == [c[-1] for c in cells]
 
 
+def test_layer_means_whatever_the_order(spark):
+    """A mean half way between two sixth places, its values in all orders."""
+    orders = list(itertools.permutations((0.245221, 0.225884, 0.241545, 0.233148)))
+    rows = [(layer, x, math.nan if layer == 1 else None if layer == 2 else 1e300) for layer, order in enumerate(orders) for x in order]
+    heads = spark.createDataFrame(rows, "layer int, sink_rate double, odd double").coalesce(1)
+    got = {r.layer: r for r in metrics.layer_means(heads, "sink_rate", "odd").collect()}
+    assert {layer: r.sink_rate for layer, r in got.items()} == dict.fromkeys([*range(24), None], 0.23645)
+    assert math.isnan(got[1].odd) and math.isnan(got[None].odd) and got[2].odd is None and got[0].odd == 1e300
+
+
 def test_parameters_and_throughput(spark):
     rows = {r.name: r for r in metrics.parameters(spark, [("a", 10, 4, 16, 2, 8, False, True, True), ("b", 10, 4, 16, 2, 8, True, False, False)]).collect()}
     block = 4 * 16 + (4 * 16 + 16) + (16 * 4 + 4) + 2 * 2 * 4
